@@ -79,6 +79,11 @@ def cost_lines(spark: SparkSession, sf: str, part: bool = False, supplier: bool
     return out.select(*cols)
 
 
+def _lines(lines: DataFrame | None, build, spark: SparkSession, sf: str, **kw) -> DataFrame:
+    """The caller's shared lines, or a plan reading only what this binding needs."""
+    return lines if lines is not None else build(spark, sf, **kw)
+
+
 def money_sums(*names: str) -> list:
     return [line_sum(n).alias(n) for n in names]
 
@@ -91,9 +96,9 @@ def work_packages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def project_months(spark: SparkSession, sf: str) -> DataFrame:
+def project_months(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
     """Monthly snapshot per project: the history table of the period operators."""
-    return cost_lines(spark, sf).groupBy("project", "month").agg(
+    return _lines(lines, cost_lines, spark, sf).groupBy("project", "month").agg(
         F.min("regionkey").alias("regionkey"), *money_sums("bac", "ev", "ac")
     )
 
@@ -105,10 +110,10 @@ def ledger_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def direct_details(spark: SparkSession, sf: str) -> DataFrame:
+def direct_details(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
     """Direct-cost rows per project, work code and division."""
     g = (
-        cost_lines(spark, sf, part=True)
+        _lines(lines, cost_lines, spark, sf, part=True)
         .filter("raw_di = 'D'")
         .withColumn("main_code", F.regexp_replace("main_code", "^Brand#", "B."))
         .groupBy("project", "regionkey", "main_code", "division")
@@ -133,9 +138,9 @@ def direct_details(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def indirect_details(spark: SparkSession, sf: str) -> DataFrame:
+def indirect_details(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
     g = (
-        cost_lines(spark, sf, part=True)
+        _lines(lines, cost_lines, spark, sf, part=True)
         .filter("raw_di = 'I'")
         .withColumn("main_code", F.regexp_replace("main_code", "^Brand#", "B."))
         .groupBy("project", "main_code")
@@ -153,10 +158,10 @@ def indirect_details(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def boq_resources(spark: SparkSession, sf: str) -> DataFrame:
+def boq_resources(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
     """Actual cost per project, direct work code and resource."""
     return (
-        ledger_lines(spark, sf)
+        _lines(lines, ledger_lines, spark, sf)
         .filter("raw_di = 'D'")
         .groupBy("project", "main_code", "resource")
         .agg(
@@ -167,10 +172,10 @@ def boq_resources(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def ledger(spark: SparkSession, sf: str) -> DataFrame:
+def ledger(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
     """Ledger transactions with a monthly array, one row per project, code, resource, source and class."""
     monthly = (
-        ledger_lines(spark, sf)
+        _lines(lines, ledger_lines, spark, sf)
         .groupBy("project", "main_code", "resource", "source", F.col("raw_di").alias("di"), "month")
         .agg(line_sum("work_qty").alias("qty"), line_sum("ac").alias("total"))
     )
@@ -193,19 +198,19 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def cash(spark: SparkSession, sf: str) -> DataFrame:
+def cash(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
     """Monthly cash per project: receipts by order month, payments by ship month, NULL where absent."""
     receipts = order_projects(spark, sf).groupBy("project", month_of(F.col("o_orderdate")).alias("month")).agg(
         line_sum(F.col("o_totalprice") * (F.col("regionkey") + 7) / 10).alias("cash_in")
     )
-    payments = cost_lines(spark, sf).groupBy("project", "month").agg(line_sum("ac").alias("cash_out"))
+    payments = _lines(lines, cost_lines, spark, sf).groupBy("project", "month").agg(line_sum("ac").alias("cash_out"))
     return receipts.join(payments, ["project", "month"], "full_outer")
 
 
-def cashflow(spark: SparkSession, sf: str) -> DataFrame:
+def cashflow(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
     """cash plus running sums that treat a missing month as 0."""
     w = W.partitionBy("project").orderBy("month").rowsBetween(W.unboundedPreceding, 0)
-    return cash(spark, sf).select(
+    return cash(spark, sf, lines).select(
         "project",
         "month",
         "cash_in",
@@ -215,12 +220,12 @@ def cashflow(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def project_model(spark: SparkSession, sf: str) -> DataFrame:
+def project_model(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
     """Registry metrics (m_*) and normalised KPIs (k_*) per project.
 
     Some regions lack one side, so the fallback chains are exercised.
     """
-    cost = cost_lines(spark, sf).groupBy("project").agg(
+    cost = _lines(lines, cost_lines, spark, sf).groupBy("project").agg(
         F.min("regionkey").alias("regionkey"),
         *money_sums("bac", "ev", "ac"),
         *[

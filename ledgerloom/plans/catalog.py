@@ -1,3 +1,9 @@
 """Importing this module registers every query."""
 
-from ledgerloom.plans import normalize_queries, portfolio_queries, project_queries  # noqa: F401
+from ledgerloom.plans import (  # noqa: F401
+    descriptor_queries,
+    normalize_queries,
+    portfolio_queries,
+    project_queries,
+    rules_queries,
+)
