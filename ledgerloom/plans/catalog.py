@@ -2,6 +2,7 @@
 
 from ledgerloom.plans import (  # noqa: F401
     descriptor_queries,
+    extended_queries,
     normalize_queries,
     portfolio_queries,
     project_queries,
