@@ -3,8 +3,11 @@
 from ledgerloom.plans import (  # noqa: F401
     descriptor_queries,
     extended_queries,
+    history_queries,
+    identity_queries,
     normalize_queries,
     portfolio_queries,
     project_queries,
     rules_queries,
+    streaming_queries,
 )
