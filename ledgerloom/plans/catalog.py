@@ -1,6 +1,7 @@
 """Importing this module registers every query."""
 
 from ledgerloom.plans import (  # noqa: F401
+    cell_queries,
     descriptor_queries,
     extended_queries,
     history_queries,
