@@ -64,15 +64,26 @@ def normal_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+# Named entities decoded in page text; the ampersand comes last.
+ENTITIES = [
+    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"),
+    ("&middot;", "\u00b7"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&euro;", "\u20ac"), ("&amp;", "&"),
+]
+HIDDEN_TAGS = ["script", "style", "svg", "noscript"]
+MARK = "\x01"
+
+
 def visible_text(html: Column | str) -> Column:
-    """Text outside script, style, svg and noscript; entities decoded, blanks collapsed."""
-    html = C(html) if isinstance(html, str) else html
-    s = F.regexp_replace(html, r"(?is)<(script|style|svg|noscript)\b[^>]*>.*?</\1\s*>", " ")
-    s = F.regexp_replace(s, r"(?s)<!--.*?-->|<![^>]*>", " ")
-    s = F.regexp_replace(s, r"<[^>]+>", "\n")
-    for name, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    """Text nodes outside script, style, svg and noscript, one per line; entities decoded, blanks collapsed."""
+    s = C(html) if isinstance(html, str) else html
+    for tag in HIDDEN_TAGS:
+        s = F.regexp_replace(s, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", MARK)
+    s = F.regexp_replace(s, r"(?s)<!--.*?-->", MARK)
+    s = F.regexp_replace(s, r"<[^>]+>", MARK)
+    for name, ch in ENTITIES:
         s = F.replace(s, F.lit(name), F.lit(ch))
-    return F.trim(F.regexp_replace(s, BLANKS, " "))
+    s = F.regexp_replace(s, BLANKS, " ")
+    return F.regexp_replace(F.regexp_replace(s, rf" ?(?:{MARK} ?)+", "\n"), r"^[\n ]+|[\n ]+$", "")
 
 
 def recurring_terms(texts: DataFrame, text: str, n: int | None = 80) -> DataFrame:
@@ -186,10 +197,15 @@ def anomaly_scores(rows: DataFrame, key: str, columns: list[str], trees: int = 5
     size = min(sample, n)
     depth = int(np.ceil(np.log2(max(size, 2))))
     share = min(1.0, size * 2.0 / n)
-    draws = rows.select(*[C(c).cast("double").alias(c) for c in columns], C(key)).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    u = F.pmod(F.xxhash64(C(key), C("tree"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    draws = draws.withColumn("u", u).filter(C("u") < share)
+    d = rows.select(*[C(c).cast("double").alias(c) for c in columns], C(key))
+    scale = float(1 << 30)
+    if share * trees <= 1:
+        # Many rows: each row is drawn into at most one tree by a single hash.
+        u = F.pmod(F.xxhash64(C(key), F.lit(seed)), F.lit(1 << 30)) / scale
+        draws = d.withColumn("u", u).withColumn("tree", F.floor(C("u") / share).cast("int")).filter(C("tree") < trees)
+    else:
+        u = F.pmod(F.xxhash64(C(key), C("tree"), F.lit(seed)), F.lit(1 << 30)) / scale
+        draws = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("u", u).filter(C("u") < share)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.nsmallest(size, "u")[columns].to_numpy()

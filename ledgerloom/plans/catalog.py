@@ -10,5 +10,7 @@ from ledgerloom.plans import (  # noqa: F401
     portfolio_queries,
     project_queries,
     rules_queries,
+    source_queries,
     streaming_queries,
+    text_queries,
 )

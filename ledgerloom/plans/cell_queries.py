@@ -141,11 +141,11 @@ def _alias_sql():
     return ",".join(out)
 
 
-@query("d10_header_alias_score", f"""
+@query("d10_header_alias_score", rf"""
 SELECT header, field, round(max(score),6) AS score FROM (SELECT header, field, CASE WHEN h=alias THEN 10.0::DOUBLE WHEN len(alias)<=3 THEN CASE WHEN list_contains(string_split(h,' '),alias) THEN 8.5::DOUBLE ELSE 0 END
  ELSE greatest(CASE WHEN contains(h,alias) OR contains(alias,h) THEN 7.5::DOUBLE+least(len(alias),len(h))::DOUBLE/greatest(len(alias),len(h)) ELSE 0 END,
   len(list_intersect(string_split(h,' '),string_split(alias,' ')))::DOUBLE/len(list_distinct(list_concat(string_split(h,' '),string_split(alias,' '))))*7) END AS score
- FROM (SELECT DISTINCT header, lower(trim(regexp_replace(header,'[#%().]+',' ','g'))) AS h FROM (SELECT p_name||' Cost' AS header FROM part UNION ALL SELECT 'Budget ('||p_type||')' FROM part UNION ALL SELECT 'Actual '||p_brand FROM part)),
+ FROM (SELECT DISTINCT header, lower(trim(regexp_replace(regexp_replace(header,'[#%().]+',' ','g'),'\s+',' ','g'))) AS h FROM (SELECT p_name||' Cost' AS header FROM part UNION ALL SELECT 'Budget ('||p_type||')' FROM part UNION ALL SELECT 'Actual '||p_brand FROM part)),
  (VALUES {_alias_sql()}) a(field,alias)) WHERE score>0 GROUP BY 1,2""")
 def d10(spark, sf):
     p = b.table(spark, sf, "part")
@@ -243,7 +243,7 @@ def d19(spark, sf):
 
 @query("d20_row_metric_discovery", sql_with("""
 SELECT name AS file, metric, label, value_col, value, rank FROM model, LATERAL (VALUES ('total_budget','Total Budget Cost',2,m_budget,1),('earned_value','Total Earned  Value',3,m_earned_value,2),('earned_value','earned value',2,1.0,1),
- ('actual_cost','Total Actual Cost',NULL,NULL,1),('revenue','Revenue',CASE WHEN m_revenue IS NOT NULL THEN 2 END,m_revenue,CASE WHEN m_revenue IS NULL THEN 2 ELSE 1 END),
+ ('actual_cost','Total Actual Cost',NULL,NULL,1),('actual_cost','Actual Direct Cost',NULL,NULL,2),('gross_profit','Net Profit',CASE WHEN m_gross_profit IS NOT NULL THEN 2 END,m_gross_profit,1),('revenue','Revenue',CASE WHEN m_revenue IS NOT NULL THEN 2 END,m_revenue,CASE WHEN m_revenue IS NULL THEN 2 ELSE 1 END),
  ('revenue','Revenue per m2',4,5.0,CASE WHEN m_revenue IS NULL THEN 1 ELSE 2 END),('cpi','CPI',NULL,NULL,1)) v(metric,label,value_col,value,rank)""", "model"))
 def d20(spark, sf):
     cells = dashboards(spark, sf)
@@ -251,8 +251,7 @@ def d20(spark, sf):
     hits = lexicon_match(cells.filter("value_str IS NOT NULL").select(C("value_str").alias("label")).distinct(), fuzzy=False).select(
         C("label").alias("value_str"), "metric", C("score").alias("match_score"))
     out = op.row_numbers_right(cells, hits)
-    keep = ["total_budget", "earned_value", "actual_cost", "revenue", "cpi"]
-    return out.filter(C("metric").isin(keep)).select("file", "metric", "label", C("value_col").cast("int").alias("value_col"), "value", C("rank").cast("int").alias("rank"))
+    return out.select("file", "metric", "label", C("value_col").cast("int").alias("value_col"), "value", C("rank").cast("int").alias("rank"))
 
 
 @query("d21_cell_search", sql_with("""
