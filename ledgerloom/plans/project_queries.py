@@ -169,7 +169,7 @@ def waste(spark, sf):
     """Material consumption per project: STANDARD parts are steel, PROMO parts concrete."""
     p = b.table(spark, sf, "part").filter(F.col("p_type").isin("STANDARD", "PROMO")).select("p_partkey", "p_type")
     li = b.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount")
-    op_ = b.order_projects(spark, sf).select("o_orderkey", "project")
+    op_ = b.order_projects(spark, sf, "o_orderkey", "project")
     g = (li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(op_, F.col("l_orderkey") == F.col("o_orderkey"))
          .groupBy("project", F.when(F.col("p_type") == "STANDARD", "steel").otherwise("concrete").alias("material"))
          .agg(line_sum("l_quantity").alias("actual"),

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -60,3 +61,28 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of a plan, NULL where the session does not expose it."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:
+        return None
+
+
+def broadcast_if_small(df: DataFrame, *sources: DataFrame) -> DataFrame:
+    """Hint a lookup side for broadcasting only while the scans behind it are small.
+
+    A join's own estimate is the product of its inputs, so the optimizer would rather
+    broadcast the fact side; the measured scans settle it. The bound is the session's
+    autoBroadcastJoinThreshold; above it the plan keeps its shuffle join.
+    """
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    digits = "".join(ch for ch in limit if ch.isdigit() or ch == "-")
+    factor = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(limit.rstrip("bB")[-1:].lower(), 1)
+    bound = int(digits) * factor
+    sizes = [plan_bytes(s) for s in sources]
+    if any(s is None for s in sizes) or sum(sizes) > bound:
+        return df
+    return F.broadcast(df)
