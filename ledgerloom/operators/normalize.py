@@ -36,11 +36,10 @@ def classify(ledger: DataFrame, direct_codes: DataFrame) -> DataFrame:
     return j.withColumn("di", di).drop("_code", "_known")
 
 
-def ledger_by_month(ledger: DataFrame) -> DataFrame:
-    """Ledger total of every month of the ledger's own month list, 0 where a project has none."""
-    detail = ledger.select("project", F.inline("months")).filter(F.abs("total") > 0)
-    sums = detail.groupBy("project", "month").agg(total_sum("total").alias("total"))
-    spine = sums.select("month").distinct().join(sums.select("project").distinct(), how="cross")
+def ledger_by_month(totals: DataFrame) -> DataFrame:
+    """Monthly ledger totals (project, month, total) on the ledger's own month list, 0 where a project has none."""
+    sums = totals.filter(F.abs("total") > 0)
+    spine = sums.select("month").distinct().join(sums.select("project").distinct(), how="cross")  # months x projects
     return spine.join(sums, ["project", "month"], "left").select("project", "month", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 

@@ -197,6 +197,15 @@ def ledger(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> Data
     )
 
 
+def ledger_totals(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
+    """Ledger transactions without their monthly detail: one aggregation of the lines."""
+    return (
+        _lines(lines, ledger_lines, spark, sf)
+        .groupBy("project", "main_code", "resource", "source", F.col("raw_di").alias("di"))
+        .agg(line_sum("ac").alias("total_cost"), line_sum("work_qty").alias("total_qty"))
+    )
+
+
 def cash(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
     """Monthly cash per project: receipts by order month, payments by ship month, NULL where absent."""
     receipts = order_projects(spark, sf).groupBy("project", month_of(F.col("o_orderdate")).alias("month")).agg(
@@ -278,30 +287,20 @@ def project_model(spark: SparkSession, sf: str, lines: DataFrame | None = None)
 def profit_methods(model: DataFrame) -> DataFrame:
     """Profitability methods of each project, never merged."""
     contract, revenue, ac = F.col("m_contract_value"), F.col("m_revenue"), F.col("m_actual_cost")
-    first = model.select(
-        F.col("name").alias("project"),
-        "regionkey",
-        F.lit(0).alias("idx"),
-        F.lit("Contract method").alias("method"),
-        contract.alias("base"),
-        ac.alias("cost"),
-        F.lit(None).cast("double").alias("deductions"),
-        (contract - ac).alias("profit"),
-        F.when(contract != 0, (contract - ac) / contract).alias("profit_pct"),
-    )
+    none = F.lit(None).cast("double")
     profit = revenue - ac - revenue * 0.02
-    second = model.filter("m_revenue IS NOT NULL AND regionkey <> 4").select(
-        F.col("name").alias("project"),
-        "regionkey",
-        F.lit(1).alias("idx"),
-        F.lit("Revenue method").alias("method"),
-        revenue.alias("base"),
-        ac.alias("cost"),
-        (revenue * 0.02).alias("deductions"),
-        profit.alias("profit"),
-        F.when((F.col("regionkey") != 2) & (revenue != 0), profit / revenue).alias("profit_pct"),
+
+    def method(idx, name, base, deductions, gain, share, there):
+        return F.struct(
+            F.lit(idx).alias("idx"), F.lit(name).alias("method"), base.alias("base"), ac.alias("cost"), deductions.alias("deductions"),
+            gain.alias("profit"), share.alias("profit_pct"), there.alias("there"))
+
+    both = F.array(
+        method(0, "Contract method", contract, none, contract - ac, F.when(contract != 0, (contract - ac) / contract), F.lit(True)),
+        method(1, "Revenue method", revenue, revenue * 0.02, profit,
+               F.when((F.col("regionkey") != 2) & (revenue != 0), profit / revenue), revenue.isNotNull() & (F.col("regionkey") != 4)),
     )
-    return first.unionByName(second)
+    return model.select(F.col("name").alias("project"), "regionkey", F.inline(both)).filter("there").drop("there")
 
 
 # ---------------------------------------------------------------- oracle text

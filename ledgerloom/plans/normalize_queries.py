@@ -39,7 +39,7 @@ b.define("classified", """SELECT l.*, CASE WHEN c.main_code IS NOT NULL OR di0='
 
 
 def classified(spark, sf):
-    return nz.classify(b.ledger(spark, sf).withColumnRenamed("di", "raw_di"), direct_codes(spark, sf))
+    return nz.classify(b.ledger_totals(spark, sf).withColumnRenamed("di", "raw_di"), direct_codes(spark, sf))
 
 
 @query("n07_direct_indirect", sql_with("""
@@ -58,7 +58,8 @@ UNION ALL SELECT p.project, 'month', m.month, coalesce(t.total,0) FROM (SELECT D
  (SELECT project, month, {S('total')} AS total FROM ledger_months_detail GROUP BY 1,2) t ON t.project=p.project AND t.month=m.month""",
                                        "classified", "ledger_months_detail"))
 def n08(spark, sf):
-    months = nz.ledger_by_month(b.ledger(spark, sf)).select(
+    totals = b.cost_lines(spark, sf).groupBy("project", "month").agg(line_sum("ac").alias("total"))
+    months = nz.ledger_by_month(totals).select(
         "project", F.lit("month").alias("grouping"), F.col("month").alias("name"), F.col("total").alias("value"))
     return nz.ledger_rollups(classified(spark, sf)).unionByName(months)
 

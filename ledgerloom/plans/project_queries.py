@@ -87,14 +87,14 @@ SELECT g.project, name, value, CASE WHEN total<>0 THEN greatest(value,0)/total E
 (SELECT project, source AS name, {S('total_cost')} AS value FROM ledger GROUP BY 1,2) g JOIN
 (SELECT project, {S('total_cost')} AS total FROM ledger GROUP BY 1) t ON t.project=g.project""", "ledger"))
 def g07(spark, sf):
-    return op.source_mix(b.ledger(spark, sf))
+    return op.source_mix(b.ledger_totals(spark, sf))
 
 
 @query("g08_top_cost_codes", sql_with(f"""
 SELECT project, name, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY value DESC, name) AS rank
  FROM (SELECT project, main_code AS name, {S('total_cost')} AS value FROM ledger GROUP BY 1,2)) WHERE rank<=15""", "ledger"))
 def g08(spark, sf):
-    g = op.grouped_total(b.ledger(spark, sf), ["project"], F.col("main_code"), F.col("total_cost"))
+    g = op.grouped_total(b.ledger_totals(spark, sf), ["project"], F.col("main_code"), F.col("total_cost"))
     return op.top_n(g, ["project"], F.col("value"), 15)
 
 
@@ -108,7 +108,7 @@ SELECT project, main_code, resource, source, di, total_qty, total_cost FROM ledg
 WHERE contains(lower(project||' '||main_code||' '||resource||' '||source),'000001') AND di='D' AND source='R'
 ORDER BY 1,2,3,4,5 LIMIT 50 OFFSET 50""", "ledger"))
 def g10(spark, sf):
-    return op.ledger_page(b.ledger(spark, sf), "000001", "D", "R", page=2)
+    return op.ledger_page(b.ledger_totals(spark, sf), "000001", "D", "R", page=2)
 
 
 @query("g11_transaction_months", sql_with("""

@@ -223,7 +223,7 @@ SELECT *, {CONC_RULE} AS status FROM (SELECT project, 'resource' AS basis, row_c
 def r12(spark, sf):
     by_res = resource_concentration(spark, sf).select("project", F.lit("resource").alias("basis"), "row_count", "total", "top")
     d = pj.concentration(b.direct_details(spark, sf), ["project"], C("division"), C("ac"))
-    s = pj.concentration(b.ledger(spark, sf), ["project"], C("source"), C("total_cost"))
+    s = pj.concentration(b.ledger_totals(spark, sf), ["project"], C("source"), C("total_cost"))
     rows = (by_res.unionByName(d.withColumn("basis", F.lit("package"))).unionByName(s.withColumn("basis", F.lit("source"))))
     return rows.withColumn("status", op.concentration(C("top"), C("total")))
 
@@ -323,7 +323,7 @@ def r17(spark, sf):
 SELECT project, source AS component, 'informational' AS status, {S('total_cost')} AS value FROM ledger GROUP BY 1,2
 UNION ALL SELECT project, 'inventory', 'informational', CAST(count(*) AS DOUBLE) FROM ledger GROUP BY 1""", "ledger"))
 def r18(spark, sf):
-    led = b.ledger(spark, sf)
+    led = b.ledger_totals(spark, sf)
     rows = led.groupBy("project", C("source").alias("component")).agg(total_sum("total_cost").alias("value")).withColumn(
         "semantic_type", F.lit("cost_mix"))
     inv = led.groupBy("project").agg(F.count("*").cast("double").alias("value")).select(
