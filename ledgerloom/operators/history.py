@@ -85,14 +85,20 @@ def latest_per_project(revisions: DataFrame) -> DataFrame:
 
 
 def registry_hash(registry: DataFrame, key: str, payload: Column) -> DataFrame:
-    """Hash of the sorted registry payload plus the project count, over 256 buckets of keys."""
-    rows = registry.select(C(key).alias("k"), payload.alias("t")).withColumn("bucket", F.substring(F.sha2("k", 256), 1, 2))
-    buckets = rows.groupBy("bucket").agg(
-        F.count("*").alias("n"),
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "\n"), 256).alias("h"))
-    return buckets.agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "\n"), 256).alias("registry_fingerprint"),
-        F.sum("n").alias("project_count"))
+    """Hash of the sorted registry payload plus the project count.
+
+    A tree over the key hash: 65 536 leaves, 256 branches, one root, so that no group grows
+    beyond a small share of the registry.
+    """
+    rows = registry.select(C(key).alias("k"), payload.alias("t")).withColumn("leaf", F.substring(F.sha2("k", 256), 1, 4))
+
+    def level(df: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n")
+        return df.groupBy(*keys).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n"))
+
+    leaves = level(rows.withColumn("n", F.lit(1)), ["leaf"], "k", "t")
+    branches = level(leaves.withColumn("branch", F.substring("leaf", 1, 2)), ["branch"], "leaf", "h")
+    return level(branches, [], "branch", "h").select(C("h").alias("registry_fingerprint"), C("n").alias("project_count"))
 
 
 def classify_change(candidates: DataFrame, history: DataFrame) -> DataFrame:

@@ -127,8 +127,10 @@ def h08(spark, sf):
 
 
 @query("h09_registry_fingerprint", """
-SELECT sha256(string_agg(h,chr(10) ORDER BY bucket)) AS registry_fingerprint, CAST(sum(n) AS BIGINT) AS project_count FROM (SELECT substr(sha256(k),1,2) AS bucket, count(*) AS n,
- sha256(string_agg(t,chr(10) ORDER BY k)) AS h FROM (SELECT c_name AS k, c_name||'|'||c_mktsegment||'|'||c_nationkey AS t FROM customer) GROUP BY 1)""")
+WITH l AS (SELECT substr(sha256(k),1,4) AS leaf, count(*) AS n, sha256(string_agg(t,chr(10) ORDER BY k)) AS h FROM
+ (SELECT c_name AS k, c_name||'|'||c_mktsegment||'|'||c_nationkey AS t FROM customer) GROUP BY 1),
+ br AS (SELECT substr(leaf,1,2) AS branch, sum(n) AS n, sha256(string_agg(h,chr(10) ORDER BY leaf)) AS h FROM l GROUP BY 1)
+SELECT sha256(string_agg(h,chr(10) ORDER BY branch)) AS registry_fingerprint, CAST(sum(n) AS BIGINT) AS project_count FROM br""")
 def h09(spark, sf):
     payload = F.concat_ws("|", "c_name", "c_mktsegment", C("c_nationkey").cast("string"))
     return op.registry_hash(b.table(spark, sf, "customer"), "c_name", payload)
