@@ -1 +1,66 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: stages over ``documents``, each written and read again before the next.
+
+Toxic documents go; one document of each group of near-duplicates (five-word shingles, 80 % of the union) stays; documents that hold a
+benchmark window go; secrets are replaced by [kind]; the rest is encoded into pieces. Stages keep the columns of documents, null ids
+included; the last adds ``n_pieces`` and ``piece_ids``. Each stage is judged on its own input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import decontamination, near_dup, pieces, secrets, toxicity
+from ledgerloom.llm.common import written
+
+
+def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows whose id is (left_semi) or isn't (left_anti) among ``ids``; an id-less row is never in a set of ids."""
+    return docs.join(ids.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", how).select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5 stay."""
+    model = toxicity.train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.with_scores(docs, model, score_col="toxic_score__").filter("toxic_score__ < 0.5").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document with the smallest id stays; of rows with one id, the first by text."""
+    groups = near_dup.near_duplicates(docs)
+    kept = _only(docs, groups.filter("not kept"), "left_anti")
+    repeated = written(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null"), "repeated-ids")
+    row = F.struct("text", *(c for c in docs.columns if c != "text"))
+    firsts = _only(kept, repeated, "left_semi").groupBy("doc_id").agg(F.min(row).alias("r")).select(*(F.col(f"r.`{c}`").alias(c) for c in docs.columns))
+    return _only(kept, repeated, "left_anti").unionByName(firsts)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item stay."""
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _only(docs, found.filter("contaminated"), "left_anti")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced; the number of characters follows the new text."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else clean
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents with n_pieces and piece_ids."""
+    encoded = pieces.encode(docs, ids_col="piece_ids")
+    return encoded.select(*(c for c in docs.columns if c not in ("piece_ids", "n_pieces")), F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
+
+
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("sentencepiece", encode_pieces)]
+
+#: SQL has no compression distance and no piece automaton; tests hold the stages against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

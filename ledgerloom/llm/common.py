@@ -53,5 +53,4 @@ def lower_ascii(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of letters, digits and non-ASCII characters of the text in lower case; null has none."""
-    parts = F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
