@@ -2,8 +2,8 @@
 
 1. Each document becomes its set of distinct word shingles, 64 minwise values of it, and a 128-bit key; equal sets are one from here on.
 2. Independent trees: the root of tree i branches by minwise value i. Nodes of at most ``SMALL`` members are compared exhaustively by their
-   minwise values. In a larger node all members meet one random leader; unless all resemble it, each member goes on to two
-   children, named by the minwise values at two coordinates that the node chooses. What is still large at the deepest level is
+   minwise values. In a larger node all members meet about eight random leaders, and those that resemble one are connected; at most
+   ``SMALL`` outliers are compared with all others, in blocks; if there are more, each member goes on to two children, named by the minwise values at two coordinates that the node chooses. What is still large at the deepest level is
    compared exhaustively in blocks. Only spanning edges of resemblance leave a node, never all pairs. A pair at the threshold
    survives an endless path with 0.94 once it shares a root's branch (q = (0.2 + 0.8 q)^2), so 12 trees miss it with
    (1 - 0.8 * 0.94)^12 < 1e-7; the filter by minwise values (33 of 64 equal) misses it with less than 1e-7.
@@ -131,11 +131,52 @@ def _compare_nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _edges(found)
 
 
-def _compare_leader(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, doc_id, sig, leader, leader_sig) -> the same with ``alike``: whether the member resembles the leader."""
-    for batch in slices(batches, 2048):
-        alike = (_matrix(batch.column(2)) == _matrix(batch.column(4))).sum(axis=1) >= ALIKE
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(alike)], names=["node", "doc_id", "sig", "leader", "alike"])
+_LEADERS = "node long, ids array<long>, sigs binary, edges array<struct<a long, b long>>"
+_LEADERS_ARROW = pa.schema([("node", pa.int64()), ("ids", pa.list_(pa.int64())), ("sigs", pa.binary()), ("edges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
+
+
+def _judge_leaders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, leaders array<struct<doc_id, sig>>) -> the largest set of leaders that resemble each other, directly or by others, with edges that connect it."""
+    for batch in slices(batches):
+        out = []
+        for node, leaders in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sigs = np.frombuffer(b"".join(x["sig"] for x in leaders), np.uint32).reshape(len(leaders), COORDINATES)
+            forest = Forest(len(leaders))
+            alike = (sigs[:, None] == sigs[None, :]).sum(axis=2) >= ALIKE
+            edges = [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(alike, 1))), strict=True) if forest.join(i, j)]
+            roots = [forest.root(i) for i in range(len(leaders))]
+            main = max(roots, key=lambda r: (roots.count(r), -r))
+            own = [i for i, r in enumerate(roots) if r == main]
+            out.append((node, [leaders[i]["doc_id"] for i in own], sigs[own].tobytes(), [{"a": leaders[i]["doc_id"], "b": leaders[j]["doc_id"]} for i, j in edges if roots[i] == main]))
+        yield batch_of(_LEADERS_ARROW, *zip(*out, strict=True))
+
+
+def _compare_leaders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, doc_id, sig, n, ids, sigs) -> node, doc_id, sig, n, leader: the first that the member resembles, null if none."""
+    for batch in slices(batches, 1024):
+        sigs, found = _matrix(batch.column(2)), []
+        for own, ids, theirs in zip(sigs, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            alike = np.flatnonzero((np.frombuffer(theirs, np.uint32).reshape(-1, COORDINATES) == own).sum(axis=1) >= ALIKE)
+            found.append(ids[alike[0]] if len(alike) else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.int64())], names=["node", "doc_id", "sig", "n", "leader"])
+
+
+def _compare_outliers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, part, doc_id, sig, outlier) sorted by node and part: edges of the outliers to each other and to the rest, which is connected already."""
+    for run in _runs(batches, 2):
+        ids = [r[2] for r in run]
+        sigs = np.frombuffer(b"".join(r[3] for r in run), np.uint32).reshape(len(run), COORDINATES)
+        out = [i for i, r in enumerate(run) if r[4]]
+        rest = [i for i, r in enumerate(run) if not r[4]]
+        forest, found = Forest(len(ids)), []
+        for i in rest:
+            forest.join(rest[0], i)
+        for i in out:
+            for j in np.flatnonzero((sigs == sigs[i]).sum(axis=1) >= ALIKE).tolist():
+                if ids[i] != ids[j] and forest.join(i, j):
+                    found.append((ids[i], ids[j]))
+        if found:
+            yield _edges(found)
 
 
 def _branch_by(level: int):
@@ -165,17 +206,24 @@ def candidate_edges(reps: DataFrame) -> list[DataFrame]:
     root = F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(TREES)), lambda i: F.xxhash64(i, F.substring("sig", (i - 1) * 4 + 1, 4))))
     rows, carried = reps.select("doc_id", root.alias("tree", "node")).select("node", "doc_id"), False
     for level in range(1, DEPTH + 1):
-        stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "doc_id").alias("h"), "doc_id")).alias("first")).filter("n > 1").select("node", "n", F.col("first.doc_id").alias("leader"))
+        draw = F.xxhash64("node", "doc_id")
+        stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(draw).alias("least")).filter("n > 1")
         members = rows.join(written(stats, "stats"), "node")
-        members = written(members if carried else members.join(reps, "doc_id").select("node", "doc_id", "sig", "n", "leader"), "nodes")
+        members = written(members if carried else members.join(reps, "doc_id").select("node", "doc_id", "sig", "n", "least"), "nodes")
         small = members.filter(F.col("n") <= SMALL).select("node", F.lit(0).alias("part"), "doc_id", "sig")
         edges.append(small.repartition("node").sortWithinPartitions("node", "part").mapInArrow(_compare_nodes, "a long, b long"))
         large = members.filter(F.col("n") > SMALL)
-        leaders = large.filter("doc_id = leader").select("node", F.col("sig").alias("leader_sig"))
-        met = large.join(leaders, "node").select("node", "doc_id", "sig", "leader", "leader_sig").mapInArrow(_compare_leader, "node long, doc_id long, sig binary, leader long, alike boolean")
+        # about LEADERS of a node by their hashes, one at least
+        leads = (draw.cast("double") <= F.lit(2.0**63) * (F.lit(2.0 * LEADERS) / F.col("n") - 1)) | (draw == F.col("least"))
+        leaders = large.filter(leads).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("doc_id", "sig"))).alias("leaders"))
+        leaders = written(leaders.mapInArrow(_judge_leaders, _LEADERS), "leaders")
+        edges.append(leaders.select(F.explode("edges").alias("e")).select("e.a", "e.b"))
+        met = large.join(leaders.drop("edges"), "node").select("node", "doc_id", "sig", "n", "ids", "sigs").mapInArrow(_compare_leaders, "node long, doc_id long, sig binary, n long, leader long")
         met = written(met, "met")
-        edges.append(met.filter("alike").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
-        mixed = written(met.groupBy("node").agg(F.bool_and("alike").alias("resolved"), F.count("*").alias("n")).filter("not resolved"), "mixed")
+        edges.append(met.filter("leader is not null").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
+        outliers = written(met.filter("leader is null").groupBy("node").agg(F.count("*").alias("out")), "outliers")
+        edges.append(_outlier_blocks(met.join(outliers.filter(F.col("out") <= SMALL), "node")).mapInArrow(_compare_outliers, "a long, b long"))
+        mixed = outliers.filter(F.col("out") > SMALL)
         if mixed.isEmpty():
             break
         onward = met.join(mixed, "node")
@@ -186,6 +234,14 @@ def candidate_edges(reps: DataFrame) -> list[DataFrame]:
     return edges
 
 
+def _outlier_blocks(members: DataFrame) -> DataFrame:
+    """Members by blocks of their node; an outlier visits all blocks."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    part = F.when(F.col("leader").isNull(), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(_blocks("doc_id", "n", BLOCK)))
+    placed = members.select("node", F.explode(part).alias("part"), "doc_id", "sig", F.col("leader").isNull().alias("outlier"))
+    return placed.repartition("node", "part").sortWithinPartitions("node", "part")
+
+
 def _all_blocks(members: DataFrame) -> DataFrame:
     """The exact way for what is still large: every pair of a node's blocks is one part, so that all pairs of members meet."""
     placed = members.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("block", _blocks("doc_id", "n", BLOCK))
