@@ -55,10 +55,10 @@ def occurrences(docs: DataFrame, prefix: DataFrame) -> DataFrame:
     anchors = written(prefix.select("anchor", "at", "k").distinct(), "anchors")
     placed = docs.select("doc_id", "h", words(F.col("text")).alias("w")).select("doc_id", "h", "w", F.posexplode("w").alias("pos", "anchor"))
     near = placed.join(broadcast_if_small(anchors, anchors), "anchor").filter((F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.col("k") <= F.size("w")))
-    near = near.select("doc_id", "h", "w", (F.col("pos") - F.col("at")).alias("from"), F.array_join(F.slice("w", F.col("pos") - F.col("at") + 1, F.col("k")), " ").alias("shingle"))
+    near = near.select("doc_id", "h", "w", (F.col("pos") - F.col("at")).alias("from"), F.array_join(F.slice("w", F.greatest(F.col("pos") - F.col("at"), F.lit(0)) + 1, F.col("k")), " ").alias("shingle"))
     met = near.join(broadcast_if_small(prefix, prefix), "shingle").withColumn("start", F.col("from") - F.col("offset")).withColumn("length", F.size("window"))
     fits = met.filter((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("w")))
-    return fits.filter(F.slice("w", F.col("start") + 1, F.col("length")) == F.col("window")).select("doc_id", "h", "start", "length", "window").distinct()
+    return fits.filter(F.slice("w", F.greatest("start", F.lit(0)) + 1, F.col("length")) == F.col("window")).select("doc_id", "h", "start", "length", "window").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10) -> DataFrame:

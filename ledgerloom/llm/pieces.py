@@ -13,8 +13,10 @@ Null texts encode to an empty list, as empty texts do; decoding null ids gives n
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -25,17 +27,18 @@ from pyspark.sql import types as T
 from ledgerloom.llm.common import slices
 from ledgerloom.llm.token_counts import BLANK, MODEL, pre_tokens
 
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+NEVER = float("-inf")
 
 
 class Pieces(dict):
-    """Pre-token -> ids of its best segmentation; what is missing is solved and remembered, up to a bound."""
+    """Pre-token -> ids of its best segmentation, as bytes of int32; what is missing is solved and remembered, up to a bound."""
 
     def __init__(self, model: str):
         super().__init__()
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.automaton = ahocorasick.Automaton()
-        least, self.text, self.byte_ids = 0.0, [], [0] * 256
+        least, self.text, self.byte_ids, self.single = 0.0, [], [0] * 256, set()
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             self.text.append(piece)
@@ -44,63 +47,78 @@ class Pieces(dict):
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.automaton.add_word(piece, (len(piece), sp.get_score(i), i))
                 least = min(least, sp.get_score(i))
+                if len(piece) == 1:
+                    self.single.add(piece)
         self.automaton.make_automaton()
         self.unknown = least - 10
         self.bytes = {i: b for b, i in enumerate(self.byte_ids)}
         self.first_plain = max(self.bytes) + 1
 
     def solve(self, text: str) -> list[int]:
+        if not self.single.issuperset(text):
+            return self.solve_with_unknown(text)
         n = len(text)
-        best, back = [0.0] + [float("-inf")] * n, [(0, -1)] * (n + 1)
-        done = 0
-
-        def settle(upto: int) -> None:
-            """Positions without a piece of one character there take the character as unknown."""
-            nonlocal done
-            while done < upto:
-                done += 1
-                if text[done - 1] not in self.automaton and best[done - 1] + self.unknown > best[done]:
-                    best[done], back[done] = best[done - 1] + self.unknown, (done - 1, -1)
-
+        best, back = [0.0] + [NEVER] * n, [(0, 0)] * (n + 1)
         for at, (length, score, i) in self.automaton.iter(text):
-            settle(at)
-            end = at + 1
-            if best[end - length] + score > best[end]:
-                best[end], back[end] = best[end - length] + score, (end - length, i)
-        settle(n)
+            at += 1
+            score += best[at - length]
+            if score > best[at]:
+                best[at], back[at] = score, (length, i)
         ids: list[int] = []
         while n:
-            start, i = back[n]
-            ids += [i] if i >= 0 else [self.byte_ids[b] for b in reversed(text[start:n].encode())]
-            n = start
+            length, i = back[n]
+            ids.append(i)
+            n -= length
         return ids[::-1]
 
-    def __missing__(self, word: str) -> list[int]:
+    def solve_with_unknown(self, text: str) -> list[int]:
+        """The same where some character is no piece; such a position may also be reached over the unknown character."""
+        n = len(text)
+        best, back = [0.0] + [NEVER] * n, [(0, -1)] * (n + 1)
+        ending: list[list[tuple]] = [[] for _ in range(n + 1)]
+        for at, piece in self.automaton.iter(text):
+            ending[at + 1].append(piece)
+        for end in range(1, n + 1):
+            for length, score, i in ending[end]:
+                if best[end - length] + score > best[end]:
+                    best[end], back[end] = best[end - length] + score, (length, i)
+            if text[end - 1] not in self.single and best[end - 1] + self.unknown > best[end]:
+                best[end], back[end] = best[end - 1] + self.unknown, (1, -1)
+        ids: list[int] = []
+        while n:
+            length, i = back[n]
+            ids += [i] if i >= 0 else [self.byte_ids[b] for b in reversed(text[n - 1].encode())]
+            n -= length
+        return ids[::-1]
+
+    def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        ids = self.solve(BLANK + word.replace(" ", BLANK))
+        ids = np.array(self.solve(BLANK + word.replace(" ", BLANK)), np.int32).tobytes()
         self[word] = ids
         return ids
 
+    def encoded(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, pre_tokens(text)))
+
     def encode(self, text: str) -> list[int]:
-        return [i for word in pre_tokens(text) for i in self[word]]
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids:
-            if i in self.bytes:
-                raw.append(self.bytes[i])
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw.clear()
-            out.append(self.text[i])
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        text = "".join(out).replace(BLANK, " ")
+        if min(ids, default=0) >= self.first_plain:
+            text = "".join(map(self.text.__getitem__, ids))
+        else:
+            text = self._with_bytes(ids)
+        text = text.replace(BLANK, " ")
         return text[1:] if text[:1] == " " else text
 
+    def _with_bytes(self, ids: list[int]) -> str:
+        """Runs of byte pieces become the characters that they spell."""
+        out: list[str] = []
+        for is_byte, run in groupby(ids, self.bytes.__contains__):
+            out.append(bytes(map(self.bytes.__getitem__, run)).decode(errors="replace") if is_byte else "".join(map(self.text.__getitem__, run)))
+        return "".join(out)
+
 
 _LOADED: dict[str, Pieces] = {}
 
@@ -125,8 +143,10 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "piece_ids",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
         for batch in slices(batches):
-            ids = [pieces.encode(x or "") for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, ids_col])
+            ids = [pieces.encoded(x or "") for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids_col])
 
     return rest.mapInArrow(run, schema)
 

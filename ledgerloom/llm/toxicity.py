@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained on labelled text: one on windows of ordinary documents, one on the fragments of toxic documents that
-ordinary ones lack (character groups in ``MIN_SHARE`` of the toxic sample or more and ``ODDS`` times as frequent there). A window is
+ordinary ones lack (character groups in ``MIN_SHARE`` of the toxic sample and ``MIN_TEXTS`` texts or more, and ``ODDS`` times as frequent there). A window is
 compressed with the ordinary dictionary and with both; what the toxic one saves is its distance. Windows cover the whole
 text. The largest and mean savings of a text, calibrated by a logistic fit on labelled rows, give its score; the threshold is 0.5.
 
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm.common import batch_of, fold, slices, texts
 
 SAMPLE, FEW, WINDOWS = 2400, 60, 12
-MIN_SHARE, ODDS = 0.015, 10
+MIN_SHARE, MIN_TEXTS, ODDS = 0.015, 8, 10
 WINDOW, OVERLAP, LEVEL = 96, 16, 6
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 700
 FEATURES = 7
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     first = sample.filter("half = 0") if split else sample
     n_toxic, n_ordinary = (sum(n for (t, h), n in sizes.items() if t == k and (h == 0 or not split)) for k in (1, 0))
     found = _counted(first, groups).groupBy("part").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"))
-    telling = {bytes(r["part"]) for r in found.filter((F.col("t") >= max(2, MIN_SHARE * n_toxic)) & (F.col("t") / max(n_toxic, 1) >= ODDS * (F.col("o") + 1) / max(n_ordinary, 1))).collect()}
+    telling = {bytes(r["part"]) for r in found.filter((F.col("t") >= max(2, min(MIN_TEXTS, 0.1 * n_toxic), MIN_SHARE * n_toxic)) & (F.col("t") / max(n_toxic, 1) >= ODDS * (F.col("o") + 1) / max(n_ordinary, 1))).collect()}
     told = _counted(first.filter("toxic = 1"), lambda data: fragments(data, telling)).orderBy("part").collect() if telling else []
     model = flat
     if told:
