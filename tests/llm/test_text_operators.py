@@ -313,7 +313,9 @@ def test_toxicity_on_the_held_out_fold(spark):
     found = toxicity.toxicity(documents.join(labels.select("doc_id"), "doc_id"), labels).collect()
     held = [r for r in found if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
-    assert sum(r.predicted == told[r.doc_id] for r in held) / len(held) > 0.95
+    english = {r.doc_id for r in documents.filter("lang = 'en'").select("doc_id").collect()}  # at this size only English toxic rows differ from others at all
+    right = lambda rows: sum(r.predicted == told[r.doc_id] for r in rows) / len(rows)
+    assert right(held) > 0.93 and right([r for r in held if not told[r.doc_id]]) > 0.99 and right([r for r in held if r.doc_id in english]) > 0.97
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
 
 
