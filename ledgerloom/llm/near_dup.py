@@ -31,7 +31,7 @@ from ledgerloom.llm.common import batch_of, slices, texts, written
 from ledgerloom.llm.components import components
 
 COORDINATES = 64
-TREES, DEPTH, CHILDREN, SMALL = 12, 12, 2, 512
+TREES, DEPTH, CHILDREN, SMALL = 12, 12, 2, 2048
 ALIKE = 33
 BLOCK, LEADERS = 256, 8
 _RANDOM = np.random.default_rng(20_240)
@@ -122,15 +122,24 @@ def _compare_nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for run in _runs(batches, 2):
         ids = [r[2] for r in run]
         sigs = np.frombuffer(b"".join(r[3] for r in run), np.uint32).reshape(len(run), COORDINATES)
-        forest, found = Forest(len(ids)), []
-        for i in range(len(ids) - 1):
-            for j in np.flatnonzero((sigs[i + 1 :] == sigs[i]).sum(axis=1) >= ALIKE).tolist():
-                if ids[i] != ids[i + 1 + j] and forest.join(i, i + 1 + j):
-                    found.append((ids[i], ids[i + 1 + j]))
+        found = _spanning(ids, sigs, range(len(ids) - 1), np.arange(len(ids)))
         if found:
             yield _edges(found)
 
 
+def _spanning(ids: list[int], sigs: np.ndarray, rows: Iterable[int], label: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from the given rows to members of other labels that resemble them; joined labels become one."""
+    found = []
+    for i in rows:
+        others = np.flatnonzero(label != label[i])
+        for j in others[(sigs[others] == sigs[i]).sum(axis=1) >= ALIKE].tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                if ids[i] != ids[j]:
+                    found.append((ids[i], ids[j]))
+    return found
+
+
 _LEADERS = "node long, ids array<long>, sigs binary, edges array<struct<a long, b long>>"
 _LEADERS_ARROW = pa.schema([("node", pa.int64()), ("ids", pa.list_(pa.int64())), ("sigs", pa.binary()), ("edges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
 
@@ -167,14 +176,8 @@ def _compare_outliers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         ids = [r[2] for r in run]
         sigs = np.frombuffer(b"".join(r[3] for r in run), np.uint32).reshape(len(run), COORDINATES)
         out = [i for i, r in enumerate(run) if r[4]]
-        rest = [i for i, r in enumerate(run) if not r[4]]
-        forest, found = Forest(len(ids)), []
-        for i in rest:
-            forest.join(rest[0], i)
-        for i in out:
-            for j in np.flatnonzero((sigs == sigs[i]).sum(axis=1) >= ALIKE).tolist():
-                if ids[i] != ids[j] and forest.join(i, j):
-                    found.append((ids[i], ids[j]))
+        label = np.array([i if r[4] else -1 for i, r in enumerate(run)])
+        found = _spanning(ids, sigs, out, label)
         if found:
             yield _edges(found)
 
@@ -228,7 +231,7 @@ def candidate_edges(reps: DataFrame) -> list[DataFrame]:
             break
         onward = met.join(mixed, "node")
         if level < DEPTH:
-            rows, carried = onward.select("node", "doc_id", "sig").mapInArrow(_branch_by(level), "node long, doc_id long, sig binary"), True
+            rows, carried = written(onward.select("node", "doc_id", "sig").mapInArrow(_branch_by(level), "node long, doc_id long, sig binary"), "branches"), True
             continue
         edges.append(_all_blocks(onward).mapInArrow(_compare_nodes, "a long, b long"))
     return edges
@@ -333,7 +336,7 @@ def exact_links(docs: DataFrame, candidates: DataFrame, width: int, percent: int
     sides = pairs.select("cluster", F.col("key_1").alias("key"), part, F.when(alone, 0).otherwise(1).alias("kind")).union(pairs.filter(~alone).select("cluster", F.col("key_2").alias("key"), part, F.lit(2).alias("kind")))
     big = big.withColumn("key", F.xxhash64("cluster", F.coalesce("team", F.lit(-1)), F.col("team").isNull(), "block"))
     second = deal(big.join(sides, ["cluster", "key"]).select("cluster", "part", "kind", "label", "doc_id", "text"))
-    return first.union(written(second, "links"))
+    return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(written(second, "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
