@@ -92,10 +92,9 @@ def metric_candidates(cells: DataFrame) -> DataFrame:
     return best.withColumn("score", 100 - C("distance") + bonus)
 
 
-def rank_candidates(candidates: DataFrame, keep: int = 30) -> DataFrame:
-    """Best ``keep`` candidates per file and metric; rank 1 is preferred, ties keep cell order."""
-    w = W.partitionBy("file", "metric").orderBy(F.desc("score"), "sheet_idx", "row", "col")
-    return candidates.withColumn("rank", F.row_number().over(w)).filter(C("rank") <= keep)
+def rank_candidates(candidates: DataFrame) -> DataFrame:
+    """All candidates with their rank per file and metric; rank 1 is preferred, ties keep cell order. Numbered score by score."""
+    return banding.row_number(candidates, ["file", "metric"], -C("score"), ["sheet_idx", "row", "col"], "rank")
 
 
 def derived_metrics(ranked: DataFrame) -> DataFrame:
@@ -138,7 +137,7 @@ def quality_findings(cells: DataFrame, ranked: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- regions
 
 
-def table_regions(cells: DataFrame, max_tables: int = 24) -> DataFrame:
+def table_regions(cells: DataFrame) -> DataFrame:
     """Table-like blocks: rows with two or more cells, a jump of more than two rows starts a block."""
     long_text = C("value_str").isNotNull() & (F.length(clean_text("value_str")) >= 2)
     rows = cells.groupBy(*SHEET, "row").agg(F.count("*").alias("n"), F.count_if(long_text).alias("n_text")).filter("n >= 2")
@@ -162,8 +161,7 @@ def table_regions(cells: DataFrame, max_tables: int = 24) -> DataFrame:
     shaped = cols.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("col", F.coalesce("header", F.lit("")).alias("header")))).alias("c"))
     sizes = body.groupBy(*key).agg((F.count("*") - 1).alias("row_count"))
     out = heads.join(shaped, key).join(sizes, key).filter(F.size("c") >= 2)
-    w = W.partitionBy(*SHEET).orderBy("header_row")  # one row per detected block
-    return out.withColumn("n", F.row_number().over(w)).filter(C("n") <= max_tables).select(
+    return out.select(
         *SHEET, F.concat(slug("sheet"), F.lit("-r"), C("header_row").cast("string")).alias("table_id"), "header_row", "end_row",
         C("c.col").alias("columns"), C("c.header").alias("headers"), "row_count")
 
@@ -232,7 +230,7 @@ def sheet_profile(cells: DataFrame, sample_cells: int | None = 300, sample_chars
 def formula_signature(f: Column) -> Column:
     s = F.regexp_replace(F.upper(f), r"\$?[A-Z]{1,3}\$?\d+", "CELL")
     s = F.regexp_replace(s, r"\d+(?:\.\d+)?", "NUM")
-    return F.substring(F.regexp_replace(s, r"\s+", ""), 1, 180)
+    return F.regexp_replace(s, r"\s+", "")
 
 
 def search(cells: DataFrame, text: str, page: int, size: int = 250) -> DataFrame:
@@ -242,7 +240,7 @@ def search(cells: DataFrame, text: str, page: int, size: int = 250) -> DataFrame
     return cells.filter(hay.contains(text.lower())).orderBy(*order).offset((page - 1) * size).limit(size)
 
 
-def row_numbers_right(cells: DataFrame, lexicon_hits: DataFrame, keep: int = 20) -> DataFrame:
+def row_numbers_right(cells: DataFrame, lexicon_hits: DataFrame) -> DataFrame:
     """Nearest number to the right in the same row at any distance, for matched labels.
 
     Instead of pairing a label with every number of its row, labels and numbers are laid
@@ -258,7 +256,7 @@ def row_numbers_right(cells: DataFrame, lexicon_hits: DataFrame, keep: int = 20)
         "*", F.first(F.when(C("n").isNotNull(), F.struct(C("col").alias("value_col"), C("n").alias("value"))), ignorenulls=True).over(after).alias("v"))
     cand = near.filter("metric IS NOT NULL").select(*SHEET, "row", "col", "metric", "match_score", C("value_str").alias("label"), "v.value_col", "v.value")
     w = W.partitionBy("file", "metric").orderBy(C("value").isNull(), F.desc("match_score"), "sheet_idx", "row", "col")
-    return cand.withColumn("rank", F.row_number().over(w)).filter(C("rank") <= keep)
+    return cand.withColumn("rank", F.row_number().over(w))
 
 
 # ------------------------------------------------------- schema inference
@@ -286,9 +284,9 @@ def header_scores(headers: DataFrame, schema: dict[str, list[str]], text: str =
     return pairs.select(text, "field", score.alias("score")).groupBy(text, "field").agg(F.max("score").alias("score")).filter("score > 0")
 
 
-def header_rows(cells: DataFrame, schema: dict[str, list[str]], max_scan_rows: int) -> DataFrame:
-    """Per sheet the best header row: greedy one-to-one field/column assignment, highest total first."""
-    zone = cells.filter(C("row").between(1, max_scan_rows) & C("value_str").isNotNull()).select(*SHEET, "row", "col", C("value_str").alias("header"))
+def header_rows(cells: DataFrame, schema: dict[str, list[str]]) -> DataFrame:
+    """Per sheet the best header row, wherever it stands: greedy one-to-one field/column assignment, highest total first, then the earliest."""
+    zone = cells.filter(C("value_str").isNotNull()).select(*SHEET, "row", "col", C("value_str").alias("header"))
     scored = zone.join(header_scores(zone, schema).filter("score >= 5"), "header")
     # One row of candidates is at most (columns x fields) long.
     cand = scored.groupBy(*SHEET, "row").agg(F.sort_array(F.collect_list(F.struct("score", "field", "col")), asc=False).alias("cand"))
@@ -308,9 +306,9 @@ def header_rows(cells: DataFrame, schema: dict[str, list[str]], max_scan_rows: i
 
 
 def schema_sheet(cells: DataFrame, schema: dict[str, list[str]], required: Iterable[str], hints: Iterable[str],
-                 max_scan_rows: int, min_fields: int, min_score: float) -> DataFrame:
+                 min_fields: int, min_score: float) -> DataFrame:
     """The sheet of each file that carries the schema, with its mapping and confidence."""
-    heads = header_rows(cells, schema, max_scan_rows)
+    heads = header_rows(cells, schema)
     need = F.array(*[F.lit(r) for r in required])
     ok = heads.filter(F.size(F.array_except(need, "fields")) == 0)
     name = norm_header("sheet")

@@ -119,6 +119,7 @@ def ranking(last: DataFrame) -> DataFrame:
 
 
 def heat_map(snap: DataFrame, key: str, value: str, months: list[str]) -> DataFrame:
+    """A caller's months side by side; the long form is the snapshot itself."""
     return snap.groupBy(key).pivot("month", months).agg(F.max(value))
 
 

@@ -70,13 +70,13 @@ def cashflow(cells: DataFrame) -> DataFrame:
         cell_state("raw_in").alias("cash_in_state"), cell_state("raw_out").alias("cash_out_state"))
 
 
-def cost_codes(cells: DataFrame, max_scan_rows: int = 30) -> DataFrame:
+def cost_codes(cells: DataFrame) -> DataFrame:
     """Side-by-side (code, description, type) triplets; a code's first occurrence wins.
 
     First means: earlier header, then earlier row. An aggregate finds it, so repeated codes
     need no ordered pass over the sheet.
     """
-    heads = cells.filter(C("row") <= max_scan_rows).filter("value_str IS NOT NULL").select(*SHEET, "row", "col", norm_header("value_str").alias("t"))
+    heads = cells.filter("value_str IS NOT NULL").select(*SHEET, "row", "col", norm_header("value_str").alias("t"))
     triple = heads.filter(C("t").contains("code")).select(*SHEET, "row", "col")
     for off, word in ((1, "description"), (2, "type")):
         hit = heads.filter(C("t").contains(word)).select(*SHEET, "row", (C("col") - off).alias("col"))
@@ -126,7 +126,7 @@ def ledger(cells: DataFrame) -> DataFrame:
 
 def indirect_pools(cells: DataFrame) -> DataFrame:
     """Up to two disjoint label/cost bands with three or more rows: left is granular, right official."""
-    heads = cells.filter((C("row") <= 12) & (C("col") >= 2)).filter(norm_header("value_str") == "cost").select(
+    heads = cells.filter(C("col") >= 2).filter(norm_header("value_str") == "cost").select(
         *SHEET, C("row").alias("header_row"), C("col").alias("cost_col"))
     named = cells.filter("value_str IS NOT NULL").groupBy(*SHEET).agg(
         F.bool_or(norm_header("value_str").contains("total indirect cost")).alias("blob"))
@@ -158,7 +158,7 @@ def indirect_pools(cells: DataFrame) -> DataFrame:
 
 def direct_allocation(cells: DataFrame) -> DataFrame:
     """Resource rows under their work code: code and item are filled down the sheet."""
-    texts = cells.filter((C("row") <= 25) & C("value_str").isNotNull()).select(*SHEET, "row", "col", norm_header("value_str").alias("t"))
+    texts = cells.filter(C("value_str").isNotNull()).select(*SHEET, "row", "col", norm_header("value_str").alias("t"))
     heads = texts.filter(C("t").isin("resource", "actual cost")).groupBy(*SHEET, "row").agg(
         F.max(F.when(C("t") == "resource", C("col"))).alias("rcol"), F.max(F.when(C("t") == "actual cost", C("col"))).alias("acol")).filter(
         "rcol IS NOT NULL AND acol IS NOT NULL")
@@ -181,7 +181,7 @@ def waste_summary(cells: DataFrame) -> DataFrame:
 
     Without explicit material headers, or with the concrete band not to the right, nothing is returned.
     """
-    heads = cells.filter((C("row") <= 8) & (C("col") >= 2) & C("value_str").isNotNull()).select(*SHEET, "row", "col", norm_header("value_str").alias("t"))
+    heads = cells.filter((C("col") >= 2) & C("value_str").isNotNull()).select(*SHEET, "row", "col", norm_header("value_str").alias("t"))
     bands = heads.groupBy(*SHEET, "row").agg(
         F.max(F.when(C("t").contains("steel"), C("col"))).alias("steel"), F.max(F.when(C("t").contains("concrete"), C("col"))).alias("split")).filter(
         "split > steel").groupBy(*SHEET).agg(F.min(F.struct("row", "split")).alias("b")).select(*SHEET, C("b.split").alias("split"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import clean_text, norm_header, ratio, running_total, total_sum
+from ledgerloom.session import cut
 
 
 def project_items(direct: DataFrame) -> DataFrame:
@@ -226,11 +227,14 @@ def unpack_ledger(packed: DataFrame, names: DataFrame) -> DataFrame:
     return out.withColumn("months", dense).drop("_m", "packed", "names")
 
 
-def flatten_records(df: DataFrame, key: str, json: str, depth: int = 4) -> DataFrame:
-    """Every array element found at any object nesting of a JSON document, one row each."""
+def flatten_records(df: DataFrame, key: str, json: str) -> DataFrame:
+    """Every array element found at any object nesting of a JSON document, one row each.
+
+    One level of objects is opened at a time, from the written level before, until none is left.
+    """
     level = df.select(key, F.parse_json(json).alias("v"))
     found = None
-    for _ in range(depth):
+    while True:
         kind = F.schema_of_variant("v")
         arrays = level.filter(kind.startswith("ARRAY"))
         hits = arrays.lateralJoin(arrays.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
@@ -238,10 +242,11 @@ def flatten_records(df: DataFrame, key: str, json: str, depth: int = 4) -> DataF
         )
         found = hits if found is None else found.unionByName(hits)
         objects = level.filter(kind.startswith("OBJECT"))
-        level = objects.lateralJoin(objects.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
+        if objects.isEmpty():
+            return found
+        level = cut(objects.lateralJoin(objects.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
             key, F.col("value").alias("v")
-        )
-    return found
+        ))
 
 
 def object_table(frames: list[DataFrame]) -> DataFrame:

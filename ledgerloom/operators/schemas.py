@@ -76,11 +76,11 @@ LEDGER_SCHEMA = {
     "total_cost": ["total cost"],
     "item": ["item"],
 }
-# Role -> (required fields, sheet-name hints, rows scanned, minimum fields, minimum score).
+# Role -> (required fields, sheet-name hints, minimum fields, minimum score).
 ROLES = {
-    "direct_details": (DIRECT_SCHEMA, ["main_code", "description", "original_budget", "ev", "ac"], ["direct details"], 20, 8, 70.0),
-    "indirect_details": (INDIRECT_SCHEMA, ["main_code", "description", "original_budget", "ev", "ac"], ["indirect details"], 30, 7, 70.0),
-    "ledger": (LEDGER_SCHEMA, ["main_code", "source", "description", "currency"], ["expense", "ledger"], 25, 6, 65.0),
+    "direct_details": (DIRECT_SCHEMA, ["main_code", "description", "original_budget", "ev", "ac"], ["direct details"], 8, 70.0),
+    "indirect_details": (INDIRECT_SCHEMA, ["main_code", "description", "original_budget", "ev", "ac"], ["indirect details"], 7, 70.0),
+    "ledger": (LEDGER_SCHEMA, ["main_code", "source", "description", "currency"], ["expense", "ledger"], 6, 65.0),
 }
 # Row labels of the waste sheet.
 WASTE_ROWS = {

@@ -134,8 +134,8 @@ def lexicon_match(labels: DataFrame, fuzzy: bool = True, threshold: float = 0.58
 # ------------------------------------------------------------------ vectors
 
 
-def term_statistics(docs: DataFrame, key: str, text: str, max_features: int | None = 5000) -> DataFrame:
-    """Document frequency and total count of uni- and bi-grams; the most frequent are the features."""
+def term_statistics(docs: DataFrame, key: str, text: str, max_features: int | None = None) -> DataFrame:
+    """Document frequency and total count of uni- and bi-grams, of all or of a caller's number of the most frequent."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_%.\-]{2,})"), 1)
     d = docs.select(key, tokens.alias("t"))
     grams = F.concat("t", F.when(F.size("t") > 1, F.zip_with(
@@ -147,7 +147,7 @@ def term_statistics(docs: DataFrame, key: str, text: str, max_features: int | No
     return stats.orderBy(F.desc("total"), "term").limit(max_features)
 
 
-def tfidf(docs: DataFrame, key: str, text: str, max_features: int = 5000) -> DataFrame:
+def tfidf(docs: DataFrame, key: str, text: str, max_features: int | None = None) -> DataFrame:
     """Unit-length weights with logarithmic term frequency, as sparse (key, term, weight) rows."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_%.\-]{2,})"), 1)
     stats = term_statistics(docs, key, text, max_features)

@@ -92,15 +92,10 @@ def x05(spark, sf):
     return op.ranking(op.latest(snap(spark, sf)))
 
 
-HEAT_MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in (3, 6, 9, 12)]
-
-
-@query("x06_variance_heat_map", sql_with("SELECT main_code, " + ", ".join(
-    f"max(CASE WHEN month='{m}' THEN cv END) AS \"{m}\"" for m in HEAT_MONTHS)
-    + f" FROM (SELECT main_code, month, {S('ev-ac')} AS cv FROM work_packages GROUP BY 1,2) GROUP BY main_code", "work_packages"))
+@query("x06_variance_heat_map", sql_with(f"SELECT main_code, month, {S('ev-ac')} AS cv FROM work_packages GROUP BY 1,2", "work_packages"))
 def x06(spark, sf):
     g = b.cost_lines(spark, sf, part=True).groupBy("main_code", "month").agg(*b.money_sums("ev", "ac"))
-    return op.heat_map(g.withColumn("cv", F.round(C("ev") - C("ac"), 6)), "main_code", "cv", HEAT_MONTHS)
+    return g.select("main_code", "month", F.round(C("ev") - C("ac"), 6).alias("cv"))
 
 
 @query("x07_deterioration_streak", sql_with("""

@@ -228,7 +228,7 @@ def n23(spark, sf):
         return F.struct(k.alias("k"), v.alias("v"))
 
     doc = F.to_json(F.struct(
-        F.struct(F.struct(F.array(rec(F.col("o_orderkey"), F.col("o_totalprice"))).alias("rows")).alias("inner")).alias("header"),
+        F.struct(F.struct(F.struct(F.struct(F.struct(F.array(rec(F.col("o_orderkey"), F.col("o_totalprice"))).alias("rows")).alias("a")).alias("b")).alias("c")).alias("inner")).alias("header"),
         F.array(rec(F.col("o_custkey"), F.lit(1.5)), rec(F.col("o_orderkey"), F.lit(2.5))).alias("tags")))
     docs = b.table(spark, sf, "orders").select("o_orderkey", doc.alias("doc"))
     flat = nz.flatten_records(docs, "o_orderkey", "doc")

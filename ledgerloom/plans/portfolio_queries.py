@@ -82,15 +82,13 @@ def p06(spark, sf):
     return op.peer_columns(scoped(spark, sf))
 
 
-SHOWN = [f"NATION_{i}" for i in range(25)]
 NET_CUM = "coalesce(cash_in_cum,0)-coalesce(cash_out_cum,0)"
 
 
 @query("p07_monthly_comparison", sql_with(
-    "SELECT month, " + ", ".join(f"max(CASE WHEN project='{p}' THEN {NET_CUM} END) AS \"{p}\"" for p in SHOWN)
-    + " FROM cashflow GROUP BY month", "cashflow"))
+    f"SELECT month, project, {NET_CUM} AS value FROM cashflow", "cashflow"))
 def p07(spark, sf):
-    return op.monthly_comparison(b.cashflow(spark, sf), "net_cum", SHOWN)
+    return op.month_values(b.cashflow(spark, sf)).filter("metric = 'net_cum'").select("month", "project", "value")
 
 
 @query("p08_month_coverage", sql_with("""

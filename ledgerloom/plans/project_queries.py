@@ -161,13 +161,12 @@ b.define("waste", f"""SELECT project, material, actual, engineering, actual-engi
  FROM (SELECT *, CASE WHEN engineering<>0 THEN (actual-engineering)/engineering END AS actual_pct FROM (
  SELECT n_name AS project, CASE p_type WHEN 'STANDARD' THEN 'steel' ELSE 'concrete' END AS material,
  {S('l_quantity')} AS actual, {S('l_quantity*(1-l_discount)')} AS engineering FROM lineitem JOIN part ON l_partkey=p_partkey
- JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey
- WHERE p_type IN ('STANDARD','PROMO') GROUP BY 1,2))""")
+ JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey GROUP BY 1,2))""")
 
 
 def waste(spark, sf):
-    """Material consumption per project: STANDARD parts are steel, PROMO parts concrete."""
-    p = b.table(spark, sf, "part").filter(F.col("p_type").isin("STANDARD", "PROMO")).select("p_partkey", "p_type")
+    """Material consumption per project: STANDARD parts are steel, all others concrete."""
+    p = b.table(spark, sf, "part").select("p_partkey", "p_type")
     li = b.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount")
     op_ = b.order_projects(spark, sf, "o_orderkey", "project")
     g = (li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(op_, F.col("l_orderkey") == F.col("o_orderkey"))

@@ -69,20 +69,25 @@ def t03s(spark, sf):
 @query("t04_term_statistics", r"""
 WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text),'[\p{L}\p{N}_%.\-]{2,}') AS t FROM documents),
  g AS (SELECT doc_id, unnest(list_concat(t, [t[i]||' '||t[i+1] FOR i IN range(1,len(t))])) AS term FROM tok)
-SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, count(*) AS total FROM g GROUP BY term ORDER BY total DESC, term LIMIT 5000""")
+SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, count(*) AS total FROM g GROUP BY term""")
 def t04(spark, sf):
     return op.term_statistics(b.table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("t04_tfidf_weights")
+@query("t04_tfidf_weights", r"""
+WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text),'[\p{L}\p{N}_%.\-]{2,}') AS t FROM documents),
+ g AS (SELECT doc_id, unnest(list_concat(t, [t[i]||' '||t[i+1] FOR i IN range(1,len(t))])) AS term FROM tok),
+ tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1,2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ w AS (SELECT doc_id, term, (ln(tf)+1)*(ln(((SELECT count(*) FROM documents)+1)/(df+1))+1) AS w FROM tf JOIN df USING (term))
+SELECT doc_id, term, round(w/sqrt(sum(w*w) OVER (PARTITION BY doc_id)),6) AS weight FROM w""")
 def t04w(spark, sf):
-    return op.tfidf(b.table(spark, sf, "documents"), "doc_id", "text")
+    return op.tfidf(b.table(spark, sf, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 @query("t05_kmeans_clusters")
 def t05(spark, sf):
     e = b.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return op.kmeans_clusters(e, "embedding", op.cluster_count(e.count())).select("vec_id", "cluster")
+    return op.kmeans_clusters(e, "embedding", 8).select("vec_id", "cluster")
 
 
 FEATURES = ["n_chars", "n_lines", "n_words", "digit_share", "constant"]

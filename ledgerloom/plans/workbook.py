@@ -157,7 +157,7 @@ WASTE_LABELS = [(3, WASTE_ROWS["actual"], "actual"), (4, WASTE_ROWS["engineering
 
 def waste_columns(spark, sf) -> DataFrame:
     """Material columns 2-5: steel and concrete, each split by discounted and full-price lines."""
-    p = b.table(spark, sf, "part").filter(C("p_type").isin("STANDARD", "PROMO")).select("p_partkey", "p_type")
+    p = b.table(spark, sf, "part").select("p_partkey", "p_type")
     li = b.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount")
     op = b.order_projects(spark, sf, "o_orderkey", "project")
     col = F.when(C("p_type") == "STANDARD", 2).otherwise(4) + F.when(C("l_discount") > 0.05, 1).otherwise(0)
