@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import batch_of, fold, slices, texts
+from ledgerloom.llm.common import batch_of, fold, slices, texts, written
 
 SAMPLE, FEW, WINDOWS = 2400, 60, 12
 MIN_SHARE, MIN_TEXTS, ODDS = 0.015, 8, 10
@@ -106,7 +106,7 @@ def _counted(sample: DataFrame, parts) -> DataFrame:
     schema = pa.schema([("part", pa.binary()), ("toxic", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 16):
             counts: Counter = Counter()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts.update((p, toxic) for p in parts((text or "").lower().encode()))
@@ -116,14 +116,13 @@ def _counted(sample: DataFrame, parts) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5) -> Model:
-    sample = _sample(docs, labels, label, folds).persist()
+    sample = written(_sample(docs, labels, label, folds), "toxic-sample")
     sizes = {(r["toxic"], r["half"]): r["count"] for r in sample.groupBy("toxic", "half").count().collect()}
     toxic, ordinary = (sum(n for (t, _), n in sizes.items() if t == k) for k in (1, 0))
     split = toxic >= FEW
     rate = (toxic + 0.5) / (toxic + ordinary + 1)
     flat = Model(b"", b"", [0.0] * FEATURES, [1.0] * FEATURES, [0.0] * FEATURES + [float(np.log(rate / (1 - rate)))])
     if not toxic or not ordinary:
-        sample.unpersist()
         return flat
     first = sample.filter("half = 0") if split else sample
     n_toxic, n_ordinary = (sum(n for (t, h), n in sizes.items() if t == k and (h == 0 or not split)) for k in (1, 0))
@@ -147,7 +146,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         common = sorted(bytes(r["w"]) for r in first.filter("toxic = 0").select("text").mapInArrow(some, "w binary").collect())
         model = Model(_dictionary(ORDINARY_BYTES, common), _dictionary(TOXIC_BYTES, pieces), flat.middle, flat.spread, flat.weights)
         model = _calibrated(model, sample.filter("half = 1") if split else sample)
-    sample.unpersist()
     return model
 
 
