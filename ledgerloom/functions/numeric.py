@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MICRO = 1e6
+LARGE = 9e12
 LOW_BITS = 20
 LOW_MASK = (1 << LOW_BITS) - 1
 
@@ -20,15 +21,21 @@ def _col(c: Column | str) -> Column:
 
 
 def line_sum(c: Column | str) -> Column:
-    """Exact sum of source-line amounts (each below 9e12); NULL when no value is present.
+    """Sum of source-line amounts; NULL when no value is present.
 
-    The micro-unit integer is summed as a high and a low half, so neither long
-    overflows before ~1e13 rows, and partial aggregation stays in plain longs.
+    Each amount below 9e12 counts in whole micro-units (rounded to 1e-6). The integer is
+    summed as a high and a low half, so neither long overflows before ~1e13 rows, and
+    partial aggregation stays in plain longs. Larger amounts, whose doubles hold no
+    micro-units, are summed as doubles and added at the end.
     """
-    micro = F.rint(_col(c) * MICRO).cast("long")
+    amount = _col(c)
+    large = F.abs(amount) >= LARGE
+    micro = F.rint(F.when(~large, amount) * MICRO).cast("long")
+    beyond = F.sum(F.when(large, amount))
     high = F.sum(F.shiftright(micro, LOW_BITS)).cast("decimal(20,0)")
     low = F.sum(micro.bitwiseAND(F.lit(LOW_MASK)))
-    return (high * (1 << LOW_BITS) + low).cast("double") / MICRO
+    exact = (high * (1 << LOW_BITS) + low).cast("double") / MICRO
+    return F.when(beyond.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + beyond)
 
 
 def total_sum(c: Column | str) -> Column:

@@ -360,22 +360,21 @@ def normal_title(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-def dataset_stats(evidence: DataFrame, limit: int = 12) -> DataFrame:
-    """Records, first distinct locations and mean confidence per project and dataset."""
+def evidence_places(evidence: DataFrame) -> DataFrame:
+    """Distinct places (sheet and row) per project and dataset."""
+    place = F.concat_ws(" row ", "source_sheet", F.col("source_row").cast("string")).alias("place")
+    return evidence.filter("source_sheet IS NOT NULL").select("project", "dataset", "source_sheet", "source_row", place).distinct()
+
+
+def dataset_stats(evidence: DataFrame) -> DataFrame:
+    """Records, number of distinct places and mean confidence per project and dataset."""
     stats = evidence.groupBy("project", "dataset").agg(
         F.count("*").alias("records"), F.avg("mapping_confidence").alias("confidence"))
-    w = W.partitionBy("project", "dataset").orderBy("source_sheet", "source_row")
-    places = (
-        evidence.filter("source_sheet IS NOT NULL").select("project", "dataset", "source_sheet", "source_row").distinct()
-        .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
-        .groupBy("project", "dataset").agg(F.sort_array(F.collect_list(F.struct(
-            "rn", F.concat_ws(" row ", "source_sheet", F.col("source_row").cast("string")).alias("place")))).alias("p"))
-        .select("project", "dataset", F.col("p.place").alias("locations"))
-    )
+    places = evidence_places(evidence).groupBy("project", "dataset").agg(F.count("*").alias("n_places"))
     return stats.join(places, ["project", "dataset"], "left")
 
 
-def lineage(bindings: DataFrame, projects: DataFrame, stats: DataFrame, metrics: DataFrame) -> DataFrame:
+def lineage(bindings: DataFrame, projects: DataFrame, stats: DataFrame, places: DataFrame, metrics: DataFrame) -> DataFrame:
     """Output bindings x projects: records, evidence, confidence and wired/derived/unavailable.
 
     ``bindings`` has (ordinal, family, page, component, metric, datasets array);
@@ -385,10 +384,12 @@ def lineage(bindings: DataFrame, projects: DataFrame, stats: DataFrame, metrics:
     used = base.select("project", "ordinal", F.explode("datasets").alias("dataset")).join(stats, ["project", "dataset"])
     agg = used.groupBy("project", "ordinal").agg(
         F.sum("records").alias("records"), F.sum(F.col("confidence") * F.col("records")).alias("weighted"),
-        F.sum(F.when(F.col("confidence").isNotNull(), F.col("records"))).alias("weight"),
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("locations")))), 1, 12).alias("places"))
-    out = base.join(agg, ["project", "ordinal"], "left").join(metrics, ["project", "metric"], "left")
-    places = F.coalesce(F.size("places"), F.lit(0)) + F.when(F.col("location").isNotNull(), 1).otherwise(0)
+        F.sum(F.when(F.col("confidence").isNotNull(), F.col("records"))).alias("weight"))
+    # a place that several datasets of a binding share counts once
+    told = bindings.select("ordinal", F.explode("datasets").alias("dataset")).join(places.select("project", "dataset", "place"), "dataset")
+    told = told.groupBy("project", "ordinal").agg(F.count_distinct("place").alias("n_places"))
+    out = base.join(agg, ["project", "ordinal"], "left").join(told, ["project", "ordinal"], "left").join(metrics, ["project", "metric"], "left")
+    places = F.coalesce("n_places", F.lit(0)) + F.when(F.col("location").isNotNull(), 1).otherwise(0)
     present = F.col("location").isNotNull() | (F.col("records") > 0)
     return out.select(
         "project", "ordinal", "family", "page", "component", F.coalesce("records", F.lit(0)).cast("long").alias("records"),
@@ -401,7 +402,7 @@ def adaptive_lineage(bindings: DataFrame, stats: DataFrame) -> DataFrame:
     """Datasets no binding covers are still listed."""
     covered = bindings.select(F.explode("datasets").alias("dataset")).distinct()
     title = F.initcap(F.regexp_replace("dataset", "_", " "))
-    n = F.coalesce(F.size("locations"), F.lit(0))
+    n = F.coalesce("n_places", F.lit(0))
     return stats.join(covered, "dataset", "left_anti").select(
         "project", F.lit(None).cast("int").alias("ordinal"), F.lit("Source & Assurance").alias("family"),
         F.lit("Data Mapping").alias("page"), F.concat(F.lit("Adaptive dataset · "), title).alias("component"),

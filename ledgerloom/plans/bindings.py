@@ -1,8 +1,9 @@
 """The engine's long tables, bound to the given star schema.
 
 Each binding joins only the dimensions whose columns are asked for: an unused
-dimension would cost a shuffle of every line at scale. No join carries a
-broadcast hint; the optimizer broadcasts what its size statistics allow.
+dimension would cost a shuffle of every line at scale. A lookup side carries a
+broadcast hint only while the scans behind it are below the session's threshold
+(``session.broadcast_if_small``).
 """
 
 from __future__ import annotations

@@ -73,8 +73,7 @@ def evidence(spark, sf, lines, model):
 
 b.define("stats", """SELECT s.*, coalesce(p.n,0) AS n, p.places FROM (SELECT project, dataset, count(*) AS records, avg(mapping_confidence) AS confidence FROM evidence GROUP BY 1,2) s
  LEFT JOIN (SELECT project, dataset, count(*) AS n, list(place) AS places FROM (SELECT DISTINCT project, dataset, source_sheet, source_row,
-  concat_ws(' row ',source_sheet,CAST(source_row AS VARCHAR)) AS place FROM evidence WHERE source_sheet IS NOT NULL
-  QUALIFY dense_rank() OVER (PARTITION BY project, dataset ORDER BY source_sheet, source_row NULLS FIRST)<=12) GROUP BY 1,2) p USING (project, dataset)""", "evidence")
+  concat_ws(' row ',source_sheet,CAST(source_row AS VARCHAR)) AS place FROM evidence WHERE source_sheet IS NOT NULL) GROUP BY 1,2) p USING (project, dataset)""", "evidence")
 METRIC_COLS = {"contract_value": "m_contract_value", "budget": "m_budget", "earned_value": "m_earned_value", "actual_cost": "m_actual_cost",
                "direct_cost": "m_direct_cost", "indirect_cost": "m_indirect_cost", "revenue": "m_revenue", "gross_profit": "m_gross_profit"}
 b.define("metric_places", " UNION ALL ".join(
@@ -115,7 +114,7 @@ SELECT p.project, bd.ordinal, family, page, component, coalesce(u.records,0) AS
   WHEN coalesce(u.n,0)+(location IS NOT NULL)::INT>0 THEN 'wired' ELSE 'derived' END AS status
 FROM (SELECT name AS project FROM model) p CROSS JOIN bind_project bd LEFT JOIN (SELECT project, ordinal, CAST(sum(records) AS BIGINT) AS records,
   sum(confidence*records)/sum(CASE WHEN confidence IS NOT NULL THEN records END) AS confidence,
-  least(12,coalesce(len(list_distinct(flatten(list(places) FILTER (places IS NOT NULL)))),0)) AS n
+  coalesce(len(list_distinct(flatten(list(places) FILTER (places IS NOT NULL)))),0) AS n
   FROM (SELECT ordinal, unnest(datasets) AS dataset FROM bind_project) d JOIN stats USING (dataset) GROUP BY 1,2) u ON u.project=p.project AND u.ordinal=bd.ordinal
 LEFT JOIN metric_places m ON m.project=p.project AND m.metric=bd.metric
 UNION ALL SELECT project, NULL, 'Source & Assurance', 'Data Mapping', 'Adaptive dataset · Supplier Accounts', records, n, confidence,
@@ -130,9 +129,10 @@ def shared_lines(spark, sf):
 def lineage_rows(spark, sf, lines=None, stats=None):
     lines = lines if lines is not None else shared_lines(spark, sf)
     m = b.project_model(spark, sf, lines)
-    stats = stats if stats is not None else op.dataset_stats(evidence(spark, sf, lines, m))
+    told = evidence(spark, sf, lines, m)
+    stats = stats if stats is not None else op.dataset_stats(told)
     bind = binding_table(spark, k.PROJECT_BINDINGS)
-    return op.lineage(bind, m.select(C("name").alias("project")), stats, metric_places(m)).unionByName(op.adaptive_lineage(bind, stats))
+    return op.lineage(bind, m.select(C("name").alias("project")), stats, op.evidence_places(told), metric_places(m)).unionByName(op.adaptive_lineage(bind, stats))
 
 
 LIN_OUT = "project, ordinal, family, page, component, records, locations, round(confidence,6) AS confidence, status"
@@ -152,8 +152,9 @@ LEFT JOIN metric_places m ON m.project=p.project AND m.metric=bd.metric""", "mod
 def r32(spark, sf):
     lines = shared_lines(spark, sf)
     m = b.project_model(spark, sf, lines)
-    stats = op.dataset_stats(evidence(spark, sf, lines, m))
-    rows = op.lineage(binding_table(spark, PORTFOLIO_ROWS), m.select(C("name").alias("project")), stats, metric_places(m))
+    told = evidence(spark, sf, lines, m)
+    stats = op.dataset_stats(told)
+    rows = op.lineage(binding_table(spark, PORTFOLIO_ROWS), m.select(C("name").alias("project")), stats, op.evidence_places(told), metric_places(m))
     status = F.when((C("component") == "Selected Projects") | (C("status") != "unavailable"), "derived").otherwise("unavailable")
     return rows.select("project", "ordinal", "page", "component", "records", status.alias("status"))
 

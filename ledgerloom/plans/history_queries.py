@@ -117,13 +117,13 @@ SELECT project, max(month) AS reporting_period, count(*) AS history_rows, arg_ma
  arg_max(CASE WHEN ac<>0 THEN ev/ac END,month) AS cpi, arg_max(ev-ac,month) AS cost_variance, min(month) AS first_period, string_agg(month,',' ORDER BY month) AS periods FROM project_months GROUP BY project""", "project_months"))
 def h08(spark, sf):
     m = b.project_months(spark, sf)
-    entry = F.struct("month", "ev", "ac", F.when(C("ac") != 0, C("ev") / C("ac")).alias("cpi"), (C("ev") - C("ac")).alias("cost_variance"))
-    reg = m.groupBy("project").agg(F.sort_array(F.collect_list(entry)).alias("history"))
-    last = F.element_at("history", -1)
+    entry = F.struct("month", "ev", "ac")
+    # the history stays the long table; only the month names, bounded by the calendar, are joined into a text
+    reg = m.groupBy("project").agg(F.max(entry).alias("last"), F.count("*").alias("history_rows"), F.min("month").alias("first_period"), F.sort_array(F.collect_list("month")).alias("months"))
+    ev, ac = C("last.ev"), C("last.ac")
     return reg.select(
-        "project", last["month"].alias("reporting_period"), F.size("history").cast("long").alias("history_rows"), last["ev"].alias("earned_value"),
-        last["ac"].alias("actual_cost"), last["cpi"].alias("cpi"), last["cost_variance"].alias("cost_variance"),
-        F.element_at("history", 1)["month"].alias("first_period"), F.array_join("history.month", ",").alias("periods"))
+        "project", C("last.month").alias("reporting_period"), "history_rows", ev.alias("earned_value"), ac.alias("actual_cost"),
+        F.when(ac != 0, ev / ac).alias("cpi"), (ev - ac).alias("cost_variance"), "first_period", F.array_join("months", ",").alias("periods"))
 
 
 @query("h09_registry_fingerprint", """

@@ -1,5 +1,7 @@
 """Registered streaming queries (H17, H18): the stream has to equal the batch result."""
 
+from pyspark.sql import functions as F
+
 from ledgerloom.plans import bindings as b
 from ledgerloom.plans.bindings import sql_with
 from ledgerloom.plans.history_queries import LATEST_SQL, revisions
@@ -8,10 +10,19 @@ from ledgerloom.plans.registry import query
 from ledgerloom.streaming import watch
 
 
-def event_stream(spark, sf):
-    """The events files as a stream; each micro-batch takes one file."""
-    schema = b.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf.rstrip('/')}/events*.parquet")
+SLICES = 3
+
+
+def run_in_slices(spark, sf, folder, start):
+    """All events in slices that arrive one after another; each continues the stream from its checkpoint.
+
+    A slice takes events of the whole time range by hash, so every slice after the first brings late periods.
+    """
+    events = b.table(spark, sf, "events")
+    for k in range(SLICES):
+        events.filter(F.pmod(F.xxhash64("ts", "user_id"), F.lit(SLICES)) == k).write.parquet(f"{folder}/arrived/slice-{k}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/arrived/slice-*")
+        watch.finish(start(revisions(spark, sf, stream), folder))
 
 
 LATEST = sql_with("SELECT project, CASE WHEN period='' THEN 'unknown' ELSE period END AS period, fingerprint, processed_at FROM ("
@@ -21,7 +32,7 @@ LATEST = sql_with("SELECT project, CASE WHEN period='' THEN 'unknown' ELSE perio
 @query("h17_continuous_refresh", LATEST)
 def h17(spark, sf):
     folder = watch.run_folder(spark, "refresh")
-    watch.finish(watch.start_refresh(revisions(spark, sf, event_stream(spark, sf)), folder))
+    run_in_slices(spark, sf, folder, watch.start_refresh)
     from ledgerloom.operators.history import latest_per_project
     return latest_per_project(spark.read.parquet(f"{folder}/contexts").drop("batch")).withColumn("processed_at", stamp("processed_at"))
 
@@ -31,5 +42,5 @@ SELECT project, period, fingerprint, {STAMP.replace('ts,', 'p,')} AS processed_a
  FROM (SELECT project, period, fingerprint, max(processed_at) AS p FROM revisions GROUP BY 1,2,3))""", "revisions"))
 def h18(spark, sf):
     folder = watch.run_folder(spark, "history")
-    watch.finish(watch.start_history(revisions(spark, sf, event_stream(spark, sf)), folder))
+    run_in_slices(spark, sf, folder, watch.start_history)
     return watch.read_history(spark, folder).withColumn("processed_at", stamp("processed_at"))

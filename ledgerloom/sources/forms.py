@@ -147,9 +147,10 @@ def text_records(sources: DataFrame) -> DataFrame:
     lines = sources.select("path", F.posexplode(F.split(F.regexp_replace("text", r"\x{00}", ""), LINE_BREAK)).alias("line", "raw"))
     line = clean_text(F.regexp_replace("raw", r"[\p{C}\p{Z}]", " "))
     d = lines.select("path", "line", line.alias("t")).filter("t <> ''")
-    label, value = F.regexp_extract("t", LINE_PAIR, 1), F.regexp_extract("t", LINE_PAIR, 2)
-    pair = C("t").rlike(LINE_PAIR)
-    return d.select("path", "line", F.when(pair, clean_text(label)).alias("label"), F.when(pair, clean_text(value)).otherwise(C("t")).alias("value"))
+    # one pass of the pattern: label and value around a mark that the cleaned text cannot hold
+    split = d.select("path", "line", "t", F.split(F.regexp_replace("t", LINE_PAIR, "$1\u0000$2"), "\u0000").alias("p"))
+    pair = F.size("p") == 2
+    return split.select("path", "line", F.when(pair, clean_text(F.get("p", F.lit(0)))).alias("label"), F.when(pair, clean_text(F.get("p", F.lit(1)))).otherwise(C("t")).alias("value"))
 
 
 def field_label(c: Column) -> Column:

@@ -33,7 +33,7 @@ CHART_KINDS = ["bar", "line", "pie", "scatter", "area", "doughnut"]
 
 CELL_SCHEMA = ("path string, error string, sheet string, sheet_idx int, state string, ref string, value_str string, value_num double, "
                "value_bool boolean, formula string, format_id int, format_code string")
-CHART_SCHEMA = ("path string, sheet string, title string, chart_type string, "
+CHART_SCHEMA = ("path string, error string, sheet string, title string, chart_type string, "
                 "series array<struct<title:string,refs:array<string>,cached:array<string>>>")
 
 
@@ -149,10 +149,10 @@ def _charts(path: str, payload: bytes) -> Iterator[tuple]:
                             "title": "".join(x.text or "" for x in tx.iter(f"{CHART}v")) if tx is not None else None,
                             "refs": [x.text for x in ser.iter(f"{CHART}f")], "cached": [x.text for x in ser.iter(f"{CHART}v")]})
                     text = "".join(x.text or "" for x in title.iter(f"{DRAW}t")) if title is not None else None
-                    yield (path, name, text, kinds[0] if kinds else "unknown", series)
+                    yield (path, None, name, text, kinds[0] if kinds else "unknown", series)
 
 
-def _job(reader, columns: list[str], on_error: bool):
+def _job(reader, columns: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, payload in zip(batch["path"], batch["content"]):
@@ -164,8 +164,7 @@ def _job(reader, columns: list[str], on_error: bool):
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
                 except Exception as e:  # a broken file is one rejected row, not a failed job
-                    if on_error:
-                        rows.append((path, f"{type(e).__name__}: {e}") + (None,) * (len(columns) - 2))
+                    rows.append((path, f"{type(e).__name__}: {e}") + (None,) * (len(columns) - 2))
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)
 
@@ -178,7 +177,7 @@ def _names(schema: str) -> list[str]:
 
 def scan_cells(files: DataFrame) -> DataFrame:
     """One row per populated cell (value or formula); a file that cannot be read gives one error row."""
-    raw = files.select("path", "content").mapInPandas(_job(_cells, _names(CELL_SCHEMA), True), CELL_SCHEMA)
+    raw = files.select("path", "content").mapInPandas(_job(_cells, _names(CELL_SCHEMA)), CELL_SCHEMA)
     row, col = split_ref("ref")
     return raw.select(
         "path", "error", "sheet", "sheet_idx", "state", "ref", row.cast("long").alias("row"), col.cast("long").alias("col"), "value_str", "value_num",
@@ -186,7 +185,8 @@ def scan_cells(files: DataFrame) -> DataFrame:
 
 
 def scan_charts(files: DataFrame) -> DataFrame:
-    return files.select("path", "content").mapInPandas(_job(_charts, ["path", "sheet", "title", "chart_type", "series"], False), CHART_SCHEMA)
+    """One row per chart; a file that cannot be read gives one error row."""
+    return files.select("path", "content").mapInPandas(_job(_charts, ["path", "error", "sheet", "title", "chart_type", "series"]), CHART_SCHEMA)
 
 
 def accepted_cells(cells: DataFrame) -> DataFrame:

@@ -48,15 +48,27 @@ def read_latest(spark: SparkSession, folder: str) -> DataFrame:
     return hist.latest_per_project(spark.read.parquet(f"{folder}/history").drop("batch"))
 
 
+def _state(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """What the batch before left: one compacted table, whatever the number of batches."""
+    return spark.read.parquet(f"{folder}/state/{(batch_id - 1) % 2}") if batch_id else None
+
+
+def _keep(state: DataFrame, folder: str, batch_id: int) -> None:
+    """Two folders take turns: a replayed batch still finds the state before it and rewrites its own."""
+    state.write.mode("overwrite").parquet(f"{folder}/state/{batch_id % 2}")
+
+
 def start_new_sources(sources: DataFrame, folder: str) -> StreamingQuery:
     """New sources by content hash: a hash already accepted in an earlier batch is a duplicate."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         first = batch.groupBy("sha256").agg(F.min("path").alias("path"))
-        done = [f"{folder}/accepted/batch={i}" for i in range(batch_id)]
-        if done:
-            first = first.join(spark.read.parquet(*done).select("sha256"), "sha256", "left_anti")
+        known = _state(spark, folder, batch_id)
+        if known is not None:
+            first = first.join(known.select("sha256"), "sha256", "left_anti")
         first.write.mode("overwrite").parquet(f"{folder}/accepted/batch={batch_id}")
+        new = spark.read.parquet(f"{folder}/accepted/batch={batch_id}").select("sha256")
+        _keep(new if known is None else known.unionByName(new), folder, batch_id)
 
     return sources.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
@@ -70,13 +82,12 @@ def start_refresh(revisions: DataFrame, folder: str) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cols = ["project", "period", "fingerprint", "processed_at"]
-        done = [f"{folder}/contexts/batch={i}" for i in range(batch_id)]
         merged = batch.select(*cols)
-        prior = None
-        if done:
-            prior = hist.latest_per_project(spark.read.parquet(*done))
+        prior = _state(spark, folder, batch_id)
+        if prior is not None:
             merged = merged.unionByName(prior.select(*cols))
-        now = hist.latest_per_project(merged)
+        _keep(hist.latest_per_project(merged).select(*cols), folder, batch_id)
+        now = spark.read.parquet(f"{folder}/state/{batch_id % 2}")
         if prior is not None:
             now = now.join(prior.select("project", "period", "fingerprint"), ["project", "period", "fingerprint"], "left_anti")
         now.select(*cols).write.mode("overwrite").parquet(f"{folder}/contexts/batch={batch_id}")
