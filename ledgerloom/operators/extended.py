@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import ratio, running_total, total_sum
+from ledgerloom.functions import line_sum, ratio, running_total, total_sum
 
 C = F.col
 # Weights of the overall cost-risk score.
@@ -202,9 +202,10 @@ def drill_tree(lines: DataFrame) -> DataFrame:
         total_sum("ac").alias("ac"), F.sum("n").alias("transactions"), F.grouping_id().cast("long").alias("level"))
 
 
-def ledger_groups(lines: DataFrame, low: float, high: float) -> DataFrame:
-    """One switchable grouping per set (month, vendor, code, category) after an amount range."""
-    view = lines.filter(C("ac").between(low, high))
+def ledger_groups(lines: DataFrame, low: float, high: float, first: str, last: str) -> DataFrame:
+    """One switchable grouping per set (month, vendor, code, category) of the transactions in an amount and a month range."""
+    view = lines.filter(C("ac").between(low, high) & C("month").between(first, last))
+    view = view.groupBy("month", "resource", "main_code", "division").agg(line_sum("ac").alias("ac"), F.count("*").alias("n"))
     sets = [["month"], ["resource"], ["main_code"], ["division"]]
     cols = ["month", "resource", "main_code", "division"]
     g = view.groupingSets(sets, *cols).agg(

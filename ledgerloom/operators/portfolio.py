@@ -24,10 +24,14 @@ def revenue_method(methods: DataFrame) -> DataFrame:
     return methods.groupBy("project").agg(pick.alias("r")).select("project", "r.*")
 
 
-def base_rows(model: DataFrame, methods: DataFrame) -> DataFrame:
-    """Project base row: per-field fallback from KPI to registry metric to 0."""
-    r = revenue_method(methods).withColumnRenamed("project", "r_project")
-    j = model.join(r, F.col("name") == F.col("r_project"), "left")
+def base_rows(model: DataFrame) -> DataFrame:
+    """Project base row: per-field fallback from KPI to registry metric to 0.
+
+    The model row carries its ``methods``: the first whose name holds 'revenue' counts, else the first. No join is needed.
+    """
+    order = lambda m: F.struct(F.when(F.lower(m["method"]).contains("revenue"), 0).otherwise(1).alias("p"), m["idx"].alias("idx"),
+                               *[m[c].alias(c) for c in ("base", "profit", "profit_pct", "deductions")])
+    j = model.withColumn("r", F.array_min(F.transform("methods", order))).select(*[c for c in model.columns if c != "methods"], "r.base", "r.profit", "r.profit_pct", "r.deductions")
     chains = {
         "contract": ["k_contract_price_dashboard", "m_contract_value"],
         "price": ["k_total_price_project_summary", "k_contract_price_dashboard", "m_contract_value"],

@@ -285,8 +285,8 @@ def project_model(spark: SparkSession, sf: str, lines: DataFrame | None = None)
     )
 
 
-def profit_methods(model: DataFrame) -> DataFrame:
-    """Profitability methods of each project, never merged."""
+def with_methods(model: DataFrame) -> DataFrame:
+    """The model with the available profitability methods of each project in one array, never merged."""
     contract, revenue, ac = F.col("m_contract_value"), F.col("m_revenue"), F.col("m_actual_cost")
     none = F.lit(None).cast("double")
     profit = revenue - ac - revenue * 0.02
@@ -301,7 +301,12 @@ def profit_methods(model: DataFrame) -> DataFrame:
         method(1, "Revenue method", revenue, revenue * 0.02, profit,
                F.when((F.col("regionkey") != 2) & (revenue != 0), profit / revenue), revenue.isNotNull() & (F.col("regionkey") != 4)),
     )
-    return model.select(F.col("name").alias("project"), "regionkey", F.inline(both)).filter("there").drop("there")
+    return model.withColumn("methods", F.filter(both, lambda m: m["there"]))
+
+
+def profit_methods(model: DataFrame) -> DataFrame:
+    """One row per project and available profitability method."""
+    return with_methods(model).select(F.col("name").alias("project"), "regionkey", F.inline("methods")).drop("there")
 
 
 # ---------------------------------------------------------------- oracle text

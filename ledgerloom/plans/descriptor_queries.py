@@ -217,7 +217,7 @@ def project_facts(spark, sf):
     direct, boq = b.direct_details(spark, sf, lines), b.boq_resources(spark, sf, lines)
     flow = b.cashflow(spark, sf, lines)
     methods = b.profit_methods(m)
-    bs = pf.base_rows(m, methods).select(C("name").alias("project"), C("gp").alias("base_gp"), ratio("gp", "revenue").alias("base_margin"))
+    bs = pf.base_rows(b.with_methods(m)).select(C("name").alias("project"), C("gp").alias("base_gp"), ratio("gp", "revenue").alias("base_margin"))
     c = F.coalesce
     ev, ac = c("k_ev_dashboard_scope", "m_earned_value"), c("k_actual_cost_dashboard_scope", "m_actual_cost")
     out = m.select(
@@ -340,7 +340,7 @@ RISK_SURFACE = "SELECT ordinal+100 AS ordinal, 'risk' AS surface, 'risk-'||compo
 
 def portfolio_facts(spark, sf):
     m = b.project_model(spark, sf)
-    rows = pf.scoped(pf.base_rows(m, b.profit_methods(m)))
+    rows = pf.scoped(pf.base_rows(b.with_methods(m)))
     flow = b.cashflow(spark, sf)
     rem = F.greatest(F.lit(0.0), C("budget") - C("ev"))
     sums = rows.agg(

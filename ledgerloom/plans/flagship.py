@@ -13,6 +13,6 @@ C = F.col
 
 def project_status(spark: SparkSession, sf: str) -> DataFrame:
     model = b.project_model(spark, sf)
-    rows = portfolio.scoped(portfolio.base_rows(model, b.profit_methods(model)))
+    rows = portfolio.scoped(portfolio.base_rows(b.with_methods(model)))
     status = rules.cost_performance(C("ev"), C("ac"), C("cpi"), C("cv"))
     return rows.select("id", "name", "period", "budget", "ev", "ac", "cv", "cpi", status.alias("status"))

@@ -14,8 +14,7 @@ BASE_COLS = (
 
 
 def base(spark, sf):
-    m = b.project_model(spark, sf)
-    return op.base_rows(m, b.profit_methods(m))
+    return op.base_rows(b.with_methods(b.project_model(spark, sf)))
 
 
 def scoped(spark, sf, scope="dashboard"):
@@ -243,7 +242,7 @@ SELECT *, ev-ac AS cv, CASE WHEN ac<>0 THEN ev/ac END AS cpi FROM (SELECT
  FROM base JOIN model USING (id))""", "base"))
 def p17(spark, sf):
     m = b.project_model(spark, sf)
-    return op.available_sums(m, op.base_rows(m, b.profit_methods(m)))
+    return op.available_sums(m, op.base_rows(b.with_methods(m)))
 
 
 
