@@ -344,10 +344,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = texts(docs, id_col, text_col)
     signed = written(signatures(docs, width), "signatures")
     named = signed.filter("doc_id is not null and set_key is not null")
-    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = named.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"]).groupBy("doc_id", "set_key").agg(F.first("sig").alias("sig"))
-    reps = written(reps.select("doc_id", "sig"), "reps")
-    edges = candidate_edges(reps)
+    firsts = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "sig")).alias("first"))
+    reps = written(firsts.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.sig").alias("sig")), "reps")
+    classes = reps.select("set_key", "rep")
+    edges = candidate_edges(reps.select(F.col("rep").alias("doc_id"), "sig"))
     resembling = edges[0]
     for more in edges[1:]:
         resembling = resembling.union(more)
