@@ -23,7 +23,7 @@ from ledgerloom.llm.common import batch_of, slices, written
 
 BUCKETS, FAN = 1 << 14, 8
 #: The share of the text's log-likelihood that counts (its groups overlap), the weight of a parent level in rows, the add-one weight of the tables.
-TEMPER, PARENT, ADD = 0.3, 5.0, 1.0
+TEMPER, PARENT, ADD = 0.05, 5.0, 1.0
 DROPPED = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 TAG = re.compile(r"<[^>]*>")
 
