@@ -1,9 +1,12 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained on labelled text: one on windows of ordinary documents, one on the fragments of toxic documents that
-ordinary ones lack (character groups in ``MIN_SHARE`` of the toxic sample and ``MIN_TEXTS`` texts or more, and ``ODDS`` times as frequent there). A window is
+ordinary ones use less often (byte groups of words, ``SHORTEST`` to ``LONGEST`` long, that stand in ``MIN_TEXTS`` toxic texts or more and take ``ODDS`` times the
+places a byte there). Places are counted, not texts: a marker that ordinary texts hold once by chance still tells. A window is
 compressed with the ordinary dictionary and with both; what the toxic one saves is its distance. Windows cover the whole
-text. The largest and mean savings of a text, calibrated by a logistic fit on labelled rows, give its score; the threshold is 0.5.
+text. Short fragments save less than zstandard's whole bytes can show, so a static coder, which writes one byte for each of the shortest fragments (``stems``),
+counts as well: its codes, by the length of the text, and the bytes it saves. The largest and mean savings of a text and those of the coder,
+calibrated by a logistic fit on labelled rows, give its score; the threshold is 0.5. The toxic dictionary holds every stem, however many there are.
 
 The fit uses a bounded sample of labelled rows: at most ``SAMPLE`` of each label, smallest hashes of the id first, from rows outside the
 held-out fold. Half of them (all, if fewer than ``FEW`` are toxic) make the dictionaries, the others the calibration. Without any toxic
@@ -29,10 +32,10 @@ from pyspark.sql import types as T
 from ledgerloom.llm.common import batch_of, fold, slices, texts, written
 
 SAMPLE, FEW, WINDOWS = 2400, 60, 12
-MIN_SHARE, MIN_TEXTS, ODDS = 0.015, 8, 10
+MIN_TEXTS, ODDS, SHORTEST, LONGEST = 8, 10, 4, 8
 WINDOW, OVERLAP, LEVEL = 96, 16, 6
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 700
-FEATURES = 7
+FEATURES = 11
 
 
 def windows(text: str) -> list[bytes]:
@@ -40,8 +43,9 @@ def windows(text: str) -> list[bytes]:
     return [data[i : i + WINDOW] for i in range(0, max(1, len(data) - OVERLAP), WINDOW - OVERLAP)]
 
 
-def groups(data: bytes) -> set[bytes]:
-    return {data[i : i + 4] for i in range(len(data) - 3)} | {data[i : i + 5] for i in range(len(data) - 4)}
+def groups(data: bytes) -> Iterator[bytes]:
+    """Every place of every group inside a word."""
+    return (w[i : i + n] for w in data.split() for n in range(SHORTEST, LONGEST + 1) for i in range(len(w) - n + 1))
 
 
 def fragments(data: bytes, telling: set[bytes]) -> list[bytes]:
@@ -49,7 +53,7 @@ def fragments(data: bytes, telling: set[bytes]) -> list[bytes]:
     found = []
     for word in data.split():
         covered = bytearray(len(word))
-        for n in (4, 5):
+        for n in range(SHORTEST, LONGEST + 1):
             for i in range(len(word) - n + 1):
                 if word[i : i + n] in telling:
                     covered[i : i + n] = b"\1" * n
@@ -57,6 +61,15 @@ def fragments(data: bytes, telling: set[bytes]) -> list[bytes]:
     return found
 
 
+def shortest(found: Iterable[bytes]) -> list[bytes]:
+    """Those that hold no other."""
+    kept: list[bytes] = []
+    for f in sorted(found, key=lambda f: (len(f), f)):
+        if not any(k in f for k in kept):
+            kept.append(f)
+    return kept
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     p = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -64,19 +77,24 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=held, compression_params=p)
 
 
-def _features(text: str, ordinary, both) -> list[float]:
+def _features(text: str, ordinary, both, stems: re.Pattern) -> list[float]:
     d = np.array([len(ordinary(w)) - len(both(w)) for w in windows(text)], float)
     d[::-1].sort()
     high = d > 2
-    return [d[0], d[:2].mean(), d[:4].mean(), d.mean(), np.log(len(d)), high.mean(), np.log1p(high.sum())]
+    data = text.lower().encode()
+    codes = stems.findall(data)
+    n, size = len(codes), np.log(len(data) + 1)
+    coder = [np.log1p(n), size, np.log(n + 0.1) - size, np.log1p(sum(map(len, codes)) - n)]
+    return [d[0], d[:2].mean(), d[:4].mean(), d.mean(), np.log(len(d)), high.mean(), np.log1p(high.sum()), *coder]
 
 
 @dataclass
 class Model:
-    """Everything a worker needs: two dictionaries and the calibration."""
+    """Everything a worker needs: two dictionaries, the stems of the coder and the calibration."""
 
     ordinary: bytes
     toxic: bytes
+    stems: list[bytes]
     middle: list[float]
     spread: list[float]
     weights: list[float]
@@ -85,7 +103,8 @@ class Model:
         if not self.toxic:
             return lambda text: [0.0] * FEATURES
         ordinary, both = _compressor(self.ordinary).compress, _compressor(self.toxic + self.ordinary).compress
-        return lambda text: _features(text, ordinary, both)
+        stems = re.compile(b"|".join(map(re.escape, self.stems)))
+        return lambda text: _features(text, ordinary, both, stems)
 
     def scorer(self):
         features, middle, spread, weights = self.features(), np.array(self.middle), np.array(self.spread), np.array(self.weights)
@@ -102,32 +121,39 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, folds: int) -> DataF
 
 
 def _counted(sample: DataFrame, parts) -> DataFrame:
-    """part binary, toxic, n: in how many texts of each label a part stands; ``parts`` gives the parts of one text."""
-    schema = pa.schema([("part", pa.binary()), ("toxic", pa.int32()), ("n", pa.int64())])
+    """part binary, n, texts: at how many places and in how many texts a part stands; ``parts`` gives the parts of one text, place by place."""
+    schema = pa.schema([("part", pa.binary()), ("n", pa.int64()), ("texts", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 16):
-            counts: Counter = Counter()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.update((p, toxic) for p in parts((text or "").lower().encode()))
-            yield batch_of(schema, [p for p, _ in counts], [t for _, t in counts], list(counts.values()))
+            places: Counter = Counter()
+            holders: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                own = Counter(parts((text or "").lower().encode()))
+                places.update(own)
+                holders.update(own.keys())
+            yield batch_of(schema, list(places), list(places.values()), [holders[p] for p in places])
 
-    return sample.select("text", "toxic").mapInArrow(run, "part binary, toxic int, n long").groupBy("part", "toxic").agg(F.sum("n").alias("n"))
+    return sample.select("text").mapInArrow(run, "part binary, n long, texts long").groupBy("part").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5) -> Model:
     sample = written(_sample(docs, labels, label, folds), "toxic-sample")
-    sizes = {(r["toxic"], r["half"]): r["count"] for r in sample.groupBy("toxic", "half").count().collect()}
+    counted = sample.groupBy("toxic", "half").agg(F.count("*").alias("count"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes")).collect()
+    sizes = {(r["toxic"], r["half"]): r["count"] for r in counted}
     toxic, ordinary = (sum(n for (t, _), n in sizes.items() if t == k) for k in (1, 0))
     split = toxic >= FEW
     rate = (toxic + 0.5) / (toxic + ordinary + 1)
-    flat = Model(b"", b"", [0.0] * FEATURES, [1.0] * FEATURES, [0.0] * FEATURES + [float(np.log(rate / (1 - rate)))])
+    flat = Model(b"", b"", [], [0.0] * FEATURES, [1.0] * FEATURES, [0.0] * FEATURES + [float(np.log(rate / (1 - rate)))])
     if not toxic or not ordinary:
         return flat
     first = sample.filter("half = 0") if split else sample
-    n_toxic, n_ordinary = (sum(n for (t, h), n in sizes.items() if t == k and (h == 0 or not split)) for k in (1, 0))
-    found = _counted(first, groups).groupBy("part").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"))
-    telling = {bytes(r["part"]) for r in found.filter((F.col("t") >= max(2, min(MIN_TEXTS, 0.1 * n_toxic), MIN_SHARE * n_toxic)) & (F.col("t") / max(n_toxic, 1) >= ODDS * (F.col("o") + 1) / max(n_ordinary, 1))).collect()}
+    n_toxic = sum(n for (t, h), n in sizes.items() if t == 1 and (h == 0 or not split))
+    toxic_bytes, ordinary_bytes = (max(1, sum(r["bytes"] for r in counted if r["toxic"] == k and (r["half"] == 0 or not split))) for k in (1, 0))
+    least = max(2, min(MIN_TEXTS, 0.1 * n_toxic))
+    often = {bytes(r["part"]): r["n"] for r in _counted(first.filter("toxic = 1"), groups).filter(F.col("texts") >= least).collect()}
+    usual = {bytes(r["part"]): r["n"] for r in _counted(first.filter("toxic = 0"), lambda data: (g for g in groups(data) if g in often)).collect()}
+    telling = {g for g, n in often.items() if n / toxic_bytes >= ODDS * (usual.get(g, 0) + 1) / ordinary_bytes}
     told = _counted(first.filter("toxic = 1"), lambda data: fragments(data, telling)).orderBy("part").collect() if telling else []
     model = flat
     if told:
@@ -144,7 +170,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
                 yield batch_of(pa.schema([("w", pa.binary())]), out)
 
         common = sorted(bytes(r["w"]) for r in first.filter("toxic = 0").select("text").mapInArrow(some, "w binary").collect())
-        model = Model(_dictionary(ORDINARY_BYTES, common), _dictionary(TOXIC_BYTES, pieces), flat.middle, flat.spread, flat.weights)
+        stems = shortest(bytes(r["part"]) for r in told if r["texts"] >= least) or shortest(telling)
+        held = _dictionary(max(TOXIC_BYTES, 2 * sum(len(x) + 1 for x in stems)), pieces)
+        held = b" ".join([*(x for x in stems if x not in held), held])
+        model = Model(_dictionary(ORDINARY_BYTES, common), held, stems, flat.middle, flat.spread, flat.weights)
         model = _calibrated(model, sample.filter("half = 1") if split else sample)
     return model
 
@@ -175,7 +204,7 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         w = w - np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(prior), a.T @ (p - y) + prior * w)
-    return Model(model.ordinary, model.toxic, middle.tolist(), spread.tolist(), w.tolist())
+    return Model(model.ordinary, model.toxic, model.stems, middle.tolist(), spread.tolist(), w.tolist())
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -319,6 +319,19 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
 
 
+def test_toxicity_finds_each_language(spark):
+    """The language stands in the test alone; markers that ordinary texts hold once by chance must tell as well."""
+    sf = "/root/testdata/sf0.1"
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    told = {r.doc_id: (r.lang, r.toxic) for r in documents.join(labels, "doc_id").select("doc_id", "lang", "toxic").collect()}
+    held = [r for r in toxicity.toxicity(documents.join(labels.select("doc_id"), "doc_id"), labels).collect() if r.held_out]
+    assert sum(r.predicted == told[r.doc_id][1] for r in held) / len(held) > 0.95
+    for lang in ("en", "de", "fr", "es"):
+        own = [(r.predicted, told[r.doc_id][1]) for r in held if told[r.doc_id][0] == lang]
+        recall, rest = ([p == t for p, t in own if t == k] for k in (1, 0))
+        assert sum(recall) / len(recall) >= 0.6 and sum(rest) / len(rest) > 0.95, (lang, sum(recall), len(recall), sum(rest), len(rest))
+
+
 def test_toxicity_of_odd_tables(spark, docs):
     kind = "doc_id long, toxic int, text string"
     none = spark.createDataFrame([], kind)
