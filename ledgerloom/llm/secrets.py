@@ -1,6 +1,6 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with false-discovery control by length.
 
-Base kinds: assignments of a password, token or key, access ids, long hex runs. The method adds runs of 20 to 400 characters of one
+Base kinds: assignments of a password, token or key, access ids, long hex runs. The method adds whole runs of 20 characters or more of one
 encoding (hex, base32, base64) that lie outside base spans and behave like uniform draws from its alphabet. Three tests give p-values:
 chi-squared over equal parts of the alphabet, the number of runs about the middle of the alphabet, and the correlation of neighbours;
 Fisher's sum combines them. Random strings have uniform combined p-values, words gather near 0. So in each stratum (encoding and
@@ -28,10 +28,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run is matched from its start, so the count may stand in the pattern
 HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,400}(?![A-Za-z0-9+/_-])")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")  # greedy, so a run is matched whole from its start
 ENCODINGS = (("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
              ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"))
-BINS, RATE, LEAST = 50, 0.05, 1e-3
+BINS, RATE, LEAST, SHORTEST = 50, 0.05, 1e-3, 20
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -62,7 +62,8 @@ def _chi_tail(x: float, df: int) -> float:
 def randomness(run: str, alphabet: str) -> float:
     """Combined p-value of the three tests under uniform independent draws from the alphabet."""
     n, k = len(run), len(alphabet)
-    at = [alphabet.index(c) for c in run]
+    place = {c: i for i, c in enumerate(alphabet)}
+    at = [place[c] for c in run]
     parts = 4 if n < 40 else 8 if n < 160 else 16
     counts = [0] * parts
     for i in at:
@@ -77,16 +78,27 @@ def randomness(run: str, alphabet: str) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
+def outside(start: int, end: int, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of start..end that no span covers; spans are in the order of their starts."""
+    for _, s, e in taken:
+        if s < end and start < e:
+            if start < s:
+                yield start, s
+            start = e
+    if start < end:
+        yield start, end
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str, float]]:
-    """Runs of one encoding outside base spans: kind, start, end, stratum, p."""
+    """Runs of one encoding outside base spans: kind, start, end, stratum, p. What a base span leaves of a run is a run of its own."""
     found = []
     for m in RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for _, s, e in taken):
-            continue
-        told = encoding(m.group())
-        if told:
-            band = min(int(math.log2(len(m.group()) / 20) * 2), 8)
-            found.append(("random", m.start(), m.end(), f"{told[0]}:{band}", randomness(m.group(), told[1])))
+        for start, end in outside(m.start(), m.end(), taken):
+            run = text[start:end]
+            told = encoding(run) if len(run) >= SHORTEST else None
+            if told:
+                band = min(int(math.log2(len(run) / SHORTEST) * 2), 8)
+                found.append(("random", start, end, f"{told[0]}:{band}", randomness(run, told[1])))
     return found
 
 

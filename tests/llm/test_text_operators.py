@@ -243,6 +243,17 @@ def test_secrets(spark):
     assert secrets.secrets(empty(spark)).collect() == []
 
 
+def test_a_long_run_is_one_secret():
+    draw = random.Random(8)
+    blob = "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1600))
+    text = f"see {blob} there"
+    (kind, start, end, stratum, p), = secrets.candidates(text, [])
+    assert (kind, start, end) == ("random", 4, 1604) and p > 0.001
+    assert secrets.covered(text, {stratum: 0.001}) == "see [random] there"
+    mixed = "0123456789abcdef" * 2 + "Z" + blob  # a base span at the start leaves the rest
+    assert [r[1:3] for r in secrets.candidates(mixed, secrets.base_spans(mixed))] == [(32, 1633)]
+
+
 def test_redaction_keeps_rows_and_other_text(spark):
     df = spark.createDataFrame([(1, "a token=abcdefghij b", "x"), (2, None, None), (3, "clean", "y"), (3, "clean", "y")], "doc_id long, text string, spans string")
     found = sorted((tuple(r) for r in secrets.redact(df).collect()), key=str)
