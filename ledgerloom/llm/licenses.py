@@ -1,9 +1,9 @@
-"""License scan by a positional index of rare words, DataFrame functions only.
+"""License scan by a positional index of licence words, DataFrame functions only.
 
 Each text keeps the places of its licence words. The index holds, for every template, the place of each of its licence words; the
-words are weighted by their inverse document frequency over all documents. A text looks up its ``RAREST`` words of highest weight; each
-place of such a word votes, with its weight, for the template starting at the difference of the places. A template is named when
-the votes for one start reach ``SHARE`` of the weight it could reach, come from three different words or more, and all its
+words are weighted by their inverse document frequency over all documents. A text looks up all its words of each template, whatever else
+it holds; each place of such a word votes, with its weight, for the template starting at the difference of the places. A template is named
+when the votes for one start reach ``SHARE`` of the weight it could reach, come from three different words or more, and all its
 mandatory key phrases stand within ``SLACK`` words of where that start puts them. Base phrases name their label wherever their
 words stand consecutively; they use the same index, with every word mandatory.
 
@@ -13,7 +13,6 @@ Null and empty texts have no words, no labels and score 0. Repeated rows and nul
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import texts, words, written
@@ -35,7 +34,7 @@ TEMPLATES = {
 }
 #: Template words too common in any text to index.
 COMMON = set("a and any are as by can for in is it met of or the this to under use with you not may v be at 0 2 work form file".split())
-RAREST, SHARE, SLACK, VOTERS = 12, 0.5, 8, 3
+SHARE, SLACK, VOTERS = 0.5, 8, 3
 
 
 def vocabulary() -> list[str]:
@@ -79,17 +78,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     stands = places.join(F.broadcast(phrase), "word").groupBy(*row, "label", "phrase", "base", "length", "off", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("n")).filter("n = length")
     stands = written(stands.select(*row, "label", "phrase", "base", "off", "start"), "phrases")
 
-    # votes of the rarest words
+    # votes of the words of each template
     per_row = rows.select(*row, F.explode(F.array_distinct(F.transform("places", lambda x: x.word))).alias("word"))
     total = F.broadcast(held.agg(F.count("*").alias("docs")))
     idf = written(per_row.groupBy("word").agg(F.count("*").alias("df")).crossJoin(total).select("word", F.log((F.col("docs") + 1) / F.col("df")).alias("idf")), "idf")
-    rank = F.row_number().over(W.partitionBy(*row).orderBy(F.desc("idf"), "word"))
-    rarest = per_row.join(F.broadcast(idf), "word").withColumn("rank", rank).filter(F.col("rank") <= RAREST).select(*row, "word", "idf")
-    looked = rarest.join(F.broadcast(template.select("word", "label").distinct()), "word").groupBy(*row, "label").agg(F.sum("idf").alias("reachable"))
+    looked = per_row.join(F.broadcast(idf), "word").join(F.broadcast(template.select("word", "label").distinct()), "word").groupBy(*row, "label").agg(F.sum("idf").alias("reachable"))
     names = lambda df: df.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), *[c for c in df.columns if c not in row])
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g"))
-    own = places.join(names(rarest.withColumnRenamed("word", "rare")), same & (F.col("word") == F.col("rare"))).drop("d", "g", "rare")
-    votes = own.join(F.broadcast(template), "word").select(*row, "label", "word", "idf", (F.col("pos") - F.col("at")).alias("start")).groupBy(*row, "label", "start").agg(F.sum("idf").alias("votes"), F.count_distinct("word").alias("voters"))
+    votes = places.join(F.broadcast(idf), "word").join(F.broadcast(template), "word").select(*row, "label", "word", "idf", (F.col("pos") - F.col("at")).alias("start")).groupBy(*row, "label", "start").agg(F.sum("idf").alias("votes"), F.count_distinct("word").alias("voters"))
     votes = votes.filter(F.col("voters") >= VOTERS).join(names(looked).withColumnRenamed("label", "l"), same & (F.col("label") == F.col("l"))).drop("d", "g", "l")
     votes = votes.withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("reachable"))).filter(F.col("share") >= SHARE)
     keys = phrase.filter("not base").groupBy("label").agg(F.count_distinct("phrase").alias("wanted"))

@@ -208,6 +208,17 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).collect() == []
 
 
+def test_every_license_of_one_file(spark):
+    """All templates with prose between them that holds licence words of its own."""
+    draw = random.Random(12)
+    prose = lambda: " ".join(draw.choices([*licenses.vocabulary(), "lorem", "ipsum", "dolor"], k=400))
+    notices = " ".join(f"{prose()} {sentence} {prose()}" for sentence, _ in licenses.TEMPLATES.values())
+    rows = [(1, notices)] + [(10 + i, sentence(draw, 20)) for i in range(20)]
+    found = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")), "labels")
+    assert found[1][0][0] == sorted(licenses.TEMPLATES)
+    assert all(found[i][0][0] == [] for i in range(10, 30))
+
+
 def plain_spans(text):
     """The base kinds as their definition says, with every match made first and dropped after."""
     assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
