@@ -99,11 +99,15 @@ def cost_codes(cells: DataFrame) -> DataFrame:
 def ledger(cells: DataFrame) -> DataFrame:
     """Ledger rows with their sparse monthly entries from (qty, price, total) month triplets."""
     chosen = role_sheet(cells, "ledger")
-    text = ["di", "main_code", "resource_code", "source", "description", "currency", "item"]
+    text = ["di", "main_code", "resource_code", "source", "description", "currency"]
     rows = mapped_rows(cells, chosen, text, ["total_qty", "avg_unit_price", "currency_factor", "total_cost"]).filter(codeish("main_code"))
     rows = rows.filter(C("row") > C("header_row") + 1)
     heads = cells.join(chosen.select("file", "sheet", "header_row"), ["file", "sheet"]).filter(
         (C("row") == C("header_row")) | (C("row") == C("header_row") + 1))
+    item_cols = heads.filter((C("row") == C("header_row")) & norm_header("value_str").startswith("item")).select("file", "sheet", "col")
+    shown = F.coalesce("value_str", C("value_num").cast("string"))
+    items = cells.select("file", "sheet", "row", "col", shown.alias("v")).join(item_cols, ["file", "sheet", "col"]).filter(
+        clean_text("v") != "").groupBy("file", "sheet", "row").agg(F.max_by("v", "col").alias("item"))
     month = heads.filter(C("row") == C("header_row")).select(
         "file", "sheet", "col", excel_month(C("value_str"), C("value_num")).alias("month")).filter("month IS NOT NULL")
     sub = heads.filter(C("row") > C("header_row")).select("file", "sheet", "col", norm_header("value_str").alias("sub"))
@@ -116,10 +120,10 @@ def ledger(cells: DataFrame) -> DataFrame:
     kept = entry.filter(F.abs("total") > 0).groupBy("file", "sheet", "row").agg(
         F.sort_array(F.collect_list(F.struct("month", "qty", C("price").alias("unit_price"), "total"))).alias("months"),
         total_sum("total").alias("month_total"))
-    j = rows.join(kept, ["file", "sheet", "row"], "left")
+    j = rows.join(kept, ["file", "sheet", "row"], "left").join(items, ["file", "sheet", "row"], "left")
     out = j.select(
         "file", "sheet", "row", clean_text("main_code").alias("main_code"), "resource_code", F.upper(clean_text("di")).alias("raw_di"), "source",
-        F.coalesce(F.when(clean_text("item") != "", C("item")), C("source")).alias("item"), "description", "months",
+        F.coalesce("item", "source").alias("item"), "description", "months",
         F.coalesce("total_cost", "month_total", F.lit(0.0)).alias("total_cost"), "total_qty")
     return banding.row_number(out, ["file", "sheet"], band_of(), ["row"], "sn")
 

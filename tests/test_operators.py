@@ -103,6 +103,13 @@ def test_direct_sheet_with_reordered_columns(spark):
     assert (row[0]["main_code"], row[0]["ac"], row[0]["original_budget"], row[0]["ev"], row[0]["division"], row[0]["unit"]) == ("A.1", 80, 100, 90, "Civil", None)
 
 
+def test_ledger_takes_the_last_item_that_is_told(spark):
+    heads = ["D/I", "Main Code", "Sub Code", "Source", "Description", "Currency", "Total Qty", "Total Cost", "Item 1", "Item 2", "Item 3"]
+    vals = [["D", "A.1", "r", "S1", "x", "EGP", 1, 10, "one", "two", " "], ["D", "A.2", "r", "S2", "x", "EGP", 1, 10, "one", None, None], ["D", "A.3", "r", "S3", "x", "EGP", 1, 10, None, None, None]]
+    cells = [(3, i, h) for i, h in enumerate(heads, 1)] + [(4, 20, "Qty")] + [(5 + k, i, v) for k, row in enumerate(vals) for i, v in enumerate(row, 1) if v is not None]
+    assert {r["main_code"]: r["item"] for r in extract.ledger(sheet(spark, cells, "Expense Ledger")).collect()} == {"A.1": "two", "A.2": "one", "A.3": "S3"}
+
+
 def test_waste_without_material_headers_is_unavailable(spark):
     rows = [(1, 1, "Actual Waste Quantity"), (2, 1, "% Actual Waste"), (3, 1, "% Budget Waste"), (4, 1, "Waste Variance"), (5, 1, "تشوين"), (1, 2, 5), (2, 2, 0.1)]
     assert extract.waste_summary(sheet(spark, rows)).count() == 0
