@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import cell_state, clean_text, codeish, excel_month, norm_header, running_total, total_sum
 from ledgerloom.operators import banding
-from ledgerloom.operators.cells import SHEET, band_of, mapped_rows, number_of, provenance, schema_sheet
-from ledgerloom.operators.schemas import DIRECT_NUMBERS, INDIRECT_NUMBERS, ROLES, WASTE_ROWS
+from ledgerloom.operators.cells import SHEET, band_of, header_rows, mapped_rows, number_of, provenance, schema_sheet
+from ledgerloom.operators.schemas import BOQ_RESOURCE_REQUIRED, BOQ_RESOURCE_SCHEMA, DIRECT_NUMBERS, INDIRECT_NUMBERS, OWNER_QUANTITY, REALLOCATION_GROUPS, ROLES, WASTE_ROWS
 
 C = F.col
 
 
+def shown():
+    """A cell as text, numbers included; whole numbers have no decimals."""
+    whole = (C("value_num") == F.floor("value_num")) & (F.abs("value_num") < 1e15)
+    return F.coalesce("value_str", F.when(whole, C("value_num").cast("long").cast("string")).otherwise(C("value_num").cast("string")))
+
+
 def role_sheet(cells: DataFrame, role: str) -> DataFrame:
     return schema_sheet(cells, *ROLES[role])
 
@@ -180,24 +186,109 @@ def direct_allocation(cells: DataFrame) -> DataFrame:
         "file", "row", C("cur.code").alias("main_code"), C("cur.item").alias("item"), "resource", "actual_cost")
 
 
-def waste_summary(cells: DataFrame) -> DataFrame:
-    """Metric rows by steel and concrete column bands: % rows are averaged, others summed.
+def reallocation(cells: DataFrame, header_rows: int = 8, code_cols: int = 8) -> DataFrame:
+    """Reallocated amounts per code: (file, sheet, main_code, other_cost, equipment), from the first sheet with a group heading.
 
-    Without explicit material headers, or with the concrete band not to the right, nothing is returned.
+    A heading in the first rows owns three columns, the third holds the amount; of repeated headings the last one counts, and a heading whose
+    block leaves the sheet is none. A row's code is its first code-like cell; of rows with one code the last one counts. A group that the
+    sheet hasn't got is NULL, an amount that isn't a number is 0.
     """
-    heads = cells.filter((C("col") >= 2) & C("value_str").isNotNull()).select(*SHEET, "row", "col", norm_header("value_str").alias("t"))
-    bands = heads.groupBy(*SHEET, "row").agg(
-        F.max(F.when(C("t").contains("steel"), C("col"))).alias("steel"), F.max(F.when(C("t").contains("concrete"), C("col"))).alias("split")).filter(
-        "split > steel").groupBy(*SHEET).agg(F.min(F.struct("row", "split")).alias("b")).select(*SHEET, C("b.split").alias("split"))
-    t, raw = norm_header("value_str"), clean_text("value_str")
+    found = cells.groupBy(*SHEET).agg(F.count_if(codeish(shown())).alias("codes"), F.max("col").alias("max_col"))
+    heads = cells.filter((C("row") <= header_rows) & C("value_str").isNotNull()).join(found.filter("codes >= 2"), SHEET).filter("col + 2 <= max_col")
+    t = norm_header("value_str")
+    last = [F.max_by(C("col") + 2, F.when(t == text, F.struct("row", "col"))).alias(f"{name}_col") for name, text in REALLOCATION_GROUPS.items()]
+    groups = heads.filter(t.isin(list(REALLOCATION_GROUPS.values()))).groupBy(*SHEET).agg(*last)
+    names = [f"{name}_col" for name in REALLOCATION_GROUPS]
+    chosen = groups.groupBy("file").agg(F.min_by(F.struct("sheet", *names), "sheet_idx").alias("g")).select("file", "g.*")
+    body = cells.join(chosen, ["file", "sheet"])
+    rows = body.groupBy("file", "sheet", "row", *names).agg(
+        F.min_by(clean_text(shown()), F.when((C("col") <= code_cols) & codeish(shown()), C("col"))).alias("main_code"),
+        *[F.max(F.when(C("col") == C(c), number_of())).alias(c.removesuffix("_col")) for c in names])
+    amount = [F.when(C(c).isNotNull(), F.coalesce(c.removesuffix("_col"), F.lit(0.0))).alias(c.removesuffix("_col")) for c in names]
+    coded = rows.filter("main_code IS NOT NULL").select("file", "sheet", "main_code", F.struct("row", *amount).alias("r"))
+    return coded.groupBy("file", "sheet", "main_code").agg(F.max("r").alias("r")).select("file", "sheet", "main_code", *(f"r.{n}" for n in REALLOCATION_GROUPS))
+
+
+def reallocated_allocation(cells: DataFrame) -> DataFrame:
+    """Direct allocation with the reallocated amounts on the first row of each code."""
+    rows = direct_allocation(cells)
+    first = rows.groupBy("file", "main_code").agg(F.min("row").alias("row"))
+    amounts = first.join(reallocation(cells).drop("sheet"), ["file", "main_code"])
+    return rows.join(amounts, ["file", "main_code", "row"], "left").select(
+        *rows.columns, *(F.coalesce(n, F.lit(0.0)).alias(f"{n}_realloc") for n in REALLOCATION_GROUPS))
+
+
+def boq_resources(cells: DataFrame, direct: DataFrame, code_rows: int = 8, code_cols: int = 10) -> DataFrame:
+    """Resource rows of every sheet that carries the resource schema and names a verified code.
+
+    A sheet belongs to the earliest cell, row by row, above or right below its header whose text is a code of ``direct`` (file, main_code,
+    description, unit, row: of rows with one code the last one describes it). A sheet without such a cell gives no rows.
+    """
+    heads = header_rows(cells, BOQ_RESOURCE_SCHEMA)
+    need = F.array(*map(F.lit, BOQ_RESOURCE_REQUIRED))
+    field = F.map_from_arrays("cols", "fields")
+    learned = heads.filter(F.size(F.array_except(need, "fields")) == 0).select(
+        *SHEET, "header_row", field.alias("field"), F.map_from_arrays("fields", "cols")["resource"].alias("resource_col"), F.array_contains("fields", "actual_rate").alias("has_rate"),
+        F.round(F.least(F.lit(1.0), F.size("fields") / F.lit(len(BOQ_RESOURCE_SCHEMA))), 3).alias("confidence"))
+    known = direct.withColumn("main_code", clean_text("main_code")).filter("main_code <> ''").groupBy("file", "main_code").agg(
+        F.max_by(F.struct("description", "unit"), "row").alias("d"))
+    places = cells.filter((C("row") <= code_rows) & (C("col") <= code_cols)).join(learned.select(*SHEET, "header_row"), SHEET).filter("row <= header_row + 1")
+    codes = places.withColumn("main_code", clean_text(shown())).join(known, ["file", "main_code"]).groupBy(*SHEET).agg(
+        F.min_by(F.struct("main_code", "d"), F.struct("row", "col")).alias("c"))
+    sheets = learned.join(codes, SHEET).select(*SHEET, "header_row", "field", "resource_col", "has_rate", "confidence", "c.main_code", "c.d.description", "c.d.unit")
+    keys = ["header_row", "resource_col", "has_rate", "confidence", "main_code", "description", "unit"]
+    f = F.try_element_at("field", C("col").cast("long"))
+    body = cells.join(sheets, SHEET).filter("row > header_row").select(*SHEET, "row", "col", *keys, "value_str", shown().alias("text"), number_of().alias("n"), f.alias("f"))
+    rows = body.groupBy(*SHEET, "row", *keys).agg(
+        F.max(F.when(C("f") == "resource", C("value_str"))).alias("resource"), F.max(F.when(C("f") == "resource_code", C("text"))).alias("resource_code"),
+        F.min_by("n", F.when((C("col") < C("resource_col")) & C("n").isNotNull(), C("col"))).alias("no"),
+        *[F.max(F.when(C("f") == x, C("n"))).alias(x) for x in ("actual_cost", "work_qty", "actual_rate", "eac")])
+    rows = rows.filter((clean_text("resource") != "") & ~C("resource").startswith("#") & C("actual_cost").isNotNull())
+    rate = F.when(C("has_rate"), C("actual_rate")).when(C("work_qty") != 0, C("actual_cost") / C("work_qty"))
+    described = F.when(clean_text("description") != "", C("description")).otherwise(C("sheet"))
+    return rows.select("file", "sheet", "row", "main_code", described.alias("description"), "unit", "no", "resource", "resource_code", "actual_cost", "work_qty",
+                       rate.alias("actual_rate"), "eac", provenance().alias("evidence"))
+
+
+def waste_kind(label: str = "value_str"):
+    """What a label of the waste sheet's first column measures, NULL for any other text."""
+    t = norm_header(label)
     kind = (
-        F.when(t.contains("actual waste quantity"), "waste_qty").when(t.contains("actual waste") & raw.contains("%"), "waste_pct")
+        F.when(t.contains("actual waste quantity"), "waste_qty").when(t.contains("actual waste") & clean_text(label).contains("%"), "waste_pct")
         .when(t.contains("budget waste"), "budget_waste_pct").when(t.contains("waste variance"), "waste_variance"))
     for name, word in WASTE_ROWS.items():
         kind = F.coalesce(kind, F.when(t.contains(word), name))
-    labels = cells.filter((C("col") == 1) & C("value_str").isNotNull()).select(*SHEET, "row", C("value_str").alias("label"), kind.alias("kind")).filter("kind IS NOT NULL")
-    enough = labels.groupBy(*SHEET).agg(F.countDistinct("kind").alias("k")).filter("k >= 5").select(*SHEET)
-    rows = labels.join(enough, SHEET, "left_semi").join(bands, SHEET)
+    owner = t.contains(OWNER_QUANTITY[0]) | t.contains(OWNER_QUANTITY[1])
+    return F.coalesce(kind, F.when(owner, "owner_qty"), F.when(t.contains("total actual cost") & t.contains("waste"), "waste_cost"))
+
+
+def _waste_labels(cells: DataFrame) -> DataFrame:
+    """Metric rows of the sheets with five or more kinds: the last row of each kind, of waste cost the first."""
+    labels = cells.filter((C("col") == 1) & C("value_str").isNotNull()).select(*SHEET, "row", C("value_str").alias("label"), waste_kind().alias("kind")).filter("kind IS NOT NULL")
+    row = F.when(C("kind") == "waste_cost", -C("row")).otherwise(C("row"))
+    rows = labels.groupBy(*SHEET, "kind").agg(F.max_by(F.struct("row", "label"), row).alias("r")).select(*SHEET, "kind", "r.*")
+    enough = rows.groupBy(*SHEET).agg(F.count("*").alias("k")).filter("k >= 5").select(*SHEET)
+    return rows.join(enough, SHEET, "left_semi")
+
+
+def _material_bands(cells: DataFrame) -> DataFrame:
+    """First column of concrete and the heading row, where both headings were seen and concrete stands right of steel."""
+    heads = cells.filter((C("col") >= 2) & C("value_str").isNotNull()).select(*SHEET, "row", "col", norm_header("value_str").alias("t"))
+    steel, concrete = C("t").contains("steel"), C("t").contains("concrete")
+    heads = heads.filter(steel | concrete)
+    until = heads.groupBy(*SHEET).agg(F.min(F.when(steel, C("row"))).alias("s"), F.min(F.when(concrete, C("row"))).alias("c")).filter("s IS NOT NULL AND c IS NOT NULL").select(
+        *SHEET, F.greatest("s", "c").alias("heading_row"))
+    at = F.struct("row", "col")
+    return heads.join(until, SHEET).filter("row <= heading_row").groupBy(*SHEET, "heading_row").agg(
+        F.max(F.when(steel, at))["col"].alias("steel"), F.max(F.when(concrete, at))["col"].alias("split")).filter("split > steel").select(*SHEET, "heading_row", "split")
+
+
+def waste_summary(cells: DataFrame) -> DataFrame:
+    """Metric rows by steel and concrete column bands: % rows are averaged, others summed.
+
+    Without explicit material headers, or with the concrete band not to the right, nothing is returned.
+    """
+    rows = _waste_labels(cells).join(_material_bands(cells), SHEET)
     v = cells.filter(C("col") >= 2).select(*SHEET, "row", "col", number_of().alias("n")).join(rows, [*SHEET, "row"])
     steel, conc = F.when(C("col") < C("split"), C("n")), F.when(C("col") >= C("split"), C("n"))
     pct = C("label").contains("%")
@@ -210,6 +301,36 @@ def waste_summary(cells: DataFrame) -> DataFrame:
     return g.select("file", "kind", "label", val("s", "sn").alias("steel"), val("c", "cn").alias("concrete"))
 
 
+WASTE_NUMBERS = ["actual", "engineering", "stock", "owner_qty", "waste_qty", "waste_pct", "budget_waste_pct", "waste_variance", "avg_price", "waste_cost"]
+
+
+def waste_detail(cells: DataFrame) -> DataFrame:
+    """One record per material column of the first waste sheet of a file: the sheet's rows are the fields.
+
+    Quantity and share of waste are the sheet's own where it has such a row, else they come from actual and engineering consumption. The item
+    stands above the actual consumption. Columns without item and consumption are left out; without both material headings nothing is returned.
+    """
+    labels = _waste_labels(cells)
+    first = labels.groupBy("file").agg(F.min_by("sheet", "sheet_idx").alias("sheet"), F.min("sheet_idx").alias("sheet_idx"))
+    mine = labels.join(first, SHEET, "left_semi")
+    given = mine.groupBy(*SHEET).agg(F.collect_set("kind").alias("kinds"), F.greatest(F.lit(1), F.coalesce(F.max(F.when(C("kind") == "actual", C("row"))), F.lit(0)) - 1).alias("item_row"))
+    sheets = given.join(_material_bands(cells), SHEET)
+    roles = mine.select(*SHEET, "row", "kind").unionByName(given.select(*SHEET, C("item_row").alias("row"), F.lit("item").alias("kind")))
+    values = cells.filter(C("col") >= 2).select(*SHEET, "row", "col", shown().alias("text"), number_of().alias("n")).join(roles, [*SHEET, "row"])
+    wide = values.groupBy(*SHEET, "col").agg(
+        *[F.max(F.when(C("kind") == k, C("text"))).alias(k) for k in ("item", "unit")], *[F.max(F.when(C("kind") == k, C("n"))).alias(f"s_{k}") for k in WASTE_NUMBERS])
+    j = wide.join(sheets, SHEET).filter((clean_text("item") != "") | C("s_actual").isNotNull() | C("s_engineering").isNotNull())
+
+    def own(kind: str, other):
+        return F.when(F.array_contains("kinds", kind), C(f"s_{kind}")).otherwise(other)
+
+    qty = own("waste_qty", C("s_actual") - C("s_engineering"))
+    pct = own("waste_pct", F.when(C("s_engineering") != 0, qty / C("s_engineering")))
+    plain = {k: C(f"s_{k}") for k in WASTE_NUMBERS} | {"waste_qty": qty, "waste_pct": pct}
+    return j.select("file", "sheet", "col", F.when(C("col") < C("split"), "Steel").otherwise("Concrete").alias("type"), "item", "unit", *(plain[k].alias(k) for k in WASTE_NUMBERS),
+                    F.struct(C("sheet").alias("source_sheet"), C("item_row").alias("source_row"), C("heading_row").alias("source_header_row"), F.lit(0.95).alias("mapping_confidence")).alias("evidence"))
+
+
 def project_totals(cells: DataFrame) -> DataFrame:
     """Total, indirect and fee rows of the first sheet with division and description headers."""
     t = norm_header("value_str")

@@ -35,11 +35,8 @@ DIRECT_SCHEMA = {
     "eac": ["eac"],
     "vac": ["vac"],
 }
-DIRECT_NUMBERS = [
-    "budget_rate", "contract_rate", "modified_contract_rate", "contract_qty", "final_qs_qty", "invoice_pct", "invoice_qty", "work_qty",
-    "contract_amount", "modified_contract_amount", "original_budget", "bac", "work_invoice_amount", "invoice_amount", "unbilled",
-    "ev", "ac", "cv", "remaining_qty", "etc", "eac", "vac",
-]
+DIRECT_TEXTS = {"budget_pct", "main_area", "division_code", "division", "item", "main_code", "sub_code", "boq_item", "description", "unit"}
+DIRECT_NUMBERS = [f for f in DIRECT_SCHEMA if f not in DIRECT_TEXTS]
 INDIRECT_SCHEMA = {
     "main_code": ["main code", "wbs code"],
     "serial": ["sr", "serial"],
@@ -58,7 +55,8 @@ INDIRECT_SCHEMA = {
     "eac": ["eac"],
     "vac": ["vac"],
 }
-INDIRECT_NUMBERS = ["contract_duration", "remaining_months", "original_budget", "progress", "ev", "ac", "cv", "bac", "etc", "eac", "vac"]
+INDIRECT_TEXTS = {"main_code", "serial", "description", "unit", "forecast_monthly"}
+INDIRECT_NUMBERS = [f for f in INDIRECT_SCHEMA if f not in INDIRECT_TEXTS]
 LEDGER_SCHEMA = {
     "di": ["d i", "direct indirect"],
     "main_code": ["main code", "wbs code"],
@@ -76,6 +74,15 @@ LEDGER_SCHEMA = {
     "total_cost": ["total cost"],
     "item": ["item"],
 }
+BOQ_RESOURCE_SCHEMA = {
+    "resource": ["sub package", "resource", "resource name"],
+    "resource_code": ["resource code", "resource code."],
+    "actual_cost": ["actual cost"],
+    "work_qty": ["work performed qty", "work performed quantity"],
+    "actual_rate": ["actual rate", "actual rate l e"],
+    "eac": ["eac"],
+}
+BOQ_RESOURCE_REQUIRED = ["resource", "resource_code", "actual_cost", "work_qty"]
 # Role -> (required fields, sheet-name hints, minimum fields, minimum score).
 ROLES = {
     "direct_details": (DIRECT_SCHEMA, ["main_code", "description", "original_budget", "ev", "ac"], ["direct details"], 8, 70.0),
@@ -90,3 +97,7 @@ WASTE_ROWS = {
     "stock": "تشوين",
     "avg_price": "متوسط سعر",
 }
+# Spellings of the label of the quantity invoiced to the owner.
+OWNER_QUANTITY = ["الكميه المدرجه", "الكمية المدرجة"]
+# Headings of the groups of the reallocation sheet; a group owns three columns, the third holds the amount.
+REALLOCATION_GROUPS = {"other_cost": "other costs", "equipment": "equipment"}

@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import line_sum
+from ledgerloom.operators import extract as ex
 from ledgerloom.operators import normalize as nz
 from ledgerloom.plans import bindings as b
+from ledgerloom.plans import workbook as wb
 from ledgerloom.plans.bindings import RUN, S, sql_with
-from ledgerloom.plans.project_queries import items, reallocation, waste
+from ledgerloom.plans.project_queries import items
 from ledgerloom.plans.registry import query
 
 ITEM_COLS = ("project,main_code,division,item,original_budget,ev,ac,cv,status_to_date,cpi_to_date,completion,bac,eac,etc,vac,"
@@ -64,26 +66,39 @@ def n08(spark, sf):
     return nz.ledger_rollups(classified(spark, sf)).unionByName(months)
 
 
+_SHORT = "length({}) % 2 = 0"
+b.define("realloc_sheet", f"SELECT project, main_code, coalesce(other_cost, 0) AS other_cost, CASE WHEN {_SHORT.format('project')} THEN NULL ELSE coalesce(equipment, 0) END AS equipment FROM realloc", "realloc")
+
+
 @query("n11_reallocation", sql_with("""
-SELECT a.project, a.main_code, a.resource, actual_cost,
+SELECT a.project AS file, a.main_code, 'Works of '||a.main_code AS item, a.resource, actual_cost,
  CASE WHEN a.resource=f.first THEN coalesce(other_cost,0) ELSE 0 END AS other_cost_realloc,
  CASE WHEN a.resource=f.first THEN coalesce(equipment,0) ELSE 0 END AS equipment_realloc FROM boq_resources a
 JOIN (SELECT project, main_code, min(resource) AS first FROM boq_resources GROUP BY 1,2) f ON f.project=a.project AND f.main_code=a.main_code
-LEFT JOIN realloc r ON r.project=a.project AND r.main_code=a.main_code""", "boq_resources", "realloc"))
+LEFT JOIN realloc_sheet r ON r.project=a.project AND r.main_code=a.main_code""", "boq_resources", "realloc_sheet"))
 def n11(spark, sf):
-    return nz.apply_reallocation(b.boq_resources(spark, sf), reallocation(spark, sf))
+    return ex.reallocated_allocation(wb.workbook_cells(spark, sf, "breakdown", "reallocation")).drop("row")
+
+
+@query("n11_reallocation_totals", sql_with(f"""SELECT project, coalesce({S('other_cost')},0) AS other_cost_total,
+ coalesce({S('equipment')},0) AS equipment_total, count(DISTINCT main_code) AS codes FROM realloc_sheet GROUP BY 1""", "realloc_sheet"))
+def n11_totals(spark, sf):
+    amounts = ex.reallocation(wb.workbook_cells(spark, sf, "breakdown", "reallocation"))
+    return nz.reallocation_totals(amounts.withColumnRenamed("file", "project"))
+
+
+_WASTE_FIELDS = f"""SELECT n_name AS project, CASE p_type WHEN 'STANDARD' THEN 2 ELSE 4 END + CASE WHEN l_discount>0.05::DOUBLE THEN 1 ELSE 0 END AS c, {S('l_quantity')} AS actual, {S('l_quantity*(1-l_discount)')} AS eng
+ FROM lineitem JOIN part ON l_partkey=p_partkey JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey GROUP BY 1,2"""
 
 
-@query("n13_waste_detail", sql_with("""
-SELECT project, material, actual, engineering, waste_qty, actual_pct AS waste_pct, budget_pct, actual_pct-budget_pct AS variance,
- avg_price, waste_qty*avg_price AS waste_cost FROM (SELECT *, CASE material WHEN 'steel' THEN 12.5::DOUBLE ELSE 3.25::DOUBLE END AS avg_price FROM waste)""",
-                                  "waste"))
+@query("n13_waste_detail", f"""SELECT project AS file, c::BIGINT AS col, CASE WHEN c<4 THEN 'Steel' ELSE 'Concrete' END AS type, 'Item '||c AS item, CASE WHEN c<4 THEN 't' ELSE 'm3' END AS unit, actual, e AS engineering,
+ floor(actual/10) AS stock, eng-1 AS owner_qty, CASE WHEN {_SHORT.format('project')} THEN actual-e ELSE actual-eng+0.5 END AS waste_qty,
+ CASE WHEN {_SHORT.format('project')} THEN (actual-e)/e ELSE (actual-eng)/eng+0.01 END AS waste_pct, 0.04::DOUBLE AS budget_waste_pct, (actual-eng)/eng-0.04 AS waste_variance,
+ CASE WHEN c<4 THEN 12.5::DOUBLE ELSE 3.25::DOUBLE END AS avg_price, (actual-eng)*3 AS waste_cost, 3::BIGINT AS source_row, 2::BIGINT AS source_header_row
+FROM (SELECT *, CASE WHEN c<5 THEN eng END AS e FROM ({_WASTE_FIELDS}))""")
 def n13(spark, sf):
-    w = waste(spark, sf).select(
-        "project", "material", "actual", "engineering", F.lit(None).cast("double").alias("given_qty"),
-        F.lit(None).cast("double").alias("given_pct"), "budget_pct",
-        F.when(F.col("material") == "steel", 12.5).otherwise(3.25).alias("avg_price"))
-    return nz.waste_detail(w)
+    w = ex.waste_detail(wb.workbook_cells(spark, sf, "waste_fields"))
+    return w.select("*", F.col("evidence.source_row").cast("long").alias("source_row"), F.col("evidence.source_header_row").cast("long").alias("source_header_row")).drop("evidence", "sheet")
 
 
 b.define("verified_resources", """SELECT b.*, CASE WHEN work_qty<>0 THEN actual_cost/work_qty END AS actual_rate
@@ -95,9 +110,17 @@ def verified_resources(spark, sf):
     return r.withColumn("actual_rate", F.when(F.col("work_qty") != 0, F.col("actual_cost") / F.col("work_qty")))
 
 
-@query("n14_boq_resources", sql_with("SELECT * FROM verified_resources", "verified_resources"))
+@query("n14_boq_resources", sql_with("""
+SELECT r.project AS file, 'Res '||r.main_code AS sheet, r.main_code, d.description, d.unit, CAST(CAST(regexp_extract(resource,'(\\d+)$',1) AS BIGINT) AS DOUBLE) AS no, resource,
+ 'R-'||CAST(regexp_extract(resource,'(\\d+)$',1) AS BIGINT) AS resource_code, actual_cost, work_qty,
+ CASE WHEN CAST(substr(r.main_code,3) AS INT)%2=0 THEN actual_cost*2 WHEN work_qty<>0 THEN actual_cost/work_qty END AS actual_rate, eac,
+ CASE WHEN CAST(substr(r.main_code,3) AS INT)%2=0 THEN 1.0::DOUBLE ELSE 0.833::DOUBLE END AS confidence, CAST(regexp_extract(resource,'(\\d+)$',1) AS BIGINT)+10 AS source_row, 4::BIGINT AS source_header_row
+FROM boq_resources r JOIN (SELECT project, main_code, max_by(description, rank) AS description, max_by(lower(substr(division,1,1))||'2', rank) AS unit
+ FROM (SELECT *, ascii(division)+ascii(substr(division,2,1)) AS rank FROM direct_details) GROUP BY 1,2) d ON d.project=r.project AND d.main_code=r.main_code""", "boq_resources", "direct_details"))
 def n14(spark, sf):
-    return verified_resources(spark, sf)
+    cells = wb.workbook_cells(spark, sf, "direct_units", "resources")
+    found = ex.boq_resources(cells, ex.direct_details(cells))
+    return found.select("*", F.col("evidence.mapping_confidence").alias("confidence"), F.col("evidence.source_row"), F.col("evidence.source_header_row").cast("long").alias("source_header_row")).drop("evidence", "row")
 
 
 b.define("forecasts", """

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import line_sum, total_sum
-from ledgerloom.operators.schemas import WASTE_ROWS
+from ledgerloom.operators.schemas import OWNER_QUANTITY, WASTE_ROWS
 from ledgerloom.plans import bindings as b
 from ledgerloom.session import cut
 
@@ -178,6 +178,82 @@ def waste_sheet(spark, sf, files) -> DataFrame:
                  + [header(files, "Waste", 8, r, {1: t}) for r, t, _ in WASTE_LABELS] + [body])
 
 
+def direct_units_sheet(spark, sf, files) -> DataFrame:
+    """The direct sheet with a unit column."""
+    d = b.direct_details(spark, sf)
+    unit = F.concat(F.lower(F.substring("division", 1, 1)), F.lit("2"))
+    body = sheet(d, C("project"), "Direct Details", 2, code_number() * 1000 + text_rank("division"), [_cell(20, unit)])
+    return union([direct_sheet(spark, sf, files), header(files, "Direct Details", 2, 3, {20: "Unit"}), body])
+
+
+RESOURCE_TITLES = {1: "No.", 3: "Resource Name", 4: "Resource Code", 5: "Actual Cost", 6: "Work Performed Qty", 7: "EAC"}
+
+
+def resource_sheets(spark, sf, files) -> DataFrame:
+    """A sheet for each direct code: the code above the header, a second code right below it; codes with an even number have a rate column.
+
+    One more sheet of every project names a code that no direct row has.
+    """
+    d = b.boq_resources(spark, sf)
+    supp = F.regexp_extract("resource", r"(\d+)$", 1).cast("long")
+    name, idx = F.concat(F.lit("Res "), C("main_code")), (code_number() + 100).cast("int")
+    even = code_number() % 2 == 0
+    codes = d.select("project", "main_code").distinct().unionByName(files.select("project", F.lit("Z.1").alias("main_code")))
+
+    def placed(rows, row, cells):
+        return rows.select(C("project").alias("file"), name.alias("sheet"), idx.alias("sheet_idx"), row.cast("long").alias("row"), F.inline(F.array(*cells))).filter(
+            "value_str IS NOT NULL OR value_num IS NOT NULL").withColumn("formula", F.lit(None).cast("string"))
+
+    return union([
+        placed(codes, F.lit(1), [_cell(1, "Resource sheet"), _cell(2, "Z.9")]), placed(codes, F.lit(2), [_cell(4, C("main_code"))]),
+        placed(codes.filter("main_code <> 'Z.1'"), F.lit(3), [_cell(1, "B.11"), _cell(12, "Resource Code")]),
+        placed(codes, F.lit(4), [_cell(c, t) for c, t in RESOURCE_TITLES.items()] + [_cell(8, F.when(even, F.lit("Actual Rate (L.E)")))]),
+        placed(codes, F.lit(5), [_cell(3, "#N/A"), _cell(5, F.lit(1.0), True)]), placed(codes, F.lit(6), [_cell(3, F.lit(12.0), True), _cell(5, F.lit(1.0), True)]),
+        placed(codes, F.lit(7), [_cell(3, "Without cost"), _cell(6, F.lit(1.0), True)]), placed(codes.filter("main_code = 'Z.1'"), F.lit(8), [_cell(3, "Labour"), _cell(5, F.lit(1.0), True)]),
+        placed(d, supp + 10, [_cell(1, supp, True), _cell(3, C("resource")), _cell(4, F.concat(F.lit("R-"), supp)), _cell(5, C("actual_cost"), True), _cell(6, C("work_qty"), True),
+                              _cell(7, C("eac"), True), _cell(8, F.when(even, C("actual_cost") * 2), True)])])
+
+
+def short_project() -> Column:
+    """True for about half of the projects: their sheets lack what the others have."""
+    return F.length("project") % 2 == 0
+
+
+def reallocation_sheet(spark, sf, files) -> DataFrame:
+    """Groups of three columns over the codes; half of the projects have only the first group."""
+    lines = b.cost_lines(spark, sf, part=True).filter("raw_di = 'I'")
+    amounts = lines.groupBy("project", F.regexp_replace("main_code", "^Brand#", "B.").alias("main_code")).agg(
+        *[line_sum(F.when(C("source") == s, C("ac"))).alias(n) for s, n in (("A", "other_cost"), ("R", "equipment"))])
+    both = files.filter(~short_project())
+    body = sheet(amounts, C("project"), "Reallocation", 10, code_number() + 5, [
+        _cell(2, C("main_code")), _cell(3, "A.1"), _cell(4, F.lit(0.5), True), _cell(6, C("other_cost"), True), _cell(9, F.when(~short_project(), C("equipment")), True)])
+    return union([header(files, "Reallocation", 10, 2, {4: "Other  Costs"}), header(both, "Reallocation", 10, 2, {7: "Equipment", 9: "Other Costs"}),
+                  header(files, "Reallocation", 10, 3, {4: "Share", 5: "Base", 6: "Amount"}), body])
+
+
+#: Rows of the full waste sheet: row, label, field.
+WASTE_FIELDS = [(4, "اجمالي " + WASTE_ROWS["actual"], "actual"), (5, "اجمالي " + WASTE_ROWS["engineering"], "engineering"), (6, WASTE_ROWS["unit"], "unit"), (7, WASTE_ROWS["stock"], "stock"),
+                (8, OWNER_QUANTITY[0], "owner"), (9, "Actual Waste Quantity", "qty"), (10, "% Actual Waste", "pct"), (11, "% Budget Waste", "budget"), (12, "Waste Variance", "variance"),
+                (13, WASTE_ROWS["avg_price"], "price"), (14, "Total Actual Cost of Waste", "cost"), (15, "Total Actual Cost of Waste", "later")]
+
+
+def waste_fields_sheet(spark, sf, files) -> DataFrame:
+    """Materials as columns, fields as rows. Half of the projects have no rows of waste quantity and share, the last column has no engineering figure."""
+    w = waste_columns(spark, sf).select(
+        "project", "c", C("actual"), F.when(C("c") < 5, C("engineering")).alias("engineering"), F.floor(C("actual") / 10).alias("stock"), (C("engineering") - 1).alias("owner"), (C("qty") + 0.5).alias("qty"),
+        (C("pct") + 0.01).alias("pct"), "budget", (C("pct") - C("budget")).alias("variance"), F.when(C("c") < 4, 12.5).otherwise(3.25).alias("price"), (C("qty") * 3).alias("cost"), F.lit(1.0).alias("later"))
+    short = short_project()
+    cells = F.array(F.struct(F.lit(3).cast("long").alias("row"), F.concat(F.lit("Item "), C("c")).alias("value_str"), F.lit(None).cast("double").alias("value_num")), *[
+        F.struct(F.lit(r).cast("long").alias("row"), F.when(F.lit(n == "unit"), F.when(C("c") < 4, "t").otherwise("m3")).alias("value_str"),
+                 (F.lit(None) if n == "unit" else F.when(~short | F.lit(n not in ("qty", "pct")), C(n))).cast("double").alias("value_num")) for r, _, n in WASTE_FIELDS])
+    body = w.select(C("project").alias("file"), C("c").alias("col"), F.inline(cells)).filter("value_str IS NOT NULL OR value_num IS NOT NULL").select(
+        "file", F.lit("Waste").alias("sheet"), F.lit(8).alias("sheet_idx"), "row", "col", "value_str", "value_num", F.lit(None).cast("string").alias("formula"))
+    full = files.filter(~short)
+    # the headings of the two materials stand in different rows
+    return union([header(files, "Waste", 8, 1, {2: "Steel"}), header(files, "Waste", 8, 2, {4: "Concrete"}), body]
+                 + [header(full if n in ("qty", "pct") else files, "Waste", 8, r, {1: t}) for r, t, n in WASTE_FIELDS])
+
+
 def dashboard_sheet(spark, sf) -> DataFrame:
     """Headline labels and numbers of every project, plus a notes sheet with a weaker candidate."""
     m = b.project_model(spark, sf)
@@ -220,7 +296,8 @@ def code_register(spark, sf) -> DataFrame:
 
 
 SHEETS = {"direct": direct_sheet, "indirect": indirect_sheet, "cash": cash_sheet, "ledger": ledger_sheet, "pools": pools_sheet,
-          "breakdown": breakdown_sheet, "waste": waste_sheet}
+          "breakdown": breakdown_sheet, "waste": waste_sheet, "direct_units": direct_units_sheet, "resources": resource_sheets, "reallocation": reallocation_sheet,
+          "waste_fields": waste_fields_sheet}
 
 
 def workbook_cells(spark: SparkSession, sf: str, *names: str) -> DataFrame:
