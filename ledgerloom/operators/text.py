@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions import ratio
 from ledgerloom.functions.text import BLANKS
+from ledgerloom.session import written
 
 C = F.col
 # Words left out of the recurring terms.
@@ -168,7 +171,7 @@ def cluster_count(n: int) -> int:
 
 
 def kmeans_clusters(vectors: DataFrame, features: str, k: int, seed: int = 42) -> DataFrame:
-    """Cluster of each row; the vectors column stays distributed."""
+    """Cluster of each row of dense vectors; the vectors column stays distributed."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -177,6 +180,49 @@ def kmeans_clusters(vectors: DataFrame, features: str, k: int, seed: int = 42) -
     return model.transform(d).drop("_v")
 
 
+#: Parts over which the rows of one term are dealt while they meet its centre weights.
+TERM_SALTS = 4
+
+
+def hash_order(*parts: Column | str) -> Column:
+    """A seeded order that any engine repeats: hexadecimal MD5 of the parts joined by colons."""
+    return F.md5(F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
+
+
+def sparse_kmeans(docs: DataFrame, weights: DataFrame, key: str, k: int, iterations: int = 20, seed: int = 42) -> DataFrame:
+    """(key, cluster, distance) of every document by Lloyd's steps over sparse unit vectors (key, term, weight).
+
+    Neither vocabulary nor centres reach the driver: centres are a table with one row a term and an array of k weights. The first centres are
+    the k documents with terms that come first in a seeded order; a cluster that loses its documents keeps no centre. A document without terms
+    goes to the centre nearest to zero. Distances are compared after rounding to nine places, the smaller number wins a tie. It ends when no
+    document moves, or after ``iterations``.
+    """
+    weights = written(weights.select(key, "term", "weight", F.pmod(F.xxhash64(key), F.lit(TERM_SALTS)).cast("int").alias("salt")), "kmeans-weights")
+    order = hash_order(str(seed), C(key))
+    first = weights.select(key).distinct().orderBy(order, key).limit(k)
+    assigned = written(first.select(key, (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order, key)) - 1).alias("cluster")), "kmeans-clusters")
+    every = docs.select(key).distinct()
+    for _ in range(iterations):
+        sizes = assigned.groupBy("cluster").agg(F.count("*").alias("n"))
+        sums = weights.join(assigned, key).groupBy("cluster", "term").agg(F.sum("weight").alias("s"))
+        centre = sums.join(F.broadcast(sizes), "cluster").select("cluster", "term", (C("s") / C("n")).alias("c"))  # k rows at most
+        slots = [F.coalesce(F.sum(F.when(C("cluster") == j, C("c"))), F.lit(0.0)) for j in range(k)]
+        centre = written(centre.groupBy("term").agg(F.array(*slots).alias("c")), "kmeans-centres")
+        # |x - c|^2 = |x|^2 - 2 x.c + |c|^2; clusters without documents have no distance
+        norms = centre.agg(*[F.sum(C("c")[j] * C("c")[j]).alias(f"q{j}") for j in range(k)])
+        salted = centre.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
+        dots = weights.join(salted, ["term", "salt"]).groupBy(key).agg(F.sum(C("weight") * C("weight")).alias("x"), *[F.sum(C("weight") * C("c")[j]).alias(f"d{j}") for j in range(k)])
+        zero = [F.coalesce(c, F.lit(0.0)) for c in ("x", *(f"d{j}" for j in range(k)))]
+        distance = F.array(*[F.when(C(f"q{j}") > 0, F.struct((F.round(zero[0] - 2 * zero[j + 1] + C(f"q{j}"), 9) + 0.0).alias("distance"), F.lit(j).alias("cluster"))) for j in range(k)])
+        best = F.array_min(F.filter(distance, lambda d: d.isNotNull()))
+        new = written(every.join(dots, key, "left").join(norms, how="cross").select(key, best.alias("b")).select(key, "b.cluster", "b.distance"), "kmeans-clusters")
+        moved = new.join(assigned.select(key, C("cluster").alias("old")), key, "left").filter("old IS DISTINCT FROM cluster")
+        assigned = new.select(key, "cluster")
+        if moved.isEmpty():
+            break
+    return new
+
+
 def standardise(rows: DataFrame, columns: list[str]) -> DataFrame:
     """z-scores with the population deviation; a constant column is left as it is."""
     stats = rows.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
@@ -185,74 +231,83 @@ def standardise(rows: DataFrame, columns: list[str]) -> DataFrame:
     return j.select(*[c for c in rows.columns if c not in columns], *[z[c].alias(c) for c in columns])
 
 
-def anomaly_scores(rows: DataFrame, key: str, columns: list[str], trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Isolation score (0 centred, lower is more anomalous); all zero below five rows.
+def _uniform_of(*parts) -> float:
+    """A number in [0, 1) from the SHA-256 of the parts, the same in every engine."""
+    return int(hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:12], 16) / float(1 << 48)
+
 
-    Every tree is grown from its own bounded hash sample, one small group per tree. Rows are
-    then scored by Arrow batches against the broadcast trees, whose size is trees x sample.
+def isolation_draws(rows: DataFrame, key: str, trees: int, sample: int, seed: int) -> DataFrame:
+    """(tree, x): up to ``sample`` rows for each tree, the same draw for every table size and every dealing of the rows.
+
+    A pool keeps the first rows of each of ``trees`` hash groups, at most trees x sample rows; Spark keeps the first of each group in a task
+    before the shuffle. Every tree then takes the first rows of the pool in an order of its own.
     """
-    n = rows.count()
-    if n < 5:
-        return rows.select(key, F.lit(0.0).alias("score"))
-    size = min(sample, n)
-    depth = int(np.ceil(np.log2(max(size, 2))))
-    share = min(1.0, size * 2.0 / n)
-    d = rows.select(*[C(c).cast("double").alias(c) for c in columns], C(key))
-    scale = float(1 << 30)
-    if share * trees <= 1:
-        # Many rows: each row is drawn into at most one tree by a single hash.
-        u = F.pmod(F.xxhash64(C(key), F.lit(seed)), F.lit(1 << 30)) / scale
-        draws = d.withColumn("u", u).withColumn("tree", F.floor(C("u") / share).cast("int")).filter(C("tree") < trees)
-    else:
-        u = F.pmod(F.xxhash64(C(key), C("tree"), F.lit(seed)), F.lit(1 << 30)) / scale
-        draws = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("u", u).filter(C("u") < share)
+    own = hash_order(str(seed), C(key))
+    group = F.conv(F.substring(own, 1, 8), 16, 10).cast("long") % trees
+    ranked = rows.select(key, "x", group.alias("group"), own.alias("u")).withColumn("rank", F.row_number().over(W.partitionBy("group").orderBy("u", key, "x")))
+    pool = written(ranked.filter(C("rank") <= sample).select(key, "x"), "isolation-pool")
+    dealt = pool.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    order = W.partitionBy("tree").orderBy(hash_order(str(seed), C("tree"), C(key)), key, "x")
+    return dealt.withColumn("rank", F.row_number().over(order)).filter(C("rank") <= sample).select("tree", "x")
+
+
+TREE = "tree int, size int, i int, feature int, cut double, low int, high int, length double"
+
+
+def isolation_forest(draws: DataFrame, seed: int) -> DataFrame:
+    """The trees as a table of nodes; features and cuts follow from hashes of (seed, tree, node), a tree from the set of its rows."""
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.nsmallest(size, "u")[columns].to_numpy()
-        rng = np.random.default_rng(seed * 1000003 + int(pdf["tree"].iloc[0]))
-        nodes: list[tuple[int, int, float, int, float]] = []
+        x, tree = np.array(pdf["x"].tolist(), dtype=float), int(pdf["tree"].iloc[0])
+        depth = int(np.ceil(np.log2(max(len(x), 2))))
+        nodes: list[list] = []
 
-        def build(idx: np.ndarray, level: int) -> int:
+        def build(rows: np.ndarray, node: int, level: int) -> int:
             me = len(nodes)
-            nodes.append((me, -1, 0.0, -1, level + _path(len(idx))))
-            spread = x[idx].max(axis=0) - x[idx].min(axis=0) if len(idx) else np.zeros(x.shape[1])
-            if level >= depth or len(idx) <= 1 or not (spread > 0).any():
-                return me
-            f = int(rng.choice(np.flatnonzero(spread > 0)))
-            cut = float(rng.uniform(x[idx, f].min(), x[idx, f].max()))
-            build(idx[x[idx, f] <= cut], level + 1)
-            right = build(idx[x[idx, f] > cut], level + 1)
-            nodes[me] = (me, f, cut, right, 0.0)
+            nodes.append([tree, len(x), me, -1, 0.0, me, me, level + _path(len(rows))])
+            spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) else []
+            if level < depth and len(rows) > 1 and len(spread):
+                f = int(spread[int(_uniform_of(seed, tree, node, "feature") * len(spread))])
+                lowest = float(rows[:, f].min())
+                cut = lowest + _uniform_of(seed, tree, node, "cut") * (float(rows[:, f].max()) - lowest)
+                nodes[me][3:5] = f, cut
+                nodes[me][5] = build(rows[rows[:, f] <= cut], 2 * node, level + 1)
+                nodes[me][6] = build(rows[rows[:, f] > cut], 2 * node + 1, level + 1)
             return me
 
-        build(np.arange(len(x)), 0)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "right", "length"])
-        out.insert(0, "tree", int(pdf["tree"].iloc[0]))
-        return out
-
-    schema = "tree int, node int, feature int, cut double, right int, length double"
-    forest = draws.groupBy("tree").applyInPandas(grow, schema).toPandas()
-    grown = {t: g.sort_values("node")[["feature", "cut", "right", "length"]].to_numpy() for t, g in forest.groupby("tree")}
-    shared = rows.sparkSession.sparkContext.broadcast(grown)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        total = np.zeros(len(x))
-        for nodes in shared.value.values():
-            at = np.zeros(len(x), dtype=int)
-            live = nodes[at, 0] >= 0
-            while live.any():
-                i = np.flatnonzero(live)
-                f = nodes[at[i], 0].astype(int)
-                left = x[i, f] <= nodes[at[i], 1]
-                at[i] = np.where(left, at[i] + 1, nodes[at[i], 2].astype(int))
-                live = nodes[at, 0] >= 0
-            total += nodes[at, 3]
-        mean = total / max(len(shared.value), 1)
-        return pd.Series(np.round(0.5 - np.power(2.0, -mean / max(_path(size), 1e-9)), 6))
-
-    return rows.select(key, score(*[C(c).cast("double") for c in columns]).alias("score"))
+        build(x, 1, 0)
+        return pd.DataFrame(nodes, columns=[c.split()[0] for c in TREE.split(", ")])
+
+    return draws.groupBy("tree").applyInPandas(grow, TREE)
+
+
+def anomaly_scores(rows: DataFrame, key: str, columns: list[str], trees: int = 50, sample: int = 256, seed: int = 42, least: int = 5) -> DataFrame:
+    """Isolation score (0 centred, lower is more anomalous); a sample of fewer than ``least`` rows says nothing, all scores are then 0.
+
+    The trees are a written table of at most trees x 2 x sample nodes; all of them meet every row as one joined record, and the walk from the
+    root to a leaf is an expression. NULL counts as 0.
+    """
+    d = rows.select(key, F.array(*[F.coalesce(C(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x"))
+    nodes = written(isolation_forest(isolation_draws(d, key, trees, sample, seed), seed), "isolation-trees")
+    one = nodes.groupBy("tree").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("i", "feature", "cut", "low", "high", "length"))).alias("nodes"))
+    forest = written(one.agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("tree", "nodes"))).alias("trees")), "isolation-forest")
+    levels = F.sequence(F.lit(1), F.lit(int(np.ceil(np.log2(max(sample, 2))))))
+
+    def walk(tree):
+        def step(i, _):
+            n = F.get(tree["nodes"], i)
+            return F.when(n["feature"] < 0, i).when(F.get("x", n["feature"]) <= n["cut"], n["low"]).otherwise(n["high"])
+
+        return F.get(tree["nodes"], F.aggregate(levels, F.lit(0), step))["length"]
+
+    total = F.aggregate(F.transform("trees", walk), F.lit(0.0), lambda a, b: a + b)
+    n = C("size").cast("double")
+    usual = F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2 * (F.log(n - 1) + EULER) - 2 * (n - 1) / n)
+    score = F.when(C("size") < least, 0.0).otherwise(F.round(0.5 - F.pow(F.lit(2.0), -total / F.size("trees") / usual), 6))
+    return d.join(forest, how="cross").select(key, F.coalesce(score, F.lit(0.0)).alias("score"))
+
+
+EULER = 0.5772156649015329
 
 
 def _path(n: int) -> float:
@@ -261,7 +316,7 @@ def _path(n: int) -> float:
         return 0.0
     if n == 2:
         return 1.0
-    return 2.0 * (np.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
+    return 2.0 * (np.log(n - 1) + EULER) - 2.0 * (n - 1) / n
 
 
 def keyword_cluster(text: Column | str) -> Column:
@@ -297,6 +352,7 @@ def unit_vectors(rows: DataFrame, key: str, array: str) -> DataFrame:
 
 # Perturbation size per similarity level.
 MAGNITUDES = [(90, 0.06), (60, 0.12), (30, 0.20), (10, 0.30)]
+# Cost elements, activities and quarters of a scenario with the bounds of their draws.
 MIX = [("Subcontractors", 0.10, 0.35), ("Labor", 0.10, 0.28), ("Equipment", 0.05, 0.18), ("Materials", 0.15, 0.40), ("Other", 0.02, 0.12)]
 ACTIVITIES = [
     "Mobilization & Preliminaries", "Earthworks", "Substructure", "Superstructure",
@@ -306,8 +362,9 @@ QUARTERS = [("Q1", 0.10, 0.30, 0.12, 0.30), ("Q2", 0.18, 0.34, 0.20, 0.34), ("Q3
 
 
 def _uniform(name: str, low, high) -> Column:
-    """Deterministic draw in [low, high) from (project, similarity, seed, name)."""
-    u = F.pmod(F.xxhash64(C("project"), C("similarity"), C("seed"), F.lit(name)), F.lit(1 << 40)) / float(1 << 40)
+    """Counter-based draw in [low, high): 48 bits of the SHA-256 of project, similarity, seed and name."""
+    digest = F.sha2(F.concat_ws(":", C("project"), C("similarity").cast("string"), C("seed").cast("string"), F.lit(name)), 256)
+    u = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / float(1 << 48)
     low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
     return low + (high - low) * u
 
@@ -348,31 +405,38 @@ def scenario_table(base: DataFrame, seeds: list[int]) -> DataFrame:
     return out
 
 
-def _scaled(parts: DataFrame, keys: list[str], raw: str, target: str, name: str) -> DataFrame:
-    """Scale raw parts so that they sum to the target (a few parts per scenario)."""
-    w = W.partitionBy(*keys)
-    return parts.withColumn(name, C(raw) / F.sum(raw).over(w) * C(target))
+def _scaled(raw: list[Column], target: Column) -> list[Column]:
+    """Parts of one scenario scaled so that they sum to the target."""
+    total = reduce(lambda x, y: x + y, raw)
+    return [r / total * target for r in raw]
 
 
 def scenario_parts(s: DataFrame) -> DataFrame:
-    """Cost mix, activities and quarterly cash of every scenario, each scaled to its total."""
+    """Cost mix, activities and quarterly cash of every scenario, each scaled to its total. The parts of a scenario stay in its row until the end."""
     keys = ["project", "similarity", "seed"]
-    mix = s.select(*keys, "actual_cost", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("part"), _uniform(f"mix-{n}", lo, hi).alias("raw")) for n, lo, hi in MIX])))
-    mix = _scaled(mix, keys, "raw", "actual_cost", "amount").select(*keys, F.lit("cost_mix").alias("kind"), "part", "amount", F.lit(None).cast("double").alias("second"), F.lit(None).cast("double").alias("budget"))
+    none = F.lit(None).cast("double")
+
+    def listed(df: DataFrame, kind: str, names: list[str], amount: list, second: list | None = None, budget: list | None = None) -> DataFrame:
+        rows = [F.struct(F.lit(n).alias("part"), amount[i].alias("amount"), (second[i] if second else none).alias("second"), (budget[i] if budget else none).alias("budget")) for i, n in enumerate(names)]
+        return df.select(*keys, F.lit(kind).alias("kind"), F.inline(F.array(*rows)))
+
+    def named(prefix: str, names: list) -> list[Column]:
+        return [C(f"{prefix}{i}") for i in range(len(names))]
+
+    mix = s.select(*keys, "actual_cost", *[_uniform(f"mix-{n}", lo, hi).alias(f"r{i}") for i, (n, lo, hi) in enumerate(MIX)])
+    mix = listed(mix, "cost_mix", [m[0] for m in MIX], _scaled(named("r", MIX), C("actual_cost")))
+
     share = C("direct_budget") / F.greatest(C("direct_budget") + C("indirect_budget"), F.lit(1.0))
     act = s.select(*keys, "direct_budget", "completion", "scenario_cpi", (C("earned_value") * share).alias("ev_target"), (C("actual_cost") * share).alias("ac_target"),
-                   F.inline(F.array(*[F.struct(F.lit(a).alias("part"), _uniform(f"w-{a}", 0.7, 1.4).alias("raw"), _uniform(f"p-{a}", -0.2, 0.2).alias("dp"),
-                                               _uniform(f"c-{a}", -0.16, 0.16).alias("dc")) for a in ACTIVITIES])))
-    act = _scaled(act, keys, "raw", "direct_budget", "budget")
-    act = act.withColumn("ev0", C("budget") * _clip(C("completion") + C("dp"), 0.0, 1.0))
-    act = act.withColumn("ac0", C("ev0") / _clip(C("scenario_cpi") + C("dc"), 0.65, 1.25))
-    act = _scaled(_scaled(act, keys, "ev0", "ev_target", "amount"), keys, "ac0", "ac_target", "second")
-    act = act.select(*keys, F.lit("activity").alias("kind"), "part", "amount", "second", "budget")
-    cash = s.select(*keys, "revenue", "actual_cost", F.inline(F.array(*[
-        F.struct(F.lit(q).alias("part"), _uniform(f"in-{q}", a, b).alias("ri"), _uniform(f"out-{q}", c, d).alias("ro")) for q, a, b, c, d in QUARTERS])))
-    cash = _scaled(_scaled(cash, keys, "ri", "revenue", "amount"), keys, "ro", "actual_cost", "second").select(
-        *keys, F.lit("cash").alias("kind"), "part", "amount", "second", F.lit(None).cast("double").alias("budget"))
+                   *[_uniform(f"{x}-{a}", lo, hi).alias(f"{x}{i}") for i, a in enumerate(ACTIVITIES) for x, lo, hi in (("w", 0.7, 1.4), ("p", -0.2, 0.2), ("c", -0.16, 0.16))])
+    act = act.select("*", *[x.alias(f"b{i}") for i, x in enumerate(_scaled(named("w", ACTIVITIES), C("direct_budget")))])
+    act = act.select("*", *[(C(f"b{i}") * _clip(C("completion") + C(f"p{i}"), 0.0, 1.0)).alias(f"e{i}") for i in range(len(ACTIVITIES))])
+    act = act.select("*", *[(C(f"e{i}") / _clip(C("scenario_cpi") + C(f"c{i}"), 0.65, 1.25)).alias(f"a{i}") for i in range(len(ACTIVITIES))])
+    act = listed(act, "activity", ACTIVITIES, _scaled(named("e", ACTIVITIES), C("ev_target")), _scaled(named("a", ACTIVITIES), C("ac_target")), named("b", ACTIVITIES))
+
+    cash = s.select(*keys, "revenue", "actual_cost", *[_uniform(f"in-{q}", lo, hi).alias(f"i{k}") for k, (q, lo, hi, _, _) in enumerate(QUARTERS)],
+                    *[_uniform(f"out-{q}", lo, hi).alias(f"o{k}") for k, (q, _, _, lo, hi) in enumerate(QUARTERS)])
+    cash = listed(cash, "cash", [q[0] for q in QUARTERS], _scaled(named("i", QUARTERS), C("revenue")), _scaled(named("o", QUARTERS), C("actual_cost")))
     return mix.unionByName(act).unionByName(cash)
 
 

@@ -84,10 +84,32 @@ def t04w(spark, sf):
     return op.tfidf(b.table(spark, sf, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
-@query("t05_kmeans_clusters")
+_TFIDF_SQL = r"""tok AS (SELECT doc_id, regexp_extract_all(lower(text),'[\p{L}\p{N}_%.\-]{2,}') AS t FROM documents),
+ g AS (SELECT doc_id, unnest(list_concat(t, [t[i]||' '||t[i+1] FOR i IN range(1,len(t))])) AS term FROM tok),
+ tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1,2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ u AS (SELECT doc_id, term, (ln(tf)+1)*(ln(((SELECT count(*) FROM documents)+1)/(df+1))+1) AS w FROM tf JOIN df USING (term)),
+ w AS MATERIALIZED (SELECT doc_id, term, w/sqrt(sum(w*w) OVER (PARTITION BY doc_id)) AS weight FROM u)"""
+STEPS = 4
+
+
+def _kmeans_sql(steps: int) -> str:
+    k = "(SELECT greatest(1, least(8, CAST(round(sqrt(count(*))) AS INT), count(*))) FROM documents)"
+    sql = f"WITH {_TFIDF_SQL}, x AS (SELECT doc_id, sum(weight*weight) AS x FROM w GROUP BY 1),\n"
+    sql += f"a0 AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY md5('42:'||doc_id), doc_id)-1 AS cluster FROM x QUALIFY cluster < {k})"
+    for i in range(steps):
+        sql += f""",
+c{i} AS MATERIALIZED (SELECT a.cluster, term, sum(weight)/any_value(n) AS c FROM w JOIN a{i} a USING (doc_id) JOIN (SELECT cluster, count(*) AS n FROM a{i} GROUP BY 1) n ON n.cluster=a.cluster GROUP BY 1,2),
+s{i} AS (SELECT doc_id, cluster, sum(weight*c) AS s FROM w JOIN c{i} USING (term) GROUP BY 1,2),
+a{i + 1} AS MATERIALIZED (SELECT d.doc_id, q.cluster, round(coalesce(x,0)-2*coalesce(s,0)+q,9)+0.0 AS distance FROM documents d CROSS JOIN (SELECT cluster, sum(c*c) AS q FROM c{i} GROUP BY 1) q
+ LEFT JOIN x ON x.doc_id=d.doc_id LEFT JOIN s{i} s ON s.doc_id=d.doc_id AND s.cluster=q.cluster QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY distance, q.cluster)=1)"""
+    return sql + f"\nSELECT doc_id, CAST(cluster AS INT) AS cluster, round(distance,6) AS distance FROM a{steps}"
+
+
+@query("t05_kmeans_clusters", _kmeans_sql(STEPS))
 def t05(spark, sf):
-    e = b.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return op.kmeans_clusters(e, "embedding", 8).select("vec_id", "cluster")
+    docs = b.table(spark, sf, "documents")
+    k = op.cluster_count(docs.count())
+    return op.sparse_kmeans(docs, op.tfidf(docs, "doc_id", "text"), "doc_id", k, STEPS).select("doc_id", "cluster", F.round("distance", 6).alias("distance"))
 
 
 FEATURES = ["n_chars", "n_lines", "n_words", "digit_share", "constant"]
@@ -111,10 +133,38 @@ def t06(spark, sf):
     return z.select("doc_id", *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
-@query("t07_structural_anomaly")
+def _forest_sql(trees: int = 50, sample: int = 256, seed: int = 42, levels: int = 8) -> str:
+    """Pool, draws, growth level by level, and the walk of every row through every tree."""
+    path = "CASE WHEN {0}<=1 THEN 0.0 WHEN {0}=2 THEN 1.0 ELSE 2*(ln({0}-1)+0.5772156649015329)-2*({0}-1)::DOUBLE/{0} END"
+    u = f"('0x'||left(sha256('{seed}:'||tree||':'||node||':{{}}'),12))::BIGINT/281474976710656.0::DOUBLE"
+    sides = ", ".join(f"[{', '.join(f'{g}(x[{i}])' for i in range(1, len(FEATURES) + 1))}] AS {n}" for g, n in (("min", "lo"), ("max", "hi")))
+    sql = f"""WITH p AS (SELECT doc_id, length(text)::DOUBLE AS n_chars, len(string_split(text,chr(10)))::DOUBLE AS n_lines, len(string_split(text,' '))::DOUBLE AS n_words,
+ length(regexp_replace(text,'[^0-9]','','g'))::DOUBLE/greatest(length(text),1) AS digit_share FROM documents),
+z AS (SELECT doc_id, [{", ".join(f"coalesce(round(({c}-avg({c}) OVER ())/stddev_pop({c}) OVER (),9),0.0)" for c in FEATURES[:4])}, 7.0::DOUBLE] AS x FROM p),
+pool AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY ('0x'||left(md5('{seed}:'||doc_id),8))::BIGINT%{trees} ORDER BY md5('{seed}:'||doc_id))<={sample}),
+l0 AS MATERIALIZED (SELECT t.tree, doc_id, x, 1 AS node FROM pool, (SELECT unnest(range({trees})) AS tree) t QUALIFY row_number() OVER (PARTITION BY t.tree ORDER BY md5('{seed}:'||t.tree||':'||doc_id))<={sample}),
+sz AS (SELECT tree, ceil(log2(greatest(count(*),2))) AS depth, count(*) AS size FROM l0 GROUP BY 1)"""
+    for i in range(levels + 1):
+        sql += f""",
+g{i} AS (SELECT tree, node, count(*) AS n, {sides} FROM l{i} GROUP BY 1,2),
+f{i} AS (SELECT g.*, list_filter(range(1,{len(FEATURES) + 1}), lambda k: hi[k]>lo[k]) AS fs, depth FROM g{i} g JOIN sz USING (tree)),
+h{i} AS (SELECT *, {i}<depth AND n>1 AND len(fs)>0 AS split, fs[1+CAST(floor({u.format('feature')}*len(fs)) AS INT)] AS f FROM f{i}),
+s{i} AS MATERIALIZED (SELECT tree, node, n, split, f, lo[f]+{u.format('cut')}*(hi[f]-lo[f]) AS cut FROM h{i})"""
+        if i < levels:
+            sql += f",\nl{i + 1} AS (SELECT l.tree, doc_id, x, node*2+(x[f]>cut)::INT AS node FROM l{i} l JOIN s{i} s USING (tree,node) WHERE split)"
+    sql += ",\nw0 AS (SELECT doc_id, x, tree, 1 AS node, NULL::DOUBLE AS length FROM z, (SELECT DISTINCT tree FROM l0))"
+    for i in range(levels + 1):
+        sql += f""",
+w{i + 1} AS (SELECT doc_id, x, w.tree, CASE WHEN split THEN w.node*2+(x[f]>cut)::INT ELSE w.node END AS node,
+ coalesce(length, CASE WHEN s.n IS NULL THEN {i} WHEN NOT split THEN {i}+{path.format('s.n')} END) AS length FROM w{i} w LEFT JOIN s{i} s ON s.tree=w.tree AND s.node=w.node AND length IS NULL)"""
+    return sql + f"""
+SELECT doc_id, CASE WHEN max(size)<5 THEN 0.0 ELSE round(0.5-power(2.0,-avg(length)/any_value(c)),6) END AS score FROM w{levels + 1}, (SELECT max(size) AS size, {path.format('max(size)')} AS c FROM sz) GROUP BY doc_id"""
+
+
+@query("t07_structural_anomaly", _forest_sql())
 def t07(spark, sf):
     z = op.standardise(doc_profile(spark, sf), FEATURES)
-    return op.anomaly_scores(z, "doc_id", FEATURES)
+    return op.anomaly_scores(z.select("doc_id", *[F.round(c, 9).alias(c) for c in FEATURES]), "doc_id", FEATURES)
 
 
 @query("t08_keyword_cluster", r"""
@@ -166,12 +216,59 @@ def scenario_base(spark, sf):
 SEEDS = list(range(5))
 
 
-@query("t11_scenario_table")
+def _draw(name: str, low: str, high: str) -> str:
+    return f"({low}+({high}-({low}))*(('0x'||left(sha256(project||':'||similarity||':'||seed||':{name}'),12))::BIGINT/281474976710656.0::DOUBLE))"
+
+
+def _between(expr: str, low: float, high: float) -> str:
+    return f"least({high}::DOUBLE,greatest({low}::DOUBLE,{expr}))"
+
+
+_GRID = ",".join(f"({s},{m}::DOUBLE)" for s, m in op.MAGNITUDES)
+b.define("scenarios", f"""SELECT project, similarity, seed, contract, direct_budget, indirect_budget, fees_budget, direct_budget+indirect_budget+fees_budget AS total_budget, completion, earned_value, actual_cost,
+ earned_value-actual_cost AS cost_variance, CASE WHEN actual_cost<>0 THEN earned_value/actual_cost END AS scenario_cpi, revenue, gross_profit, CASE WHEN revenue<>0 THEN gross_profit/revenue END AS gross_profit_pct FROM
+(SELECT *, revenue-actual_cost-fees_budget*completion AS gross_profit FROM
+(SELECT *, ev AS earned_value, ev/{_between(f"coalesce(cpi,0.96::DOUBLE)+{_draw('cpi', '-m', 'm')}", 0.72, 1.18)} AS actual_cost,
+  contract*completion*{_between(_draw('billing', '-m', 'm') + '+0.93::DOUBLE', 0.72, 1.15)} AS revenue FROM
+(SELECT *, (direct_budget+indirect_budget)*completion AS ev FROM
+(SELECT project, similarity, seed, m, contract, cpi,
+ contract*{_between('coalesce(db,contract*0.72::DOUBLE)/greatest(contract,1.0::DOUBLE)', 0.55, 0.9)}*(1+{_draw('direct', '-m/2', 'm/2')}) AS direct_budget,
+ contract*{_between('coalesce(ib,contract*0.12::DOUBLE)/greatest(contract,1.0::DOUBLE)', 0.05, 0.25)}*(1+{_draw('indirect', '-m/2', 'm/2')}) AS indirect_budget,
+ contract*{_between('(contract*0.03::DOUBLE)/greatest(contract,1.0::DOUBLE)', 0.0, 0.12)}*(1+{_draw('fees', '-m/2', 'm/2')}) AS fees_budget,
+ {_between(f"coalesce(CASE WHEN done>1.5 THEN done/100 ELSE done END,0.55::DOUBLE)+{_draw('progress', '-0.12::DOUBLE', '0.12::DOUBLE')}", 0.08, 0.96)} AS completion FROM
+(SELECT *, greatest(1.0::DOUBLE, price*(1+{_draw('contract', '-m', 'm')})) AS contract FROM
+(SELECT name AS project, m_contract_value AS price, k_direct_budget_cost AS db, k_indirect_budget_cost AS ib, m_earned_value/m_budget AS done, m_earned_value/m_actual_cost AS cpi, similarity, m, seed
+ FROM model, (VALUES {_GRID}) a(similarity,m), (VALUES {','.join(f'({x})' for x in SEEDS)}) z(seed)))))))""", "model")
+
+
+def _parts_sql() -> str:
+    def total(prefix: str, n: int) -> str:
+        return "(" + "+".join(f"{prefix}{i}" for i in range(n)) + ")"
+
+    def listed(source: str, kind: str, names: list[str], amount: str, second: str = "NULL::DOUBLE", budget: str = "NULL::DOUBLE") -> str:
+        return " UNION ALL ".join(f"SELECT project, similarity, seed, '{kind}' AS kind, '{n}' AS part, {amount.format(i=i)} AS amount, {second.format(i=i)} AS second, {budget.format(i=i)} AS budget FROM {source}" for i, n in enumerate(names))
+
+    n, q = len(op.ACTIVITIES), len(op.QUARTERS)
+    mix = ", ".join(f"{_draw('mix-' + m, f'{lo}::DOUBLE', f'{hi}::DOUBLE')} AS r{i}" for i, (m, lo, hi) in enumerate(op.MIX))
+    act = ", ".join(f"{_draw(f'{x}-{a}', f'{lo}::DOUBLE', f'{hi}::DOUBLE')} AS {x}{i}" for i, a in enumerate(op.ACTIVITIES) for x, lo, hi in (("w", 0.7, 1.4), ("p", -0.2, 0.2), ("c", -0.16, 0.16)))
+    cash = ", ".join([f"{_draw('in-' + x, f'{lo}::DOUBLE', f'{hi}::DOUBLE')} AS i{k}" for k, (x, lo, hi, _, _) in enumerate(op.QUARTERS)]
+                     + [f"{_draw('out-' + x, f'{lo}::DOUBLE', f'{hi}::DOUBLE')} AS o{k}" for k, (x, _, _, lo, hi) in enumerate(op.QUARTERS)])
+    share = "(direct_budget/greatest(direct_budget+indirect_budget,1.0::DOUBLE))"
+    return f"""SELECT * FROM (WITH mix AS (SELECT *, {mix} FROM scenarios), act0 AS (SELECT *, earned_value*{share} AS evt, actual_cost*{share} AS act, {act} FROM scenarios),
+ act1 AS (SELECT *, {", ".join(f"w{i}/{total('w', n)}*direct_budget AS b{i}" for i in range(n))} FROM act0),
+ act2 AS (SELECT *, {", ".join(f"b{i}*{_between(f'completion+p{i}', 0.0, 1.0)} AS e{i}" for i in range(n))} FROM act1),
+ act3 AS (SELECT *, {", ".join(f"e{i}/{_between(f'scenario_cpi+c{i}', 0.65, 1.25)} AS a{i}" for i in range(n))} FROM act2), cash AS (SELECT *, {cash} FROM scenarios)
+ {listed("mix", "cost_mix", [m[0] for m in op.MIX], "r{i}/" + total("r", len(op.MIX)) + "*actual_cost")}
+ UNION ALL {listed("act3", "activity", op.ACTIVITIES, "e{i}/" + total("e", n) + "*evt", "a{i}/" + total("a", n) + "*act", "b{i}")}
+ UNION ALL {listed("cash", "cash", [x[0] for x in op.QUARTERS], "i{i}/" + total("i", q) + "*revenue", "o{i}/" + total("o", q) + "*actual_cost")})"""
+
+
+@query("t11_scenario_table", sql_with("SELECT * FROM scenarios", "scenarios"))
 def t11(spark, sf):
     return op.scenario_table(scenario_base(spark, sf), SEEDS)
 
 
-@query("t11_scenario_parts")
+@query("t11_scenario_parts", sql_with(_parts_sql(), "scenarios"))
 def t11p(spark, sf):
     return op.scenario_parts(op.scenario_table(scenario_base(spark, sf), SEEDS))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A plan as a Parquet table in the shared folder, columnar and read back by later steps."""
+    path = f"{work_dir(df.sparkSession)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def plan_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate of a plan, NULL where the session does not expose it."""
     try:
