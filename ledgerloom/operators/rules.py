@@ -366,6 +366,31 @@ def evidence_places(evidence: DataFrame) -> DataFrame:
     return evidence.filter("source_sheet IS NOT NULL").select("project", "dataset", "source_sheet", "source_row", place).distinct()
 
 
+def first_places(evidence: DataFrame, limit: int = 12) -> DataFrame:
+    """The first distinct places of each project and dataset, by sheet and row, as an array of texts.
+
+    Spark keeps the first of each group in a task before the shuffle, so that what is gathered is bounded by tasks x limit.
+    """
+    place = F.concat_ws(" · row ", "source_sheet", F.col("source_row").cast("string")).alias("place")
+    own = evidence.filter("source_sheet <> ''").select("project", "dataset", "source_sheet", "source_row", place).distinct()
+    order = W.partitionBy("project", "dataset").orderBy("source_sheet", F.col("source_row").asc_nulls_first())
+    first = own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return first.groupBy("project", "dataset").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "place"))), lambda x: x["place"]).alias("first_places"))
+
+
+def json_paths(project_id: Column | str, metric: Column | str, datasets: Column | str, preferred: bool = True) -> Column:
+    """Where the values of an output stand in a project's documents: its metric, then its datasets."""
+    project_id, metric, datasets = (F.col(c) if isinstance(c, str) else c for c in (project_id, metric, datasets))
+    base = F.concat(F.lit("/generated/projects/"), project_id, F.lit("/latest.json"))
+    one = F.array(F.concat(base, F.lit("#/metrics/"), metric, F.lit("/preferred" if preferred else "")))
+    return F.concat(F.when(metric.isNotNull(), one).otherwise(F.array().cast("array<string>")), F.transform(datasets, lambda d: F.concat(base, F.lit("#/normalized_path#/"), d)))
+
+
+def united(*lists: Column) -> Column:
+    """Distinct texts of several lists in their order, without nulls and empty texts."""
+    return F.array_distinct(F.filter(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]), lambda v: v != ""))
+
+
 def dataset_stats(evidence: DataFrame) -> DataFrame:
     """Records, number of distinct places and mean confidence per project and dataset."""
     stats = evidence.groupBy("project", "dataset").agg(
@@ -374,13 +399,16 @@ def dataset_stats(evidence: DataFrame) -> DataFrame:
     return stats.join(places, ["project", "dataset"], "left")
 
 
-def lineage(bindings: DataFrame, projects: DataFrame, stats: DataFrame, places: DataFrame, metrics: DataFrame) -> DataFrame:
+def lineage(bindings: DataFrame, projects: DataFrame, stats: DataFrame, places: DataFrame, metrics: DataFrame, first: DataFrame | None = None, limit: int = 12) -> DataFrame:
     """Output bindings x projects: records, evidence, confidence and wired/derived/unavailable.
 
+    With ``first`` (:func:`first_places`) and a column project_id of ``projects`` also ``evidence``, the metric's place and the first distinct places of
+    the datasets in their order, and ``paths``. ``locations`` counts all distinct places.
+
     ``bindings`` has (ordinal, family, page, component, metric, datasets array);
     ``metrics`` has one row per project and available metric with its location.
     """
-    base = projects.select("project").join(bindings, how="cross")
+    base = projects.join(bindings, how="cross")
     used = base.select("project", "ordinal", F.explode("datasets").alias("dataset")).join(stats, ["project", "dataset"])
     agg = used.groupBy("project", "ordinal").agg(
         F.sum("records").alias("records"), F.sum(F.col("confidence") * F.col("records")).alias("weighted"),
@@ -391,38 +419,49 @@ def lineage(bindings: DataFrame, projects: DataFrame, stats: DataFrame, places:
     out = base.join(agg, ["project", "ordinal"], "left").join(told, ["project", "ordinal"], "left").join(metrics, ["project", "metric"], "left")
     places = F.coalesce("n_places", F.lit(0)) + F.when(F.col("location").isNotNull(), 1).otherwise(0)
     present = F.col("location").isNotNull() | (F.col("records") > 0)
+    more = []
+    if first is not None:
+        shown = base.select("project", "ordinal", F.posexplode("datasets").alias("pos", "dataset")).join(first, ["project", "dataset"]).groupBy("project", "ordinal").agg(
+            F.array_sort(F.collect_list(F.struct("pos", "first_places"))).alias("f"))
+        out = out.join(shown, ["project", "ordinal"], "left")
+        found = F.slice(F.array_distinct(F.flatten(F.transform("f", lambda x: x["first_places"]))), 1, limit)
+        more = [united(F.array("location"), found).alias("evidence"), json_paths("project_id", "metric", "datasets").alias("paths")]
     return out.select(
         "project", "ordinal", "family", "page", "component", F.coalesce("records", F.lit(0)).cast("long").alias("records"),
         places.cast("long").alias("locations"), (F.col("weighted") / F.col("weight")).alias("confidence"),
-        F.when(~F.coalesce(present, F.lit(False)), "unavailable").when(places > 0, "wired").otherwise("derived").alias("status"),
+        F.when(~F.coalesce(present, F.lit(False)), "unavailable").when(places > 0, "wired").otherwise("derived").alias("status"), *more,
     )
 
 
-def adaptive_lineage(bindings: DataFrame, stats: DataFrame) -> DataFrame:
-    """Datasets no binding covers are still listed."""
+def adaptive_lineage(bindings: DataFrame, stats: DataFrame, projects: DataFrame | None = None, first: DataFrame | None = None) -> DataFrame:
+    """Datasets no binding covers are still listed, with their places where ``first`` and ``projects`` (project, project_id) are given."""
     covered = bindings.select(F.explode("datasets").alias("dataset")).distinct()
     title = F.initcap(F.regexp_replace("dataset", "_", " "))
     n = F.coalesce("n_places", F.lit(0))
-    return stats.join(covered, "dataset", "left_anti").select(
+    rest, more = stats.join(covered, "dataset", "left_anti"), []
+    if first is not None:
+        rest = rest.join(projects, "project").join(first, ["project", "dataset"], "left")
+        more = [united(F.col("first_places")).alias("evidence"), json_paths("project_id", F.lit(None).cast("string"), F.array("dataset")).alias("paths")]
+    return rest.select(
         "project", F.lit(None).cast("int").alias("ordinal"), F.lit("Source & Assurance").alias("family"),
         F.lit("Data Mapping").alias("page"), F.concat(F.lit("Adaptive dataset · "), title).alias("component"),
         F.col("records").cast("long").alias("records"), n.cast("long").alias("locations"), "confidence",
-        F.when(n > 0, "adaptive").otherwise("derived").alias("status"),
+        F.when(n > 0, "adaptive").otherwise("derived").alias("status"), *more,
     )
 
 
 def attach_lineage(descriptors: DataFrame, lineage_rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Evidence and the weaker of both confidences by normalised title.
+    """Evidence (the descriptor's own, the places and the paths of its output, each once) and the weaker of both confidences by normalised title.
 
     The title map is one row per (project, title), so the join cannot fan out.
     """
     lin = lineage_rows.groupBy("project", normal_title("component").alias("title")).agg(
-        F.min_by(F.struct("status", "records", "locations", F.col("confidence").alias("lc")), "ordinal").alias("l"))
+        F.min_by(F.struct("status", "records", "locations", "evidence", "paths", F.col("confidence").alias("lc")), "ordinal").alias("l"))
     named = descriptors.join(aliases, "component_id", "left")
     named = named.withColumn("title", normal_title(F.coalesce("alias", "component_name")))
     j = named.join(lin, (named["project_name"] == lin["project"]) & (named["title"] == lin["title"]), "left")
     return j.select(
         "project_name", "surface", "component_id", F.col("l.status").alias("mapping_status"),
-        F.col("l.records").alias("source_records"), F.col("l.locations").alias("evidence"),
+        F.col("l.records").alias("source_records"), F.col("l.locations").alias("locations"), united(F.col("source_evidence"), F.col("l.evidence"), F.col("l.paths")).alias("evidence"),
         F.when(F.col("l.lc").isNotNull(), F.least("confidence", F.col("l.lc"))).otherwise(F.col("confidence")).alias("confidence"),
     )

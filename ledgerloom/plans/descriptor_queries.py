@@ -18,7 +18,7 @@ from ledgerloom.plans.registry import query
 from ledgerloom.plans.rules_queries import (
     CASH_RULE, CONC_RULE, COST_RULE, FC_RULE, IND_RULE, REC_RULE, TREND_RULE, WASTE_RULE, ledger_month_stats, quality_counts,
 )
-from ledgerloom.session import cut
+from ledgerloom.session import cut, written
 
 C = F.col
 
@@ -122,41 +122,64 @@ UNION ALL SELECT project, NULL, 'Source & Assurance', 'Data Mapping', 'Adaptive
 
 
 def shared_lines(spark, sf):
-    """The joined ledger lines, written once to the shared folder and read by every dataset below."""
-    return cut(b.ledger_lines(spark, sf))
+    """The joined ledger lines, written once to the shared folder as Parquet; every dataset below reads only its columns."""
+    return written(b.ledger_lines(spark, sf), "ledger-lines")
 
 
-def lineage_rows(spark, sf, lines=None, stats=None):
+def lineage_rows(spark, sf, lines=None, stats=None, with_evidence=False):
     lines = lines if lines is not None else shared_lines(spark, sf)
     m = b.project_model(spark, sf, lines)
     told = evidence(spark, sf, lines, m)
     stats = stats if stats is not None else op.dataset_stats(told)
-    bind = binding_table(spark, k.PROJECT_BINDINGS)
-    return op.lineage(bind, m.select(C("name").alias("project")), stats, op.evidence_places(told), metric_places(m)).unionByName(op.adaptive_lineage(bind, stats))
+    bind, projects = binding_table(spark, k.PROJECT_BINDINGS), m.select(C("name").alias("project"), C("id").alias("project_id"))
+    first = op.first_places(told) if with_evidence else None
+    return op.lineage(bind, projects, stats, op.evidence_places(told), metric_places(m), first).unionByName(op.adaptive_lineage(bind, stats, projects, first))
 
 
 LIN_OUT = "project, ordinal, family, page, component, records, locations, round(confidence,6) AS confidence, status"
+b.define("first_places", """SELECT project, dataset, rank, place FROM (SELECT *, row_number() OVER (PARTITION BY project, dataset ORDER BY source_sheet, source_row NULLS FIRST) AS rank FROM
+ (SELECT DISTINCT project, dataset, source_sheet, source_row, concat_ws(' · row ',source_sheet,CAST(source_row AS VARCHAR)) AS place FROM evidence WHERE source_sheet<>'')) WHERE rank<=12""", "evidence")
+_PATH = "'/generated/projects/'||id||'/latest.json"
 
 
-@query("r31_project_lineage", sql_with(f"SELECT {LIN_OUT.replace('locations,', 'CAST(locations AS BIGINT) AS locations,')} FROM lineage", "lineage"))
+def _paths_sql(preferred: str) -> str:
+    return (f"list_concat(CASE WHEN metric IS NULL THEN []::VARCHAR[] ELSE [{_PATH}#/metrics/'||metric{preferred}] END, "
+            f"list_transform(datasets, lambda d: {_PATH}#/normalized_path#/'||d))")
+
+
+# the metric's place stands first, then the first twelve distinct places of the datasets in their order
+b.define("lineage_evidence", f"""SELECT p.project, p.ordinal, list_concat(CASE WHEN location IS NULL THEN []::VARCHAR[] ELSE [location] END, coalesce(places,[]::VARCHAR[])) AS evidence, paths FROM
+ (SELECT name AS project, ordinal, metric, {_paths_sql("||'/preferred'")} AS paths FROM model CROSS JOIN bind_project) p
+ LEFT JOIN (SELECT project, ordinal, list(place ORDER BY o) AS places FROM (SELECT project, ordinal, place, min(pos*100+rank) AS o, row_number() OVER (PARTITION BY project, ordinal ORDER BY min(pos*100+rank)) AS n
+  FROM (SELECT ordinal, unnest(datasets) AS dataset, generate_subscripts(datasets,1) AS pos FROM bind_project) d JOIN first_places f USING (dataset) GROUP BY project, ordinal, place) WHERE n<=12 GROUP BY 1,2) f
+  ON f.project=p.project AND f.ordinal=p.ordinal LEFT JOIN metric_places m ON m.project=p.project AND m.metric=p.metric
+UNION ALL SELECT project, NULL, list(place ORDER BY rank), any_value([{_PATH}#/normalized_path#/supplier_accounts']) FROM first_places JOIN model ON name=project WHERE dataset='supplier_accounts' GROUP BY 1""",
+         "model", "bind_project", "first_places", "metric_places")
+
+
+@query("r31_project_lineage", sql_with(f"SELECT {LIN_OUT.replace('locations,', 'CAST(locations AS BIGINT) AS locations,')}, evidence, paths FROM lineage JOIN (SELECT project AS p, ordinal AS o, evidence, paths FROM lineage_evidence) ON p=project AND o IS NOT DISTINCT FROM ordinal",
+                                     "lineage", "lineage_evidence"))
 def r31(spark, sf):
-    return lineage_rows(spark, sf).withColumn("confidence", F.round("confidence", 6))
+    return lineage_rows(spark, sf, with_evidence=True).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("r32_portfolio_lineage", sql_with("""
-SELECT p.project, bd.ordinal, page, component, coalesce(u.records,0) AS records,
+@query("r32_portfolio_lineage", sql_with(f"""
+SELECT p.project, bd.ordinal, page, component, coalesce(u.records,0) AS records, {_paths_sql("")} AS evidence,
  CASE WHEN component='Selected Projects' OR coalesce(u.records,0)>0 OR m.location IS NOT NULL THEN 'derived' ELSE 'unavailable' END AS status
-FROM (SELECT name AS project FROM model) p CROSS JOIN bind_portfolio bd LEFT JOIN (SELECT project, ordinal, CAST(sum(records) AS BIGINT) AS records
+FROM (SELECT name AS project, id FROM model) p CROSS JOIN bind_portfolio bd LEFT JOIN (SELECT project, ordinal, CAST(sum(records) AS BIGINT) AS records
  FROM (SELECT ordinal, unnest(datasets) AS dataset FROM bind_portfolio) d JOIN stats USING (dataset) GROUP BY 1,2) u ON u.project=p.project AND u.ordinal=bd.ordinal
-LEFT JOIN metric_places m ON m.project=p.project AND m.metric=bd.metric""", "model", "bind_portfolio", "stats", "metric_places"))
+LEFT JOIN (SELECT project, metric AS name, location FROM metric_places) m ON m.project=p.project AND m.name=bd.metric""", "model", "bind_portfolio", "stats", "metric_places"))
 def r32(spark, sf):
     lines = shared_lines(spark, sf)
     m = b.project_model(spark, sf, lines)
     told = evidence(spark, sf, lines, m)
     stats = op.dataset_stats(told)
-    rows = op.lineage(binding_table(spark, PORTFOLIO_ROWS), m.select(C("name").alias("project")), stats, op.evidence_places(told), metric_places(m))
+    bind, ids = binding_table(spark, PORTFOLIO_ROWS), m.select(C("name").alias("project"), C("id").alias("project_id"))
+    rows = op.lineage(bind, ids.select("project"), stats, op.evidence_places(told), metric_places(m))
+    # the inputs of a portfolio output are the places of its values in the projects' documents
+    rows = rows.join(bind.select("ordinal", "metric", "datasets"), "ordinal").join(ids, "project").withColumn("evidence", op.json_paths("project_id", "metric", "datasets", preferred=False))
     status = F.when((C("component") == "Selected Projects") | (C("status") != "unavailable"), "derived").otherwise("unavailable")
-    return rows.select("project", "ordinal", "page", "component", "records", status.alias("status"))
+    return rows.select("project", "ordinal", "page", "component", "records", "evidence", status.alias("status"))
 
 
 @query("r34_lineage_search", sql_with("""
@@ -516,21 +539,25 @@ def _quoted(v):
 
 
 b.define("components", "SELECT * FROM (VALUES " + ",".join(
-    f"('{c[0]}','{c[1]}',{_quoted(dict(k.LINEAGE_ALIASES).get(c[1], c[2]))})" for c in k.PROJECT_COMPONENTS) + ") v(surface,component_id,title)")
+    f"('{c[0]}','{c[1]}',{_quoted(dict(k.LINEAGE_ALIASES).get(c[1], c[2]))},{_quoted(c[2])})" for c in k.PROJECT_COMPONENTS) + ") v(surface,component_id,title,name)")
 b.define("lineage_first", f"""SELECT *, {_title_sql('component')} AS title FROM lineage
  QUALIFY row_number() OVER (PARTITION BY project, {_title_sql('component')} ORDER BY ordinal)=1""", "lineage")
 
 
 @query("r33_lineage_attachment", sql_with(f"""
-SELECT m.name AS project_name, c.surface, c.component_id, l.status AS mapping_status, l.records AS source_records, CAST(l.locations AS BIGINT) AS evidence,
+SELECT m.name AS project_name, c.surface, c.component_id, l.status AS mapping_status, l.records AS source_records, CAST(l.locations AS BIGINT) AS locations,
+ list_concat([m.name||'.xlsx · '||period, c.name||' · SHA-256 '||left(sha256(m.name||'|'||period),16)||'…'], list_concat(coalesce(e.evidence,[]::VARCHAR[]), coalesce(e.paths,[]::VARCHAR[]))) AS evidence,
  round(CASE WHEN l.confidence IS NOT NULL THEN least(CASE WHEN regionkey=4 THEN 1.0::DOUBLE ELSE 0.86::DOUBLE END,l.confidence)
   ELSE CASE WHEN regionkey=4 THEN 1.0::DOUBLE ELSE 0.86::DOUBLE END END,6) AS confidence
-FROM model m CROSS JOIN components c LEFT JOIN lineage_first l ON l.project=m.name AND l.title={_title_sql('c.title')}""",
-                                        "model", "components", "lineage_first"))
+FROM model m CROSS JOIN components c LEFT JOIN lineage_first l ON l.project=m.name AND l.title={_title_sql('c.title')}
+LEFT JOIN lineage_evidence e ON e.project=l.project AND e.ordinal IS NOT DISTINCT FROM l.ordinal""", "model", "components", "lineage_first", "lineage_evidence"))
 def r33(spark, sf):
     facts = project_facts(spark, sf)
     aliases = inline_table(spark, k.LINEAGE_ALIASES, ["component_id", "alias"])
-    out = op.attach_lineage(project_descriptors(facts), lineage_rows(spark, sf), aliases)
+    digest = F.substring(F.sha2(F.concat_ws("|", "project_name", "period"), 256), 1, 16)
+    own = F.array(F.concat("project_name", F.lit(".xlsx · "), "period"), F.concat("component_name", F.lit(" · SHA-256 "), digest, F.lit("…")))
+    described = project_descriptors(facts).withColumn("source_evidence", own)
+    out = op.attach_lineage(described, lineage_rows(spark, sf, with_evidence=True), aliases)
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
