@@ -162,7 +162,8 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = texts(docs, id_col, text_col)
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    # ranged by the beginning of the text too, so that rows of one id, or without one, are spread; the order within is by the whole text
+    dealt = docs.repartitionByRange(ranges, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     found = written(dealt.mapInArrow(_pair_rows, _PAIR), "fingerprints")
     # one row for each partition, without texts: which partition with rows comes next
     parts = found.filter("kind = 'head'").select("part")

@@ -24,8 +24,10 @@ from ledgerloom.llm.common import batch_of, slices, written
 BUCKETS, FAN = 1 << 14, 8
 #: The share of the text's log-likelihood that counts (its groups overlap), the weight of a parent level in rows, the add-one weight of the tables.
 TEMPER, PARENT, ADD = 0.05, 5.0, 1.0
-DROPPED = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+OPENED = re.compile(r"<(?:!--|(script|style|noscript|template)\b)", re.I)
+CLOSED = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")}
 TAG = re.compile(r"<[^>]*>")
+HTML, LANG = re.compile(r"<html\b", re.I), re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 
 
 def buckets(text: str) -> np.ndarray:
@@ -68,20 +70,38 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
 
 def visible(html: str) -> str:
-    return TAG.sub(" ", DROPPED.sub(" ", html))
+    """The text outside tags, comments and elements that aren't shown; one that is never closed runs to the end. Each place is passed once."""
+    shown, at = [], 0
+    while m := OPENED.search(html, at):
+        shown.append(html[at : m.start()])
+        closed = CLOSED[m[1].lower()].search(html, m.end()) if m[1] else None
+        end = closed.end() if closed else html.find("-->", m.end()) + 3 if not m[1] else 2
+        at = end if end > 2 else len(html)
+    text = " ".join([*shown, html[at:]])
+    last = text.rfind(">") + 1  # behind it no tag is closed
+    return TAG.sub(" ", text[:last]) + text[last:]
+
+
+def declared_language(html: str) -> str | None:
+    """The language that the first html tag with one declares."""
+    at = 0
+    while m := HTML.search(html, at):
+        end = html.find(">", m.end())
+        at = len(html) if end < 0 else end
+        if told := LANG.search(html[m.end() : at]):
+            return told[1].lower()
+    return None
 
 
 def text_evidence(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
     """page_id, url, declared, logl: the log-likelihoods of the visible text, one for each language, less their largest."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("declared", pa.string()), ("logl", pa.list_(pa.float64()))])
-    told = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             declared, found = [], []
             for html in batch.column(2).to_pylist():
-                m = told.search(html or "")
-                declared.append(m.group(1).lower() if m else None)
+                declared.append(declared_language(html or ""))
                 at, n = np.unique(buckets(visible(html or "")), return_counts=True)
                 x = logs[:, at] @ n if len(at) else np.zeros(len(langs))
                 found.append((x - x.max()).tolist())

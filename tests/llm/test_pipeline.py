@@ -30,6 +30,22 @@ def test_stages_decide_and_keep_the_columns(spark):
     assert outputs[4].filter("doc_id is null").count() == 1
 
 
+def test_rows_without_an_id_or_with_one_id_are_judged_one_by_one(spark):
+    """Null ids, shared ids, and columns of the caller (a map among them) whose names the stages use themselves."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.length("text").desc()).first()["text"]
+    plain = lambda word: " ".join(f"{word}{i}" for i in range(40))
+    rows = [(None, "before " + item + " after"), (None, plain("x")), (None, plain("x")), (5, plain("a")), (5, plain("b")), (5, plain("c") + " " + item), (6, plain("y")), (None, plain("y")), (7, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("caller's")).withColumn("number", F.create_map(F.lit("k"), F.lit(1))).withColumn("component_id", F.lit(1)).withColumn("toxic_score__x", F.lit(1))
+    told = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert clean.columns == docs.columns and told(clean) == sorted([(i, t) for i, t in rows if item not in (t or "")], key=str)
+    one = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert one.columns == docs.columns and told(one) == sorted([r for k, r in enumerate(rows) if k not in (2, 7)], key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns[: len(docs.columns)] == docs.columns and {r.row for r in out.collect()} <= {"caller's"}, name
+
+
 def test_an_empty_table_passes_every_stage(spark):
     now = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

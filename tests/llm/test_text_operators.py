@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -377,6 +378,49 @@ def test_language_of_pages(spark):
     assert language.detect(odd.limit(0), spark.read.parquet(f"{sf}/documents.parquet")).collect() == []
 
 
+def plain_visible(html):
+    """Tags, comments and hidden elements taken out step by step; an unclosed one runs to the end."""
+    out, i, low = [], 0, html.lower()
+    while i < len(html):
+        name = next((n for n in ("script", "style", "noscript", "template") if re.match(rf"<{n}\b", low[i:])), None)
+        if low.startswith("<!--", i) or name:
+            end = re.compile(rf"</{name}\s*>" if name else "-->").search(low, i + (4 if not name else len(name) + 1))
+            i = end.end() if end else len(html)
+            out.append(" ")
+        else:
+            out.append(html[i])
+            i += 1
+    return re.sub(r"<[^>]*>", " ", "".join(out))
+
+
+@pytest.mark.parametrize("html", ["a<b>c</b>", "x<script>y</script >z", "x<SCRIPT src=1>y</script>z<!-- c -->w", "a<!-- b", "a<style>b", "<p>1 < 2", "<scripted>a</scripted>", "a<!--b--><!--c-->d", "<template><script></template>e", ""])
+def test_visible_text(html):
+    assert language.visible(html).split() == plain_visible(html).split()
+
+
+@pytest.mark.parametrize("part", ["<!-- ", "<script>", "<", "<html ", "<html><", "</script ", "<p>a</p>", "<style "])
+def test_long_pages_are_passed_once(part):
+    page = part * ((1 << 20) // len(part))
+    began = time.process_time()
+    language.visible(page)
+    language.declared_language(page)
+    assert time.process_time() - began < 5
+    assert language.declared_language("<html class=x><html\nlang='DE' >") == "de" and language.declared_language("<p lang=de>") is None
+
+
+def test_fingerprints_of_one_id(spark):
+    """Rows of one id are spread over tasks and still compared with the next by text."""
+    rows = [(1 if i % 3 else None, f"{i % 41} " * 30) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars, r.edited_sha256) for r in fingerprints.compare_with_edits(df).collect())
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    want = []
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        k = len(t) // 2
+        want.append((i is not None, i or 0, len(t), hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()))
+    assert found == sorted(want)
+
+
 def test_likelihood_base_and_counts(spark, docs, monkeypatch):
     monkeypatch.setattr(likelihood, "FREQUENT", 20)
     rows = corpus()
