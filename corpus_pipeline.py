@@ -1,8 +1,9 @@
 """The corpus pipeline: stages over ``documents``, each written and read again before the next.
 
 Toxic documents go; one document of each group of near-duplicates (five-word shingles, 80 % of the union) stays; documents that hold a
-benchmark window go; secrets are replaced by [kind]; the rest is encoded into pieces. Stages keep the columns of documents, null ids
-included; the last adds ``n_pieces`` and ``piece_ids``. Each stage is judged on its own input.
+benchmark window go; secrets are replaced by [kind]; the rest is encoded into pieces. Every row is a document of its own: the stages that
+compare rows number them first, so that rows without an id, or of one id with different texts, are judged like all others. Stages keep the
+columns of documents, whatever further ones there are; the last adds ``n_pieces`` and ``piece_ids``. Each stage is judged on its own input.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from ledgerloom.llm import decontamination, near_dup, pieces, secrets, toxicity
 from ledgerloom.llm.common import written
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows whose id is (left_semi) or isn't (left_anti) among ``ids``; an id-less row is never in a set of ids."""
-    return docs.join(ids.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", how).select(docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number each, written so that it stays theirs, and the name of its column."""
+    name = "row"
+    while name in docs.columns:
+        name = "_" + name
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "pipeline-rows"), name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,19 +30,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id stays; of rows with one id, the first by text."""
-    groups = near_dup.near_duplicates(docs)
-    kept = _only(docs, groups.filter("not kept"), "left_anti")
-    repeated = written(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null"), "repeated-ids")
-    row = F.struct("text", *(c for c in docs.columns if c != "text"))
-    firsts = _only(kept, repeated, "left_semi").groupBy("doc_id").agg(F.min(row).alias("r")).select(*(F.col(f"r.`{c}`").alias(c) for c in docs.columns))
-    return _only(kept, repeated, "left_anti").unionByName(firsts)
+    """Of each group the row with the smallest id stays, one without an id only where none has one; a text without words is in no group."""
+    rows, row = _numbered(docs)
+    groups = near_dup.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias("number"), "component_id")
+    ids = rows.select(F.col(row).alias("number"), F.col("doc_id").cast("long").alias("id"))
+    first = groups.join(ids, "number").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "number")).alias("first"))
+    return rows.join(first.select(F.col("first.number").alias(row)), row, "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item stay."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found.filter("contaminated"), "left_anti")
+    rows, row = _numbered(docs)
+    found = decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
+    return rows.join(found.filter("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
