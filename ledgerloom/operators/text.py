@@ -96,42 +96,55 @@ def recurring_terms(texts: DataFrame, text: str, n: int | None = 80) -> DataFram
     return counts.orderBy(F.desc("n"), "term").limit(n) if n else counts
 
 
-@F.pandas_udf(T.StructType([T.StructField("metric", T.StringType()), T.StructField("score", T.DoubleType())]))
-def _similar(labels: pd.Series) -> pd.DataFrame:
-    """Best sequence-similarity alias of each label."""
-    aliases = [(m, a) for m, al in LEXICON.items() for a in al]
-    out = []
-    for n in labels:
-        best = (None, -1.0)
-        for m, a in aliases:
-            s = difflib.SequenceMatcher(None, n, a).ratio()
-            if s > best[1]:
-                best = (m, s)
-        out.append(best)
-    return pd.DataFrame(out, columns=["metric", "score"])
+@F.pandas_udf(T.DoubleType())
+def _similarity(label: pd.Series, alias: pd.Series) -> pd.Series:
+    """Sequence similarity of pairs; a label's matcher is made once for the aliases that follow each other."""
+    matcher = difflib.SequenceMatcher(None)
+    return pd.Series([matcher.set_seqs(n, a) or matcher.ratio() for n, a in zip(label, alias)], dtype=float)
+
+
+ALIASES = [(m, a) for m, al in LEXICON.items() for a in al]
+LETTERS = sorted({c for _, a in ALIASES for c in a})
+
+
+def similarity_pairs(labels: DataFrame, threshold: float = 0.58) -> DataFrame:
+    """(label, n, i, metric, alias, native): the pairs of labels and aliases that can decide: exact or containing ones with their score, and those
+    without one whose bound reaches the threshold and the label's best native score.
+
+    The bound is twice the characters that both have, over both lengths; no sequence similarity is higher.
+    """
+    counts = F.array(*[F.length("n") - F.length(F.replace(C("n"), F.lit(c), F.lit(""))) for c in LETTERS])
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("metric"), F.lit(a).alias("alias"), F.array(*[F.lit(a.count(c)) for c in LETTERS]).alias("letters")) for i, (m, a) in enumerate(ALIASES)])
+    d = labels.select("label").distinct().withColumn("n", normal_text("label")).filter(F.length("n") >= 2).withColumn("counts", counts)
+    n = F.length("n")
+
+    def pair(x: Column) -> Column:
+        size = F.length(x["alias"])
+        share = F.least(F.lit(0.97), F.least(n, size) / F.greatest(n, size) * 0.22 + 0.72)
+        native = F.when(C("n") == x["alias"], 1.0).when(C("n").contains(x["alias"]) | x["alias"].contains(C("n")), share)
+        shared = F.aggregate(F.zip_with("counts", x["letters"], lambda p, q: F.least(p, q)), F.lit(0), lambda s, y: s + y)
+        return F.struct(x["i"].alias("i"), x["metric"].alias("metric"), x["alias"].alias("alias"), native.alias("native"), (shared * 2.0 / (n + size)).alias("bound"))
+
+    every = d.select("label", "n", F.transform(table, pair).alias("pairs"))
+    best = every.withColumn("needed", F.greatest(F.lit(threshold), F.coalesce(F.array_max(F.transform("pairs", lambda x: x["native"])), F.lit(0.0))))
+    kept = F.filter("pairs", lambda x: F.coalesce(x["native"], x["bound"]) >= F.when(x["native"].isNotNull(), 0.0).otherwise(C("needed") - 1e-12))
+    return best.select("label", "n", F.inline(kept)).drop("bound")
 
 
 def lexicon_match(labels: DataFrame, fuzzy: bool = True, threshold: float = 0.58) -> DataFrame:
-    """Best metric of each distinct label: exact, containment, then sequence similarity.
+    """Best metric of each distinct label: 1 for an equal alias, a share for a contained one, else sequence similarity; the first alias wins a tie.
 
-    Only labels that the first two tiers leave below the best possible similarity go to Python.
+    Python sees only pairs without a native score whose upper bound, from lengths and common characters, can still decide.
     """
-    rows = [(i, m, a) for i, (m, a) in enumerate((m, a) for m, al in LEXICON.items() for a in al)]
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("metric"), F.lit(a).alias("alias")) for i, m, a in rows])
-    d = labels.select("label").distinct().withColumn("n", normal_text("label")).filter(F.length("n") >= 2)
-    la, ln = F.length("alias"), F.length("n")
-    share = F.least(F.lit(0.97), F.least(la, ln) / F.greatest(la, ln) * 0.22 + 0.72)
-    score = F.when(C("n") == C("alias"), 1.0).when(C("n").contains(C("alias")) | C("alias").contains(C("n")), share)
-    pairs = d.select("label", "n", F.inline(table)).withColumn("score", score).filter("score IS NOT NULL")
-    native = pairs.groupBy("label", "n").agg(F.max(F.struct("score", (-C("i")).alias("i"), "metric")).alias("b")).select(
-        "label", "n", "b.metric", "b.score")
+    pairs = similarity_pairs(labels, threshold)
     if not fuzzy:
-        return native.select("label", "metric", "score", F.lit("native").alias("tier"))
-    near = d.join(native.filter("score = 1"), "label", "left_anti").withColumn("f", _similar("n")).select(
-        "label", C("f.metric").alias("metric"), C("f.score").alias("score"), F.lit("similar").alias("tier"))
-    both = native.select("label", "metric", "score", F.lit("native").alias("tier")).unionByName(near)
-    best = both.groupBy("label").agg(F.max(F.struct("score", (C("tier") == "native").alias("first"), "metric", "tier")).alias("b"))
-    return best.select("label", "b.metric", "b.score", "b.tier").filter(C("score") >= threshold)
+        scored = pairs.filter("native IS NOT NULL").withColumn("score", C("native")).withColumn("tier", F.lit("native"))
+    else:
+        # a UDF sees every row it is given, so the pairs with a native score go around it
+        near = pairs.filter("native IS NULL").withColumn("score", _similarity("n", "alias")).withColumn("tier", F.lit("similar"))
+        scored = pairs.filter("native IS NOT NULL").withColumn("score", C("native")).withColumn("tier", F.lit("native")).unionByName(near)
+    best = scored.groupBy("label").agg(F.max_by(F.struct("metric", "score", "tier"), F.struct("score", -C("i"))).alias("b")).select("label", "b.*")
+    return best.filter(C("score") >= threshold) if fuzzy else best
 
 
 # ------------------------------------------------------------------ vectors

@@ -1,4 +1,4 @@
-"""Registered streaming queries (H17, H18): the stream has to equal the batch result."""
+"""Registered streaming queries (H04, H17, H18): the stream has to equal the batch result."""
 
 from pyspark.sql import functions as F
 
@@ -44,3 +44,19 @@ def h18(spark, sf):
     folder = watch.run_folder(spark, "history")
     run_in_slices(spark, sf, folder, watch.start_history)
     return watch.read_history(spark, folder).withColumn("processed_at", stamp("processed_at"))
+
+
+@query("h04_new_source_stream", f"""
+WITH e AS (SELECT user_id||'/'||event_id AS path, sha256(props) AS sha256, event_id%{SLICES} AS slice FROM events),
+ f AS (SELECT sha256, min(path) AS path FROM (SELECT *, min(slice) OVER (PARTITION BY sha256) AS first FROM e) WHERE slice=first GROUP BY 1)
+SELECT e.path, e.sha256, CASE WHEN f.path IS NULL THEN 'duplicate' ELSE 'accepted' END AS status FROM e LEFT JOIN f ON f.sha256=e.sha256 AND f.path=e.path""")
+def h04_stream(spark, sf):
+    """Sources arrive in three slices, each continuing the stream; contents of the first slice come again in the later ones."""
+    folder = watch.run_folder(spark, "sources")
+    events = b.table(spark, sf, "events")
+    for k in range(SLICES):
+        events.filter(F.col("event_id") % SLICES == k).write.parquet(f"{folder}/arrived/slice-{k}")
+        arrived = spark.readStream.schema(events.schema).parquet(f"{folder}/arrived/slice-*")
+        sources = arrived.select(F.concat_ws("/", F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("path"), F.sha2("props", 256).alias("sha256"))
+        watch.finish(watch.start_new_sources(sources, folder))
+    return watch.read_sources(spark, folder)

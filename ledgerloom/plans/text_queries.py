@@ -61,9 +61,27 @@ def t03(spark, sf):
     return op.lexicon_match(labels(spark, sf), fuzzy=False).select("label", "metric", F.round("score", 6).alias("score"))
 
 
-@query("t03_lexicon_match_similarity")
+# Matching blocks as in the sequence matcher: the longest common run of a segment (the earliest in the label, then in the alias), then the
+# segments on both of its sides. Only pairs whose bound reaches the threshold are walked.
+_BLOCKS_SQL = f"""WITH RECURSIVE l AS (SELECT label, trim(regexp_replace(regexp_replace(replace(lower(label),'_',' '),'[()]',' ','g'),'\s+',' ','g')) AS n FROM ({LABELS_SQL})),
+p AS (SELECT row_number() OVER () AS id, label, n, i, metric, alias, CASE WHEN n=alias THEN 1.0::DOUBLE WHEN contains(n,alias) OR contains(alias,n) THEN least(0.97::DOUBLE, least(len(alias),len(n))::DOUBLE/greatest(len(alias),len(n))*0.22::DOUBLE+0.72::DOUBLE) END AS native
+ FROM l, (VALUES {LEX}) x(i,metric,alias) WHERE len(n)>=2),
+s AS MATERIALIZED (SELECT * FROM (SELECT *, 2.0::DOUBLE*list_sum(list_transform(list_distinct(string_split(alias,'')), lambda c: least(len(n)-len(replace(n,c,'')), len(alias)-len(replace(alias,c,'')))))/(len(n)+len(alias)) AS bound FROM p)
+ WHERE native IS NULL AND bound>=0.58),
+r AS MATERIALIZED (SELECT id, a, b, list_max(list_filter(range(1,least(len(n)-a+1,len(alias)-b+1)+1), lambda k: substr(n,a,k)=substr(alias,b,k))) AS k
+ FROM (SELECT *, unnest(range(1,len(alias)+1)) AS b FROM (SELECT *, unnest(range(1,len(n)+1)) AS a FROM s)) WHERE substr(n,a,1)=substr(alias,b,1)),
+g(id,alo,ahi,blo,bhi,k) AS (SELECT id, 1, CAST(len(n)+1 AS BIGINT), 1, CAST(len(alias)+1 AS BIGINT), 0::BIGINT FROM s UNION ALL
+ SELECT id, CASE side WHEN 0 THEN alo ELSE a+m END, CASE side WHEN 0 THEN a ELSE ahi END, CASE side WHEN 0 THEN blo ELSE b+m END, CASE side WHEN 0 THEN b ELSE bhi END, CASE side WHEN 0 THEN m ELSE 0 END FROM
+ (SELECT g.id, alo, ahi, blo, bhi, r.a, r.b, least(r.k, ahi-r.a, bhi-r.b) AS m FROM g JOIN r ON r.id=g.id AND r.a>=alo AND r.a<ahi AND r.b>=blo AND r.b<bhi
+  QUALIFY row_number() OVER (PARTITION BY g.id, alo, ahi, blo, bhi ORDER BY least(r.k, ahi-r.a, bhi-r.b) DESC, r.a, r.b)=1), (VALUES (0),(1)) v(side)),
+z AS (SELECT label, metric, i, native AS score, 'native' AS tier FROM p WHERE native IS NOT NULL UNION ALL
+ SELECT label, metric, i, 2.0::DOUBLE*m/(len(n)+len(alias)), 'similar' FROM s JOIN (SELECT id, sum(k) AS m FROM g GROUP BY 1) USING (id))
+SELECT label, metric, round(score,6) AS score, tier FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, i) AS rn FROM z) WHERE rn=1 AND score>=0.58"""
+
+
+@query("t03_lexicon_match_similarity", _BLOCKS_SQL)
 def t03s(spark, sf):
-    return op.lexicon_match(labels(spark, sf), fuzzy=True)
+    return op.lexicon_match(labels(spark, sf), fuzzy=True).withColumn("score", F.round("score", 6))
 
 
 @query("t04_term_statistics", r"""

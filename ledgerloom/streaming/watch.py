@@ -1,17 +1,20 @@
 """Incremental processing of newly arrived revisions with Structured Streaming.
 
-State lives in written tables under the shared work folder, never in a driver
-variable: a restarted query continues from its checkpoint, and replaying a
-micro-batch rewrites the same batch folder instead of adding rows twice.
+State lives in the state store or in written tables under the shared work folder,
+never in a driver variable: a restarted query continues from its checkpoint, and
+replaying a micro-batch rewrites the same batch folder instead of adding rows twice.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerloom.operators import history as hist
 from ledgerloom.session import work_dir
@@ -58,19 +61,40 @@ def _keep(state: DataFrame, folder: str, batch_id: int) -> None:
     state.write.mode("overwrite").parquet(f"{folder}/state/{batch_id % 2}")
 
 
+def first_sources(sources: DataFrame) -> DataFrame:
+    """(path, sha256, status) of a stream of sources: accepted where the content is seen for the first time, else duplicate.
+
+    Of several paths that bring a new content in one batch the first by name is accepted. What was seen lies in the state store, a flag for each
+    hash, so that a batch touches the state of its own hashes only.
+    """
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        new, least = not state.exists, None
+        for pdf in batches:
+            paths = pdf["path"].sort_values(ignore_index=True)
+            if new and len(paths) and (least is None or paths[0] < least):  # the smallest so far waits until all are read
+                paths, least = pd.concat([paths[1:], pd.Series([least] if least is not None else [], dtype=object)]), paths[0]
+            yield pd.DataFrame({"path": paths, "sha256": key[0], "status": "duplicate"})
+        state.update((True,))
+        if least is not None:
+            yield pd.DataFrame({"path": [least], "sha256": [key[0]], "status": ["accepted"]})
+
+    told = sources.select("path", "sha256")
+    return told.groupBy("sha256").applyInPandasWithState(judge, "path string, sha256 string, status string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def start_new_sources(sources: DataFrame, folder: str) -> StreamingQuery:
-    """New sources by content hash: a hash already accepted in an earlier batch is a duplicate."""
+    """Judge newly arrived sources and write them batch by batch; a batch that is replayed writes its folder anew."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = batch.groupBy("sha256").agg(F.min("path").alias("path"))
-        known = _state(spark, folder, batch_id)
-        if known is not None:
-            first = first.join(known.select("sha256"), "sha256", "left_anti")
-        first.write.mode("overwrite").parquet(f"{folder}/accepted/batch={batch_id}")
-        new = spark.read.parquet(f"{folder}/accepted/batch={batch_id}").select("sha256")
-        _keep(new if known is None else known.unionByName(new), folder, batch_id)
-
-    return sources.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{folder}/judged/batch={batch_id}")
+
+    writer = first_sources(sources).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+    return writer.trigger(availableNow=True).start()
+
+
+def read_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Every source that arrived, with its status."""
+    return spark.read.parquet(f"{folder}/judged").drop("batch")
 
 
 def start_refresh(revisions: DataFrame, folder: str) -> StreamingQuery:
