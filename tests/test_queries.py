@@ -11,11 +11,11 @@ from conftest import SF
 
 SAMPLE = [
     "s01_workbook_cells", "s06_html_fields", "s07_text_records", "s11_snapshot_json", "d03_numeric_coercion", "d08_table_regions", "d11_header_row_inference",
-    "d14_month_parsing", "n01_direct_details", "n04_cashflow", "n05_cost_codes", "n08_ledger_aggregates", "n11_reallocation", "n17_cash_out_repair",
+    "d14_month_parsing", "n01_direct_details", "n04_cashflow", "n05_cost_codes", "n08_ledger_aggregates", "n11_reallocation", "n13_waste_detail", "n14_boq_resources", "n17_cash_out_repair",
     "i03_safe_date", "i04_metadata_pivot", "i06_two_key_resolution", "i11_change_history", "h02_semantic_fingerprint", "h07_latest_per_project",
     "h10_change_classification", "h18_late_period_stream", "p01_project_base", "p05_cost_matrix", "p10_scenario_lab", "p18_latest_cash_completeness",
-    "g05_resource_pareto", "g10_ledger_search", "r04_cost_performance", "r08_cash_trend_metrics", "r13_forecast_rule", "r29_batch_reading",
-    "t02_recurring_terms", "t09_family_classification", "x02_month_delta", "x07_deterioration_streak", "x12_drill_tree", "x21_transaction_quality",
+    "g05_resource_pareto", "g10_ledger_search", "r04_cost_performance", "r08_cash_trend_metrics", "r13_forecast_rule", "r29_batch_reading", "r31_project_lineage",
+    "t02_recurring_terms", "t07_structural_anomaly", "t09_family_classification", "t11_scenario_parts", "x02_month_delta", "x07_deterioration_streak", "x12_drill_tree", "x21_transaction_quality",
 ]
 
 
