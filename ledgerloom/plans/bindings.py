@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import line_sum, running_total
+from ledgerloom.operators.cube import measure_cube
 from ledgerloom.session import broadcast_if_small
 
 
@@ -88,9 +89,9 @@ def money_sums(*names: str) -> list:
     return [line_sum(n).alias(n) for n in names]
 
 
-def work_packages(spark: SparkSession, sf: str) -> DataFrame:
+def work_packages(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
     return (
-        cost_lines(spark, sf, part=True)
+        _lines(lines, cost_lines, spark, sf, part=True)
         .groupBy("project", "main_code", "month")
         .agg(*money_sums("bac", "ev", "ac"))
     )
@@ -103,11 +104,30 @@ def project_months(spark: SparkSession, sf: str, lines: DataFrame | None = None)
     )
 
 
+def ledger_codes(lines: DataFrame) -> DataFrame:
+    """Spreadsheet-like work codes (B.12)."""
+    return lines.withColumn("main_code", F.regexp_replace("main_code", "^Brand#", "B."))
+
+
 def ledger_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Ledger lines with a spreadsheet-like work code (B.12)."""
-    return cost_lines(spark, sf, part=True, supplier=True).withColumn(
-        "main_code", F.regexp_replace("main_code", "^Brand#", "B.")
-    )
+    return ledger_codes(cost_lines(spark, sf, part=True, supplier=True))
+
+
+MEASURES = ("bac", "ev", "ac", "work_qty")
+
+
+def cost_cube(spark: SparkSession, sf: str, measures: tuple[str, ...] = MEASURES, coded: bool = True, **levels: str) -> dict[str, DataFrame]:
+    """Cells by level, from one scan of the lines; any of them serves as the ``lines`` of the bindings below.
+
+    A level names its keys beside project and regionkey, parted by blanks. Only the dimensions these keys need are joined.
+    """
+    named = {level: ("project", "regionkey", *keys.split()) for level, keys in levels.items()}
+    used = {k for keys in named.values() for k in keys}
+    lines = cost_lines(spark, sf, part=bool(used & {"division", "main_code"}), supplier="resource" in used)
+    if coded and "main_code" in used:
+        lines = ledger_codes(lines)
+    return measure_cube(lines, named, measures, "cost-cells")
 
 
 def direct_details(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from ledgerloom.plans.registry import query
 from ledgerloom.plans.rules_queries import (
     CASH_RULE, CONC_RULE, COST_RULE, FC_RULE, IND_RULE, REC_RULE, TREND_RULE, WASTE_RULE, ledger_month_stats, quality_counts,
 )
-from ledgerloom.session import cut, written
+from ledgerloom.session import cut
 
 C = F.col
 
@@ -42,7 +42,7 @@ b.define("evidence", EVIDENCE_SQL, "direct_details", "indirect_details", "boq_re
 def evidence(spark, sf, lines, model):
     code = F.substring("main_code", 3, 9).cast("int")
     item_row = code * 100 + F.ascii("division") - 64
-    direct = b.direct_details(spark, sf, lines)
+    direct = b.direct_details(spark, sf, lines["package"])
 
     def ev(df, name, sheet, row, conf):
         sheet = F.lit(sheet) if isinstance(sheet, str) or sheet is None else sheet
@@ -54,12 +54,12 @@ def evidence(spark, sf, lines, model):
         b.table(spark, sf, "nation"), C("s_nationkey") == C("n_nationkey")).select(C("n_name").alias("project"), "s_suppkey")
     parts = [
         ev(direct, "project_items", "Direct Details", item_row, 0.9), ev(direct, "direct_details", "Direct Details", item_row, 0.9),
-        ev(b.indirect_details(spark, sf, lines), "indirect_details", "Indirect Details", code, 0.8),
-        ev(b.boq_resources(spark, sf, lines), "boq_resources", F.concat(F.lit("BOQ "), C("main_code")),
+        ev(b.indirect_details(spark, sf, lines["package"]), "indirect_details", "Indirect Details", code, 0.8),
+        ev(b.boq_resources(spark, sf, lines["entry"]), "boq_resources", F.concat(F.lit("BOQ "), C("main_code")),
            F.regexp_extract("resource", r"(\d+)$", 1).cast("int"), 0.95),
         ev(direct, "boq_forecasts", "Direct Details", item_row, 0.9),
-        ev(b.cash(spark, sf, lines), "cashflow", "Cashflow", None, 0.95),
-        ev(b.project_months(spark, sf, lines), "ledger_months", "Expense Ledger", None, 0.7),
+        ev(b.cash(spark, sf, lines["time"]), "cashflow", "Cashflow", None, 0.95),
+        ev(b.project_months(spark, sf, lines["time"]), "ledger_months", "Expense Ledger", None, 0.7),
         ev(waste(spark, sf), "waste", "Waste", None, 0.95),
         ev(b.profit_methods(model), "profitability", None, None, None),
         ev(quality(spark, sf), "data_quality", None, None, None),
@@ -121,14 +121,14 @@ UNION ALL SELECT project, NULL, 'Source & Assurance', 'Data Mapping', 'Adaptive
  CASE WHEN n>0 THEN 'adaptive' ELSE 'derived' END FROM stats WHERE dataset='supplier_accounts'""", "model", "bind_project", "stats", "metric_places")
 
 
-def shared_lines(spark, sf):
-    """The joined ledger lines, written once to the shared folder as Parquet; every dataset below reads only its columns."""
-    return written(b.ledger_lines(spark, sf), "ledger-lines")
+def shared_cells(spark, sf):
+    """Ledger cells at the three grains of the datasets below, from one scan of the lines."""
+    return b.cost_cube(spark, sf, time="month raw_di", package="main_code division raw_di", entry="main_code resource source raw_di")
 
 
 def lineage_rows(spark, sf, lines=None, stats=None, with_evidence=False):
-    lines = lines if lines is not None else shared_lines(spark, sf)
-    m = b.project_model(spark, sf, lines)
+    lines = lines if lines is not None else shared_cells(spark, sf)
+    m = b.project_model(spark, sf, lines["time"])
     told = evidence(spark, sf, lines, m)
     stats = stats if stats is not None else op.dataset_stats(told)
     bind, projects = binding_table(spark, k.PROJECT_BINDINGS), m.select(C("name").alias("project"), C("id").alias("project_id"))
@@ -170,8 +170,8 @@ FROM (SELECT name AS project, id FROM model) p CROSS JOIN bind_portfolio bd LEFT
  FROM (SELECT ordinal, unnest(datasets) AS dataset FROM bind_portfolio) d JOIN stats USING (dataset) GROUP BY 1,2) u ON u.project=p.project AND u.ordinal=bd.ordinal
 LEFT JOIN (SELECT project, metric AS name, location FROM metric_places) m ON m.project=p.project AND m.name=bd.metric""", "model", "bind_portfolio", "stats", "metric_places"))
 def r32(spark, sf):
-    lines = shared_lines(spark, sf)
-    m = b.project_model(spark, sf, lines)
+    lines = shared_cells(spark, sf)
+    m = b.project_model(spark, sf, lines["time"])
     told = evidence(spark, sf, lines, m)
     stats = op.dataset_stats(told)
     bind, ids = binding_table(spark, PORTFOLIO_ROWS), m.select(C("name").alias("project"), C("id").alias("project_id"))
@@ -233,12 +233,13 @@ LEFT JOIN (SELECT project, count(*) AS links, count(*) FILTER (status IN ('wired
          "boq_resources", "ledger_month_stats", "ledger", "quality_counts", "lineage")
 
 
-def project_facts(spark, sf):
+def project_facts(spark, sf, lines=None):
     """Every metric of every project component: one row per project."""
-    lines = shared_lines(spark, sf)
-    m = b.project_model(spark, sf, lines)
-    direct, boq = b.direct_details(spark, sf, lines), b.boq_resources(spark, sf, lines)
-    flow = b.cashflow(spark, sf, lines)
+    lines = lines if lines is not None else shared_cells(spark, sf)
+    m = b.project_model(spark, sf, lines["time"])
+    package, entry = lines["package"], lines["entry"]
+    direct, boq = b.direct_details(spark, sf, package), b.boq_resources(spark, sf, entry)
+    flow = b.cashflow(spark, sf, lines["time"])
     methods = b.profit_methods(m)
     bs = pf.base_rows(b.with_methods(m)).select(C("name").alias("project"), C("gp").alias("base_gp"), ratio("gp", "revenue").alias("base_margin"))
     c = F.coalesce
@@ -268,30 +269,30 @@ def project_facts(spark, sf):
     conc = pj.concentration(boq, ["project"], C("resource"), C("actual_cost")).select(
         "project", C("row_count").alias("res_rows"), C("total").alias("res_total"), C("top").alias("res_top"))
     wst = waste(spark, sf)
-    realloc = lines.filter("raw_di = 'I'").groupBy("project", "main_code").agg(
+    realloc = entry.filter("raw_di = 'I'").groupBy("project", "main_code").agg(
         b.line_sum(F.when(C("source") == "A", C("ac"))).alias("other_cost"), b.line_sum(F.when(C("source") == "R", C("ac"))).alias("equipment"))
     rt = nz.reallocation_totals(realloc).select(
         "project", C("equipment_total").alias("alloc_equipment"), C("other_cost_total").alias("alloc_other"))
-    verified = lines.groupBy("project", "main_code").agg(
+    verified = package.groupBy("project", "main_code").agg(
         b.line_sum(F.when(C("raw_di") == "D", C("bac"))).alias("d"), b.line_sum(F.when(C("raw_di") == "I", C("bac"))).alias("i")
     ).filter("d >= coalesce(i, 0D)").select("project", "main_code")
     fc = nz.forecast_register(direct, boq.join(verified, ["project", "main_code"])).groupBy("project").agg(
         F.count("*").alias("fc_rows"), total_sum("bac").alias("fc_bac"), total_sum("ev").alias("fc_ev"), total_sum("etc").alias("fc_etc"),
         total_sum("remaining_budget").alias("fc_remaining"))
-    idd = b.indirect_details(spark, sf, lines).groupBy("project").agg(
+    idd = b.indirect_details(spark, sf, package).groupBy("project").agg(
         F.count("*").alias("id_rows"), *[total_sum(x).alias(f"id_{n}") for n, x in (("budget", "original_budget"), ("ev", "ev"), ("ac", "ac"), ("cv", "cv"))])
-    pools = lines.filter("raw_di = 'I'").groupBy("project").agg(
-        (F.size(F.collect_set("division")) + F.size(F.collect_set("source"))).alias("pool_rows"), (b.line_sum("ac") * 2).alias("pool_total"))
+    pools = package.filter("raw_di = 'I'").groupBy("project").agg(F.countDistinct("division").alias("divisions"), (b.line_sum("ac") * 2).alias("pool_total")).join(
+        entry.filter("raw_di = 'I'").groupBy("project").agg(F.countDistinct("source").alias("sources")), "project").select(
+        "project", (C("divisions") + C("sources")).alias("pool_rows"), "pool_total")
     al = boq.groupBy("project").agg(F.count("*").alias("alloc_rows"), total_sum("actual_cost").alias("alloc_actual"))
     ws = wst.groupBy("project").agg(F.count("*").alias("waste_rows"))
-    lm = ledger_month_stats(lines.groupBy("project", "month").agg(b.line_sum("ac").alias("total"))).select(
+    lm = ledger_month_stats(lines["time"].groupBy("project", "month").agg(b.line_sum("ac").alias("total"))).select(
         "project", C("periods").alias("lm_periods"), C("last_total").alias("lm_latest"), C("total").alias("lm_total"))
-    by_code = lines.groupBy("project", "main_code").agg(b.line_sum("ac").alias("v")).filter("v > 0").groupBy("project").agg(
+    by_code = package.groupBy("project", "main_code").agg(b.line_sum("ac").alias("v")).filter("v > 0").groupBy("project").agg(
         F.count("*").alias("code_rows"), total_sum("v").alias("code_total"), F.max("v").alias("code_top"))
-    exp = lines.select("project", "main_code", "resource", "source", "raw_di").distinct().groupBy("project").agg(F.count("*").alias("exp_rows"))
-    mf = lines.groupBy("project").agg(
-        F.size(F.collect_set("main_code")).alias("sheets"), F.size(F.collect_set("division")).alias("tables"), F.count("*").alias("cells"),
-        F.size(F.collect_set("source")).alias("src_count"))
+    exp = entry.groupBy("project").agg(F.count("*").alias("exp_rows"), F.countDistinct("source").alias("src_count"))
+    mf = package.groupBy("project").agg(
+        F.countDistinct("main_code").alias("sheets"), F.countDistinct("division").alias("tables"), F.sum("n").alias("cells"))
     lk = lineage_rows(spark, sf, lines).groupBy("project").agg(
         F.count("*").alias("links"), F.count_if(C("status").isin("wired", "adaptive")).alias("exact_links"),
         F.count_if(C("status") == "unavailable").alias("missing_links"))
@@ -361,10 +362,11 @@ b.define("pdesc_long", f"""SELECT ordinal, surface, surface||'-'||component_id A
 RISK_SURFACE = "SELECT ordinal+100 AS ordinal, 'risk' AS surface, 'risk-'||component_id AS component_id, semantic_type, metric, value FROM pdesc_long WHERE surface IN ('charts','analysis') AND semantic_type<>'scenario'"
 
 
-def portfolio_facts(spark, sf):
-    m = b.project_model(spark, sf)
+def portfolio_facts(spark, sf, months):
+    """One row of portfolio measures from the monthly cells."""
+    m = b.project_model(spark, sf, months)
     rows = pf.scoped(pf.base_rows(b.with_methods(m)))
-    flow = b.cashflow(spark, sf)
+    flow = b.cashflow(spark, sf, months)
     rem = F.greatest(F.lit(0.0), C("budget") - C("ev"))
     sums = rows.agg(
         *[total_sum(x).alias(n) for n, x in (("budget", "budget"), ("ev", "ev"), ("ac", "ac"), ("revenue", "revenue"), ("gp", "gp"),
@@ -374,7 +376,7 @@ def portfolio_facts(spark, sf):
     last = pf.latest_cash(flow).select(
         C("latest_cash_in").alias("p_last_in"), C("latest_cash_out").alias("p_last_out"),
         C("cumulative_cash_in").alias("p_cum_in"), C("cumulative_cash_out").alias("p_cum_out"), C("cumulative_net").alias("p_cum_net"))
-    revisions = b.project_months(spark, sf).agg(F.count("*").alias("p_revisions"))
+    revisions = b.project_months(spark, sf, months).agg(F.count("*").alias("p_revisions"))
     q = quality_counts(spark, sf, m).agg(F.sum("findings").alias("p_findings"), F.sum("severe").alias("p_severe"))
     out = sums
     for part in (cash, last, revisions, q):
@@ -402,15 +404,16 @@ def portfolio_descriptors(facts, period):
     return rows.unionByName(risk)
 
 
-def latest_period(spark, sf):
-    return b.cost_lines(spark, sf).agg(F.max("month").alias("period"))
+def portfolio_components(spark, sf, months=None):
+    months = months if months is not None else b.cost_cube(spark, sf, ("bac", "ev", "ac"), time="month raw_di")["time"]
+    return portfolio_descriptors(portfolio_facts(spark, sf, months), months.agg(F.max("month").alias("period")))
 
 
 @query("r20_portfolio_descriptors", sql_with(f"""
 SELECT ordinal, surface, component_id, semantic_type, metric, round(value,2) AS value FROM
 (SELECT * FROM pdesc_long UNION ALL {RISK_SURFACE})""", "pdesc_long"))
 def r20(spark, sf):
-    d = portfolio_descriptors(portfolio_facts(spark, sf), latest_period(spark, sf))
+    d = portfolio_components(spark, sf)
     return _long(d)
 
 
@@ -420,11 +423,12 @@ SELECT expected, least(expected,covered) AS covered, least(100,covered/expected*
  (SELECT count(*) FROM (SELECT project_id, ordinal FROM desc_long GROUP BY 1,2 HAVING count(value)=0))
  + (SELECT count(*) FROM (SELECT ordinal FROM (SELECT * FROM pdesc_long UNION ALL {RISK_SURFACE}) GROUP BY 1 HAVING count(value)=0)) AS gaps)""", "desc_long", "pdesc_long"))
 def r21(spark, sf):
-    proj = project_descriptors(project_facts(spark, sf))
-    port = portfolio_descriptors(portfolio_facts(spark, sf), latest_period(spark, sf))
+    lines = shared_cells(spark, sf)
+    proj = project_descriptors(project_facts(spark, sf, lines))
+    port = portfolio_components(spark, sf, lines["time"])
     cols = ["project_id", "surface", "metrics"]
     both = proj.select(*cols).unionByName(port.select(*cols))
-    n = b.table(spark, sf, "nation").join(b.project_months(spark, sf).select("project").distinct(), C("n_name") == C("project")).agg(
+    n = b.table(spark, sf, "nation").join(lines["time"].select("project").distinct(), C("n_name") == C("project")).agg(
         (F.count("*") * len(k.PROJECT_SURFACES) + len(k.PORTFOLIO_SURFACES)).alias("expected"))
     filled = F.size(F.filter(F.map_values("metrics"), lambda v: v.isNotNull()))
     got = both.agg(F.countDistinct("project_id", "surface").alias("n"), F.count_if(filled == 0).alias("gaps"))
@@ -483,8 +487,9 @@ b.define("risks", "SELECT * FROM risk_first WHERE severity IN ('critical','cauti
 
 
 def evaluated_risks(spark, sf):
-    port = portfolio_descriptors(portfolio_facts(spark, sf), latest_period(spark, sf)).filter("surface = 'risk'")
-    return op.evaluate(port.unionByName(risk_descriptors(project_facts(spark, sf))))
+    lines = shared_cells(spark, sf)
+    port = portfolio_components(spark, sf, lines["time"]).filter("surface = 'risk'")
+    return op.evaluate(port.unionByName(risk_descriptors(project_facts(spark, sf, lines))))
 
 
 @query("r24_risk_report", sql_with("""
@@ -552,12 +557,13 @@ SELECT m.name AS project_name, c.surface, c.component_id, l.status AS mapping_st
 FROM model m CROSS JOIN components c LEFT JOIN lineage_first l ON l.project=m.name AND l.title={_title_sql('c.title')}
 LEFT JOIN lineage_evidence e ON e.project=l.project AND e.ordinal IS NOT DISTINCT FROM l.ordinal""", "model", "components", "lineage_first", "lineage_evidence"))
 def r33(spark, sf):
-    facts = project_facts(spark, sf)
+    lines = shared_cells(spark, sf)
+    facts = project_facts(spark, sf, lines)
     aliases = inline_table(spark, k.LINEAGE_ALIASES, ["component_id", "alias"])
     digest = F.substring(F.sha2(F.concat_ws("|", "project_name", "period"), 256), 1, 16)
     own = F.array(F.concat("project_name", F.lit(".xlsx · "), "period"), F.concat("component_name", F.lit(" · SHA-256 "), digest, F.lit("…")))
     described = project_descriptors(facts).withColumn("source_evidence", own)
-    out = op.attach_lineage(described, lineage_rows(spark, sf, with_evidence=True), aliases)
+    out = op.attach_lineage(described, lineage_rows(spark, sf, lines, with_evidence=True), aliases)
     return out.withColumn("confidence", F.round("confidence", 6))
 
 

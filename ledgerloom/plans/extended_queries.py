@@ -22,16 +22,16 @@ b.define("snap", _snap_sql(["project"], "project_months"), "project_months")
 b.define("wsnap", _snap_sql(["project", "main_code"], "work_packages"), "work_packages")
 
 
-def snap(spark, sf):
-    return op.snapshots(b.project_months(spark, sf), ["project"])
+def snap(spark, sf, lines=None):
+    return op.snapshots(b.project_months(spark, sf, lines), ["project"])
 
 
 def wsnap(spark, sf):
     return op.snapshots(b.work_packages(spark, sf), ["project", "main_code"])
 
 
-def cum_cash(spark, sf):
-    return b.cashflow(spark, sf).select("project", "month", "cash_in_cum", "cash_out_cum")
+def cum_cash(spark, sf, lines=None):
+    return b.cashflow(spark, sf, lines).select("project", "month", "cash_in_cum", "cash_out_cum")
 
 
 @query("x01_rag_status", sql_with("""
@@ -123,7 +123,8 @@ PKG_RULES = [("package_cpi_below_threshold", 2, "ev/ac<0.93"), ("code_over_budge
                          + [f"SELECT project, month, '{n}', {s} FROM work_packages WHERE {c}" for n, s, c in PKG_RULES])
     + ") GROUP BY 1,2,3", "exc", "work_packages"))
 def x08(spark, sf):
-    return op.exceptions(snap(spark, sf), cum_cash(spark, sf), b.work_packages(spark, sf))
+    lines = b.cost_cube(spark, sf, ("bac", "ev", "ac"), coded=False, month="month", package="main_code month")
+    return op.exceptions(snap(spark, sf, lines["month"]), cum_cash(spark, sf, lines["month"]), b.work_packages(spark, sf, lines["package"]))
 
 
 @query("x09_month_basis", sql_with("""
@@ -131,7 +132,7 @@ SELECT 'common' AS basis, project, month, ev, ac, cpi FROM snap WHERE month=(SEL
  HAVING count(DISTINCT project)=(SELECT count(DISTINCT project) FROM snap)))
 UNION ALL SELECT 'latest', project, month, ev, ac, cpi FROM last_snap UNION ALL SELECT 'selected', project, month, ev, ac, cpi FROM snap WHERE month=(SELECT min(month) FROM snap)""", "last_snap"))
 def x09(spark, sf):
-    return op.month_basis(snap(spark, sf))
+    return op.month_basis(snap(spark, sf, b.cost_cube(spark, sf, ("bac", "ev", "ac"), month="month")["month"]))
 
 
 def cost_cube(spark, sf):
@@ -192,14 +193,15 @@ SELECT project, check_name, left_total, right_total, CASE WHEN left_total IS NUL
  WHEN abs(left_total-right_total)<=abs(right_total)*(0.01::DOUBLE/100) THEN 'Reconciled' ELSE 'Warning' END AS status FROM control_facts, LATERAL (VALUES """
     + ",".join(f"('{n}',{l},{r})" for n, (l, r) in CHECKS.items()) + ") v(check_name,left_total,right_total)", "control_facts"))
 def x14(spark, sf):
-    m = b.project_model(spark, sf).select(
+    lines = b.cost_cube(spark, sf, coded=False, time="month raw_di", package="main_code month", resource="main_code resource raw_di")
+    m = b.project_model(spark, sf, lines["time"]).select(
         C("name").alias("project"), C("m_budget").alias("bac"), C("m_earned_value").alias("ev"), C("m_actual_cost").alias("ac"),
         C("k_ledger_accounting_cost").alias("ledger"), C("k_direct_budget_cost").alias("bac_d"), C("k_indirect_budget_cost").alias("bac_i"),
         C("k_direct_actual").alias("direct_kpi"))
-    pkg = b.work_packages(spark, sf).groupBy("project").agg(*[total_sum(c).alias(f"pkg_{c}") for c in ("bac", "ev", "ac")])
-    mo = b.project_months(spark, sf).groupBy("project").agg(total_sum("ac").alias("month_ac"))
-    ca = b.cash(spark, sf).groupBy("project").agg(total_sum("cash_out").alias("cash_out"))
-    re = b.boq_resources(spark, sf).groupBy("project").agg(total_sum("actual_cost").alias("res_ac"))
+    pkg = b.work_packages(spark, sf, lines["package"]).groupBy("project").agg(*[total_sum(c).alias(f"pkg_{c}") for c in ("bac", "ev", "ac")])
+    mo = b.project_months(spark, sf, lines["time"]).groupBy("project").agg(total_sum("ac").alias("month_ac"))
+    ca = b.cash(spark, sf, lines["time"]).groupBy("project").agg(total_sum("cash_out").alias("cash_out"))
+    re = b.boq_resources(spark, sf, lines["resource"]).groupBy("project").agg(total_sum("actual_cost").alias("res_ac"))
     for part in (pkg, mo, ca, re):
         m = m.join(part, "project", "left")
     pairs = m.select("project", F.inline(F.array(*[

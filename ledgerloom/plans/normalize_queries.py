@@ -25,11 +25,9 @@ b.define("direct_codes", f"""SELECT project, main_code FROM (SELECT project, mai
  WHERE d>=coalesce(i,0)""", "ledger_lines")
 
 
-def direct_codes(spark, sf):
+def direct_codes(lines):
     """Verified direct codes of a project: codes whose direct budget is at least the indirect one."""
-    lines = b.cost_lines(spark, sf, part=True)
-    code = F.regexp_replace("main_code", "^Brand#", "B.").alias("main_code")
-    return lines.groupBy("project", code).agg(
+    return lines.groupBy("project", "main_code").agg(
         line_sum(F.when(F.col("raw_di") == "D", F.col("bac"))).alias("d"),
         line_sum(F.when(F.col("raw_di") == "I", F.col("bac"))).alias("i"),
     ).filter("d >= coalesce(i, 0D)").select("project", "main_code")
@@ -41,7 +39,8 @@ b.define("classified", """SELECT l.*, CASE WHEN c.main_code IS NOT NULL OR di0='
 
 
 def classified(spark, sf):
-    return nz.classify(b.ledger_totals(spark, sf).withColumnRenamed("di", "raw_di"), direct_codes(spark, sf))
+    lines = b.cost_cube(spark, sf, ("bac", "ac", "work_qty"), entry="main_code resource source raw_di", code="main_code raw_di")
+    return nz.classify(b.ledger_totals(spark, sf, lines["entry"]).withColumnRenamed("di", "raw_di"), direct_codes(lines["code"]))
 
 
 @query("n07_direct_indirect", sql_with("""
@@ -60,10 +59,11 @@ UNION ALL SELECT p.project, 'month', m.month, coalesce(t.total,0) FROM (SELECT D
  (SELECT project, month, {S('total')} AS total FROM ledger_months_detail GROUP BY 1,2) t ON t.project=p.project AND t.month=m.month""",
                                        "classified", "ledger_months_detail"))
 def n08(spark, sf):
-    totals = b.cost_lines(spark, sf).groupBy("project", "month").agg(line_sum("ac").alias("total"))
-    months = nz.ledger_by_month(totals).select(
+    lines = b.cost_cube(spark, sf, ("bac", "ac"), entry="main_code source raw_di", month="month")
+    months = nz.ledger_by_month(lines["month"].select("project", "month", F.col("ac").alias("total"))).select(
         "project", F.lit("month").alias("grouping"), F.col("month").alias("name"), F.col("total").alias("value"))
-    return nz.ledger_rollups(classified(spark, sf)).unionByName(months)
+    entries = nz.classify(lines["entry"].withColumnRenamed("ac", "total_cost"), direct_codes(lines["entry"]))
+    return nz.ledger_rollups(entries).unionByName(months)
 
 
 _SHORT = "length({}) % 2 = 0"
@@ -105,8 +105,8 @@ b.define("verified_resources", """SELECT b.*, CASE WHEN work_qty<>0 THEN actual_
  FROM boq_resources b JOIN direct_codes c ON c.project=b.project AND c.main_code=b.main_code""", "boq_resources", "direct_codes")
 
 
-def verified_resources(spark, sf):
-    r = b.boq_resources(spark, sf).join(direct_codes(spark, sf), ["project", "main_code"])
+def verified_resources(boq, codes):
+    r = boq.join(codes, ["project", "main_code"])
     return r.withColumn("actual_rate", F.when(F.col("work_qty") != 0, F.col("actual_cost") / F.col("work_qty")))
 
 
@@ -134,7 +134,9 @@ UNION ALL SELECT r.project, r.main_code, d.division, r.resource, true, NULL, NUL
 
 
 def forecasts(spark, sf):
-    return nz.forecast_register(b.direct_details(spark, sf), verified_resources(spark, sf))
+    lines = b.cost_cube(spark, sf, package="main_code division raw_di", resource="main_code resource raw_di")
+    boq = verified_resources(b.boq_resources(spark, sf, lines["resource"]), direct_codes(lines["package"]))
+    return nz.forecast_register(b.direct_details(spark, sf, lines["package"]), boq)
 
 
 @query("n15_forecast_register", sql_with("SELECT * FROM forecasts", "forecasts"))
@@ -189,7 +191,8 @@ def project_metrics(model):
 
 
 def kpis(spark, sf):
-    m = b.project_model(spark, sf)
+    lines = b.cost_cube(spark, sf, time="month raw_di", package="main_code division raw_di")
+    m = b.project_model(spark, sf, lines["time"])
     cand = m.select(F.col("name").alias("project"), "regionkey", F.inline(F.array(
         F.struct(F.lit(1).alias("rank"), F.lit("Total Budget Cost").alias("source_label"), F.col("m_budget").alias("value")),
         F.struct(F.lit(2).alias("rank"), F.lit("Direct  Budget (Cost):").alias("source_label"),
@@ -201,7 +204,7 @@ def kpis(spark, sf):
                .join(nz.budget_component(cand, "indirect budget cost", "indirect_budget_component"), "project", "left"))
     totals = m.select(F.col("name").alias("project"), *[
         F.col(f"k_{c}").alias(c) for c in ("ledger_accounting_cost", "ledger_raw_direct", "ledger_raw_indirect")])
-    return nz.kpi_block(metrics, b.direct_details(spark, sf), b.indirect_details(spark, sf), totals)
+    return nz.kpi_block(metrics, b.direct_details(spark, sf, lines["package"]), b.indirect_details(spark, sf, lines["package"]), totals)
 
 
 @query("n18_kpi_block", sql_with("SELECT * FROM kpis", "kpis"))

@@ -13,12 +13,12 @@ BASE_COLS = (
 )
 
 
-def base(spark, sf):
-    return op.base_rows(b.with_methods(b.project_model(spark, sf)))
+def base(spark, sf, lines=None):
+    return op.base_rows(b.with_methods(b.project_model(spark, sf, lines)))
 
 
-def scoped(spark, sf, scope="dashboard"):
-    return op.scoped(base(spark, sf), scope)
+def scoped(spark, sf, scope="dashboard", lines=None):
+    return op.scoped(base(spark, sf, lines), scope)
 
 
 @query("p01_project_base", sql_with(f"SELECT {BASE_COLS} FROM base", "base"))
@@ -171,9 +171,9 @@ def p13(spark, sf):
     return sums.join(quality(spark, sf).agg(F.count("*").alias("quality_findings")), how="cross")
 
 
-def history(spark, sf):
+def history(spark, sf, lines=None):
     """Registry rows: current metrics and one history entry per reporting period."""
-    hist = b.project_months(spark, sf).select(
+    hist = b.project_months(spark, sf, lines).select(
         "project", "month", F.sha2(F.concat_ws("|", "project", "month"), 256).alias("fingerprint"), "bac", "ev", "ac")
     return hist.groupBy("project").agg(
         F.max("month").alias("period"),
@@ -202,11 +202,11 @@ SELECT m.name, m.period, m.fingerprint, CASE WHEN m_actual_cost<>0 THEN m_earned
  FROM quality GROUP BY project) q ON q.project=m.name"""
 
 
-def cards(spark, sf):
+def cards(spark, sf, lines=None):
     q = quality(spark, sf).groupBy("project").agg(
         F.count("*").alias("findings"), F.count_if(F.col("severity") == "critical").alias("severe"),
         F.count_if(F.col("severity") == "warning").alias("warnings"))
-    m = b.project_model(spark, sf)
+    m = b.project_model(spark, sf, lines)
     return m.join(q, m["name"] == q["project"], "left").select(
         "name", "period", "fingerprint",
         F.when(F.col("m_actual_cost") != 0, F.col("m_earned_value") / F.col("m_actual_cost")).alias("cpi"),

@@ -239,17 +239,19 @@ def g20(spark, sf):
 
 
 def report_sources(spark, sf):
-    m = b.project_model(spark, sf)
-    direct, boq = b.direct_details(spark, sf), b.boq_resources(spark, sf)
+    cells = b.cost_cube(spark, sf, time="month raw_di", package="main_code division raw_di", entry="main_code resource source raw_di month")
+    time, package, entry = cells["time"], cells["package"], cells["entry"]
+    m = b.project_model(spark, sf, time)
+    direct, boq = b.direct_details(spark, sf, package), b.boq_resources(spark, sf, entry)
     return {
-        "kpis": op.headline_kpis(m), "profitability": b.profit_methods(m), "cashflow": op.cash_curve(b.cashflow(spark, sf)),
+        "kpis": op.headline_kpis(m), "profitability": b.profit_methods(m), "cashflow": op.cash_curve(b.cashflow(spark, sf, time)),
         "data_quality": quality(spark, sf), "project_items": nz.project_items(direct), "direct_details": direct,
-        "indirect_details": b.indirect_details(spark, sf), "boq_resources": boq,
+        "indirect_details": b.indirect_details(spark, sf, package), "boq_resources": boq,
         "boq_forecasts": nz.forecast_register(direct, boq), "waste": waste(spark, sf),
         "cost_codes": b.table(spark, sf, "part").select("p_brand", "p_type").distinct(),
-        "ledger": b.ledger(spark, sf), "history": history(spark, sf).select("project", F.explode("history").alias("h")),
+        "ledger": b.ledger(spark, sf, entry), "history": history(spark, sf, time).select("project", F.explode("history").alias("h")),
         "scopes": op.stack_columns(m, "name", {"dashboard": "k_actual_cost_dashboard_scope", "ledger": "k_ledger_accounting_cost"}),
-        "portfolio_matrix": scoped(spark, sf), "cards": cards(spark, sf),
+        "portfolio_matrix": scoped(spark, sf, lines=time), "cards": cards(spark, sf, time),
     }
 
 

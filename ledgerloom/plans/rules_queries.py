@@ -221,9 +221,11 @@ SELECT *, {CONC_RULE} AS status FROM (SELECT project, 'resource' AS basis, row_c
  UNION ALL SELECT project, 'source', count(*), {S('v')}, max(v) FROM (SELECT project, source, {S('total_cost')} AS v FROM ledger GROUP BY 1,2) GROUP BY 1)""",
                                        "conc", "direct_details", "ledger"))
 def r12(spark, sf):
-    by_res = resource_concentration(spark, sf).select("project", F.lit("resource").alias("basis"), "row_count", "total", "top")
-    d = pj.concentration(b.direct_details(spark, sf), ["project"], C("division"), C("ac"))
-    s = pj.concentration(b.ledger_totals(spark, sf), ["project"], C("source"), C("total_cost"))
+    lines = b.cost_cube(spark, sf, package="main_code division raw_di", resource="main_code resource source raw_di")
+    by_res = pj.concentration(b.boq_resources(spark, sf, lines["resource"]), ["project"], C("resource"), C("actual_cost")).select(
+        "project", F.lit("resource").alias("basis"), "row_count", "total", "top")
+    d = pj.concentration(b.direct_details(spark, sf, lines["package"]), ["project"], C("division"), C("ac"))
+    s = pj.concentration(b.ledger_totals(spark, sf, lines["resource"]), ["project"], C("source"), C("total_cost"))
     rows = (by_res.unionByName(d.withColumn("basis", F.lit("package"))).unionByName(s.withColumn("basis", F.lit("source"))))
     return rows.withColumn("status", op.concentration(C("top"), C("total")))
 
@@ -407,8 +409,9 @@ def batch_reading(model, methods, flow, boq, qcounts):
 
 @query("r29_batch_reading", sql_with(BATCH_SQL, "chosen", "last_cash", "raw_conc", "quality_counts"))
 def r29(spark, sf):
-    m = b.project_model(spark, sf)
-    return batch_reading(m, b.profit_methods(m), b.cashflow(spark, sf), b.boq_resources(spark, sf), quality_counts(spark, sf, m))
+    lines = b.cost_cube(spark, sf, time="month raw_di", resource="main_code resource raw_di")
+    m = b.project_model(spark, sf, lines["time"])
+    return batch_reading(m, b.profit_methods(m), b.cashflow(spark, sf, lines["time"]), b.boq_resources(spark, sf, lines["resource"]), quality_counts(spark, sf, m))
 
 
 b.define("vac_sums", f"""SELECT project, {S('coalesce(bac,0)')} AS bac, {S('coalesce(vac,0)')} AS vac FROM items WHERE bac IS NOT NULL GROUP BY 1""", "items")
@@ -430,7 +433,8 @@ UNION ALL SELECT project, 'data_quality', CASE WHEN severe>0 THEN 'critical' WHE
 @query("r30_eight_controls", sql_with(LIVE_SQL, "vac_sums", "chosen", "last_cash", "boq_resources", "quality_counts"))
 def r30(spark, sf):
     from ledgerloom.operators.portfolio import revenue_method
-    m = b.project_model(spark, sf)
+    lines = b.cost_cube(spark, sf, time="month raw_di", package="main_code division raw_di", resource="main_code resource raw_di")
+    m = b.project_model(spark, sf, lines["time"])
     ev, ac = C("m_earned_value"), C("m_actual_cost")
     cpi = ratio(ev, ac)
 
@@ -438,18 +442,18 @@ def r30(spark, sf):
         return df.select(C(key).alias("project"), F.lit(control).alias("control"), status.alias("status"))
 
     g = op._graded
-    items = nz.project_items(b.direct_details(spark, sf)).filter("bac IS NOT NULL").groupBy("project").agg(
+    items = nz.project_items(b.direct_details(spark, sf, lines["package"])).filter("bac IS NOT NULL").groupBy("project").agg(
         total_sum("bac").alias("bac"), total_sum(F.coalesce("vac", F.lit(0.0))).alias("vac"))
     vac = F.when(C("bac") != 0, C("vac") / F.abs("bac") * 100)
     meth = revenue_method(b.profit_methods(m))
-    last = b.cashflow(spark, sf).groupBy("project").agg(F.max_by(F.struct("cash_in_cum", "cash_out_cum"), "month").alias("l"))
+    last = b.cashflow(spark, sf, lines["time"]).groupBy("project").agg(F.max_by(F.struct("cash_in_cum", "cash_out_cum"), "month").alias("l"))
     cin, cout = C("l.cash_in_cum"), C("l.cash_out_cum")
     net = cin - cout
     deficit = F.when(net < 0, F.when(cin != 0, F.abs(net) / F.abs(cin) * 100).otherwise(F.lit(100.0))).otherwise(F.lit(0.0))
     acc, rep = C("k_ledger_accounting_cost"), F.coalesce("k_actual_cost_dashboard_scope", "m_actual_cost")
     gap = F.when(rep != 0, F.abs(acc - rep) / F.abs(rep) * 100)
     ib, ia = C("k_indirect_budget_cost"), F.coalesce("k_indirect_actual", "m_indirect_cost")
-    boq = b.boq_resources(spark, sf).filter("actual_cost > 0").groupBy("project").agg(
+    boq = b.boq_resources(spark, sf, lines["resource"]).filter("actual_cost > 0").groupBy("project").agg(
         F.max("actual_cost").alias("top"), total_sum("actual_cost").alias("total"))
     share = C("top") / C("total") * 100
     q = quality_counts(spark, sf, m)

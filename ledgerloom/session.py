@@ -64,10 +64,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """A plan as a Parquet table in the shared folder, columnar and read back by later steps."""
+def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """A plan as a Parquet table in the shared folder, columnar and read back by later steps; ``folders`` are its partition columns."""
     path = f"{work_dir(df.sparkSession)}/ledgerloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
