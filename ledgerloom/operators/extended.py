@@ -252,18 +252,31 @@ def risk_score(components: DataFrame) -> DataFrame:
 
 
 def transaction_findings(lines: DataFrame, parts: DataFrame) -> DataFrame:
-    """Data-quality findings of transactions: duplicates, unmapped codes, non-positive amounts, bad periods, missing codes."""
-    dup = lines.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("k")).filter("k > 1").agg(
-        F.lit("duplicate_transactions").alias("finding"), F.coalesce(F.sum(C("k") - 1), F.lit(0)).alias("rows"))
-    unmapped = lines.join(parts, lines["l_partkey"] == parts["p_partkey"], "left_anti").agg(
-        F.lit("unmapped_code").alias("finding"), F.count("*").alias("rows"))
+    """Data-quality findings of transactions: duplicates, unmapped codes, non-positive amounts, bad periods, missing codes.
+
+    Each line gives its own key and its code; both kinds are counted in one shuffle, behind map-side combine. A null code is unmapped
+    and missing; lines with equal keys, nulls included, are duplicates of each other. Without lines every count is 0.
+    """
     checks = {
         "missing_code": C("l_partkey").isNull(), "negative_value": C("l_extendedprice") < 0, "zero_quantity": C("l_quantity") <= 0,
         "zero_tax": C("l_tax") == 0, "bad_period": C("l_shipdate").isNull() | (F.year("l_shipdate") < 1990),
     }
-    flags = lines.agg(*[F.count_if(c).alias(n) for n, c in checks.items()]).select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("finding"), C(n).alias("rows")) for n in checks])))
-    return dup.unionByName(unmapped).unionByName(flags)
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+
+    def entry(kind, one, two, n, known, flags):
+        return F.struct(F.lit(kind).alias("kind"), one.cast("long").alias("one"), two.cast("long").alias("two"), n.alias("n"), F.lit(known).alias("known"),
+                        *[f.alias(name) for name, f in flags.items()])
+
+    nothing = dict.fromkeys(checks, zero)
+    failed = {n: F.when(c, 1).otherwise(0).cast("long") for n, c in checks.items()}
+    one = F.lit(1).cast("long")
+    keys = lines.select(F.inline(F.array(
+        entry("line", C("l_orderkey"), C("l_linenumber"), one, False, failed), entry("code", C("l_partkey"), none, one, False, nothing))))
+    known = parts.filter("p_partkey IS NOT NULL").select(F.inline(F.array(entry("code", C("p_partkey"), none, zero, True, nothing))))
+    counted = keys.unionByName(known).groupBy("kind", "one", "two").agg(F.sum("n").alias("n"), F.bool_or("known").alias("known"), *[F.sum(c).alias(c) for c in checks])
+    sums = {"duplicate_transactions": F.when(C("kind") == "line", C("n") - 1), "unmapped_code": F.when((C("kind") == "code") & ~C("known"), C("n")), **{c: C(c) for c in checks}}
+    return counted.agg(*[F.coalesce(F.sum(v), zero).alias(n) for n, v in sums.items()]).select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("finding"), C(n).alias("rows")) for n in sums])))
 
 
 def driver_shares(exposure: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import canonical_id, clean_text, safe_date, slug
 from ledgerloom.operators import banding
+from ledgerloom.session import written
 
 C = F.col
 # Metadata labels and the record fields they fill.
@@ -81,22 +82,34 @@ def effective_dates(rec: DataFrame) -> DataFrame:
     return rec.select("*", F.coalesce("project_finish_eot", "project_finish").alias("effective_project_finish"), period.alias("reporting_period"))
 
 
+def key_counts(registry: DataFrame) -> DataFrame:
+    """kind, key, n, id: how many projects hold a key, and the least of them; one pass and one shuffle for all kinds.
+
+    Kinds: sap, code, and name for projects that have neither. Blank keys count nowhere. Written in a folder per kind.
+    """
+    sap, code = canonical_id("project_sap_id"), canonical_id("project_code")
+    name = F.when((sap == "") & (code == ""), canonical_id("project_name"))
+    keys = registry.select("internal_project_id", F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in (("sap", sap), ("code", code), ("name", name))])))
+    counts = keys.filter("key <> ''").groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("internal_project_id").alias("id"))
+    return written(counts, "registry-keys", "kind")
+
+
 def resolve(incoming: DataFrame, registry: DataFrame) -> DataFrame:
     """existing / new / conflict / unresolved with a reason code, by SAP id and project code.
 
-    Each key is looked up with its match count, so the lookup never multiplies rows.
+    Each key is looked up with its match count, so the lookup never multiplies rows. The registry is read once.
     """
-    def lookup(col: str, prefix: str) -> DataFrame:
-        key = canonical_id(col)
-        return registry.filter(key != "").groupBy(key.alias(f"{prefix}_key")).agg(
-            F.count("*").alias(f"{prefix}_n"), F.min("internal_project_id").alias(f"{prefix}_id"))
+    counts = key_counts(registry)
+
+    def lookup(kind: str) -> DataFrame:
+        return counts.filter(C("kind") == kind).select(C("key").alias(f"{kind}_key"), C("n").alias(f"{kind}_n"), C("id").alias(f"{kind}_id"))
 
-    legacy = registry.filter((canonical_id("project_sap_id") == "") & (canonical_id("project_code") == "")).select(
-        canonical_id("project_name").alias("name_key")).distinct().withColumn("legacy", F.lit(True))
+    legacy = lookup("name").select("name_key", F.lit(True).alias("legacy"))
     j = (
         incoming.withColumn("sap_key", canonical_id("project_sap_id")).withColumn("code_key", canonical_id("project_code"))
         .withColumn("name_key", canonical_id("project_name"))
-        .join(lookup("project_sap_id", "sap"), "sap_key", "left").join(lookup("project_code", "code"), "code_key", "left")
+        .join(lookup("sap"), "sap_key", "left").join(lookup("code"), "code_key", "left")
         .join(legacy, "name_key", "left")
     )
     has_sap, has_code = C("sap_key") != "", C("code_key") != ""

@@ -7,6 +7,7 @@ from ledgerloom.plans import bindings as b
 from ledgerloom.plans.bindings import sql_with
 from ledgerloom.plans.identity_queries import STAMP, stamp
 from ledgerloom.plans.registry import query
+from ledgerloom.session import written
 
 C = F.col
 b.define("revisions", """SELECT user_id%20 AS project, CASE WHEN event_id%997=0 THEN 'unknown' ELSE strftime(ts,'%Y-%m-%d') END AS period, sha256(props||user_id) AS fingerprint, ts AS processed_at,
@@ -196,20 +197,27 @@ def h13(spark, sf):
 
 
 def isolation_gate(registry, summaries, sheets):
-    """Assertion rows: duplicate ids or keys, missing identity, sheet counts and foreign or stale sheets."""
-    dup = registry.groupBy("project").agg(F.count("*").alias("k")).filter("k > 1").select("project", F.lit("duplicate_project_id").alias("error"))
-    dup_key = registry.filter("sap_key IS NOT NULL").groupBy("sap_key").agg(F.count("*").alias("k"), F.min("project").alias("project")).filter(
-        "k > 1").select("project", F.lit("duplicate_key").alias("error"))
-    missing = summaries.filter("sap_key IS NULL AND code_key IS NULL").select("project", F.lit("identity_missing").alias("error"))
-    counts = sheets.groupBy("project").agg(F.count("*").alias("n"))
-    mismatch = summaries.join(counts, "project", "left").filter("sheet_count <> coalesce(n, 0)").select("project", F.lit("sheet_count_mismatch").alias("error"))
-    stale = sheets.join(summaries.select("project", "fingerprint"), "project", "left").filter(
-        "fingerprint IS NULL OR sheet_fingerprint <> fingerprint").select("project", F.lit("sheet_fingerprint_mismatch").alias("error")).distinct()
-    unaccounted = summaries.filter("unaccounted > 0").select("project", F.lit("unaccounted_sheets").alias("error"))
-    out = dup
-    for part in (dup_key, missing, mismatch, stale, unaccounted):
-        out = out.unionByName(part)
-    return out
+    """Assertion rows: duplicate ids or keys, missing identity, sheet counts and foreign or stale sheets.
+
+    Each table is read once: the registry's ids and keys are counted together, the sheets of a project fold to a count and the
+    least and greatest fingerprint, and a joined row gives all its findings. A sheet finding stands once per project.
+    """
+    keys = registry.select(C("project"), F.inline(F.array(
+        F.struct(F.lit("duplicate_project_id").alias("error"), C("project").cast("string").alias("key")),
+        F.struct(F.lit("duplicate_key").alias("error"), C("sap_key").cast("string").alias("key")))))
+    twice = keys.filter("error = 'duplicate_project_id' OR key IS NOT NULL").groupBy("error", "key").agg(
+        F.count("*").alias("k"), F.min("project").alias("project")).filter("k > 1").select("project", "error")
+    folded = sheets.groupBy("project").agg(F.count("*").alias("listed"), F.min("sheet_fingerprint").alias("lo"), F.max("sheet_fingerprint").alias("hi"))
+    j = summaries.withColumn("told", F.lit(True)).join(folded, "project", "full_outer")
+    stale = C("listed").isNotNull() & (C("fingerprint").isNull() | (C("lo") != C("fingerprint")) | (C("hi") != C("fingerprint")))
+    checks = {
+        "identity_missing": C("told") & C("sap_key").isNull() & C("code_key").isNull(),
+        "sheet_count_mismatch": C("told") & (C("sheet_count") != F.coalesce("listed", F.lit(0))),
+        "sheet_fingerprint_mismatch": stale, "unaccounted_sheets": C("told") & (C("unaccounted") > 0)}
+    found = j.select("project", F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in checks.items()]))).alias("error"))
+    counted = found.groupBy("project", "error").agg(F.count("*").cast("int").alias("k"))
+    times = F.when(C("error") == "sheet_fingerprint_mismatch", 1).otherwise(C("k"))
+    return twice.unionByName(counted.select("project", "error", F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_"))
 
 
 b.define("summaries", """SELECT c_custkey AS project, CASE WHEN c_custkey%9<>0 THEN 'K'||(c_custkey//2*2) END AS sap_key, CASE WHEN c_custkey%5<>0 THEN 'C'||c_custkey END AS code_key,
@@ -232,7 +240,7 @@ UNION ALL SELECT s.project, 'sheet_count_mismatch' FROM summaries s JOIN (SELECT
 UNION ALL SELECT DISTINCT project, 'sheet_fingerprint_mismatch' FROM summaries JOIN orders ON o_custkey=project WHERE o_orderpriority<>fingerprint
 UNION ALL SELECT project, 'unaccounted_sheets' FROM summaries WHERE unaccounted>0""", "summaries"))
 def h14(spark, sf):
-    s = summaries(spark, sf)
+    s = written(summaries(spark, sf), "summaries")
     sheets = b.table(spark, sf, "orders").select(C("o_custkey").alias("project"), C("o_orderpriority").alias("sheet_fingerprint"))
     return isolation_gate(s.select("project", "sap_key"), s, sheets)
 

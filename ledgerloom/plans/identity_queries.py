@@ -118,17 +118,14 @@ b.define("incoming", INCOMING_SQL)
 
 def registry_rows(spark, sf):
     """Registered projects: every second supplier, some without identifiers, some repeating a SAP id."""
-    k = b.table(spark, sf, "supplier").select(C("s_suppkey").cast("string").alias("k"), "s_suppkey")
+    k, names = C("s_suppkey"), ("internal_project_id", "project_sap_id", "project_code", "project_name")
 
-    def rows(cond, pid, sap, code, name):
-        return k.filter(cond).select(
-            F.concat(F.lit(pid), C("k")).alias("internal_project_id"), *[
-                (F.concat(F.lit(v), C("k")) if v else F.lit(None).cast("string")).alias(n)
-                for v, n in ((sap, "project_sap_id"), (code, "project_code"), (name, "project_name"))])
+    def row(there, *prefixes):
+        return F.when(there, F.struct(*[
+            (F.concat(F.lit(p), k.cast("string")) if p else F.lit(None).cast("string")).alias(n) for p, n in zip(prefixes, names, strict=True)]))
 
-    return (rows(C("s_suppkey") % 2 == 0, "p", "S-", "C-", "Project ")
-            .unionByName(rows(C("s_suppkey") % 10 == 1, "p", None, None, "PROJECT  "))
-            .unionByName(rows(C("s_suppkey") % 20 == 4, "d", "s-", "D-", "Copy ")))
+    rows = F.array(row(k % 2 == 0, "p", "S-", "C-", "Project "), row(k % 10 == 1, "p", None, None, "PROJECT  "), row(k % 20 == 4, "d", "s-", "D-", "Copy "))
+    return b.table(spark, sf, "supplier").select(F.inline(F.array_compact(rows)))
 
 
 def incoming_rows(spark, sf):
