@@ -1,11 +1,13 @@
 """License scan by a positional index of licence words, DataFrame functions only.
 
 Each text keeps the places of its licence words. The index holds, for every template, the place of each of its licence words; the
-words are weighted by their inverse document frequency over all documents. A text looks up all its words of each template, whatever else
-it holds; each place of such a word votes, with its weight, for the template starting at the difference of the places. A template is named
-when the votes for one start reach ``SHARE`` of the weight it could reach, come from three different words or more, and all its
-mandatory key phrases stand within ``SLACK`` words of where that start puts them. Base phrases name their label wherever their
-words stand consecutively; they use the same index, with every word mandatory.
+words are weighted by their inverse document frequency over all documents. A place stands for the start that the template would then
+have, and starts fall into regions of ``REGION`` words that overlap by half. In each region a text looks up, of each template, the
+``RARE`` words of the highest weight among those it holds there, so neither other licences of the file nor prose far away displace
+them. Postings meet by relative position: each looked-up word votes with its weight for its starts. A template is named when the
+votes for one start reach ``SHARE`` of the looked-up weight, come from three different words or more, and all its mandatory key
+phrases stand within ``SLACK`` words of where that start puts them. Base phrases name their label wherever their words stand
+consecutively; they use the same index, with every word mandatory.
 
 Null and empty texts have no words, no labels and score 0. Repeated rows and null ids are answered each: a row is known by its id and text.
 """
@@ -35,6 +37,7 @@ TEMPLATES = {
 #: Template words too common in any text to index.
 COMMON = set("a and any are as by can for in is it met of or the this to under use with you not may v be at 0 2 work form file".split())
 SHARE, SLACK, VOTERS = 0.5, 8, 3
+REGION, RARE = 64, 8
 
 
 def vocabulary() -> list[str]:
@@ -82,12 +85,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     per_row = rows.select(*row, F.explode(F.array_distinct(F.transform("places", lambda x: x.word))).alias("word"))
     total = F.broadcast(held.agg(F.count("*").alias("docs")))
     idf = written(per_row.groupBy("word").agg(F.count("*").alias("df")).crossJoin(total).select("word", F.log((F.col("docs") + 1) / F.col("df")).alias("idf")), "idf")
-    looked = per_row.join(F.broadcast(idf), "word").join(F.broadcast(template.select("word", "label").distinct()), "word").groupBy(*row, "label").agg(F.sum("idf").alias("reachable"))
     names = lambda df: df.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), *[c for c in df.columns if c not in row])
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g"))
-    votes = places.join(F.broadcast(idf), "word").join(F.broadcast(template), "word").select(*row, "label", "word", "idf", (F.col("pos") - F.col("at")).alias("start")).groupBy(*row, "label", "start").agg(F.sum("idf").alias("votes"), F.count_distinct("word").alias("voters"))
-    votes = votes.filter(F.col("voters") >= VOTERS).join(names(looked).withColumnRenamed("label", "l"), same & (F.col("label") == F.col("l"))).drop("d", "g", "l")
-    votes = votes.withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("reachable"))).filter(F.col("share") >= SHARE)
+    start = F.col("pos") - F.col("at")
+    regions = F.array(F.floor(start / REGION) * 2, F.floor((start + REGION // 2) / REGION) * 2 + 1)
+    # a region holds the words of one template at REGION starts at most, so its sets are bounded
+    looked = places.join(F.broadcast(idf), "word").join(F.broadcast(template), "word").select(*row, "label", "word", "idf", start.alias("start"), F.explode(regions).alias("region"))
+    looked = looked.groupBy(*row, "label", "region").agg(F.collect_set(F.struct("idf", "word")).alias("held"), F.collect_set(F.struct("start", "idf", "word")).alias("at")).filter(F.size("held") >= VOTERS)
+    looked = looked.withColumn("held", F.slice(F.sort_array("held", asc=False), 1, RARE))
+    reachable = F.aggregate("held", F.lit(0.0), lambda x, w: x + w.idf)
+    voting = looked.select(*row, "label", "region", reachable.alias("reachable"), F.explode(F.filter("at", lambda v: F.exists("held", lambda w: w.word == v.word))).alias("v"))
+    votes = voting.groupBy(*row, "label", "region", "reachable", F.col("v.start").alias("start")).agg(F.sum("v.idf").alias("votes"), F.count("*").alias("voters"))
+    share = F.round(F.col("votes") / F.col("reachable"), 9)
+    votes = votes.filter(F.col("voters") >= VOTERS).withColumn("share", share).filter(F.col("share") >= SHARE).groupBy(*row, "label", "start").agg(F.max("share").alias("share"))
     keys = phrase.filter("not base").groupBy("label").agg(F.count_distinct("phrase").alias("wanted"))
     near = names(stands.filter("not base").withColumnRenamed("start", "stood").withColumnRenamed("label", "l"))
     checked = votes.join(near, same & (F.col("label") == F.col("l")) & (F.abs(F.col("stood") - F.col("off") - F.col("start")) <= SLACK)).groupBy(*row, "label", "start", "share").agg(F.count_distinct("phrase").alias("have"))

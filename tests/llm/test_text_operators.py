@@ -7,7 +7,7 @@ import random
 import re
 import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -220,6 +220,54 @@ def test_every_license_of_one_file(spark):
     assert all(found[i][0][0] == [] for i in range(10, 30))
 
 
+def plain_labels(texts_):
+    """The labels and best shares that the rule of votes gives, by going over every region of every text."""
+    vocab, held = set(licenses.vocabulary()), [words_of(t) for t in texts_]
+    df = Counter(w for ws in {(i, t) for i, t in enumerate(texts_)} for w in set(words_of(ws[1])) & vocab)
+    idf = {w: math.log((len(held) + 1) / n) for w, n in df.items()}
+    out = []
+    for ws in held:
+        named = {p: label for p, label in licenses.BASE.items() if any(ws[k : k + len(p.split())] == p.split() for k in range(len(ws)))}
+        labels, best = set(named.values()), None
+        for label, (told, keys) in licenses.TEMPLATES.items():
+            regions = defaultdict(set)
+            for at, w in enumerate(told.split()):
+                for pos in (k for k, x in enumerate(ws) if x == w and w in vocab):
+                    start = pos - at
+                    for region in (("a", start // licenses.REGION), ("b", (start + licenses.REGION // 2) // licenses.REGION)):
+                        regions[region].add((start, w))
+            for marks in regions.values():
+                rare = sorted({(idf[w], w) for _, w in marks}, reverse=True)[: licenses.RARE]
+                for start in {s for s, _ in marks}:
+                    mine = [v for v, w in rare if (start, w) in marks]
+                    share = round(sum(mine) / sum(v for v, _ in rare), 9) if sum(v for v, _ in rare) else 0
+                    near = all(any(ws[k : k + len(p.split())] == p.split() and abs(k - len(told[: f" {told} ".index(f" {p} ")].split()) - start) <= licenses.SLACK for k in range(len(ws))) for p in keys)
+                    if len(mine) >= licenses.VOTERS and share >= licenses.SHARE and near:
+                        labels.add(label)
+                        best = max(best or 0, share)
+        out.append((sorted(labels), round(0.5 + 0.5 * (best or 0), 6) if labels else 0.0))
+    return out
+
+
+def test_license_votes_equal_plain_votes(spark):
+    """Templates with words changed, put in and left out, in prose of licence words; several labels a text."""
+    draw, rows = random.Random(31), []
+    prose = [*licenses.vocabulary(), *("lorem ipsum dolor sit amet elit".split() * 12)]
+    for _ in range(120):
+        text = draw.choices(prose, k=draw.randint(0, 150))
+        for label in draw.sample(sorted(licenses.TEMPLATES), draw.randint(0, 3)):
+            told = licenses.TEMPLATES[label][0].split()
+            for _ in range(draw.choice([0, 0, 1, 2, 5])):
+                k = draw.randrange(len(told))
+                told[k : k + 1] = draw.choice([[], ["other"], [told[k], "more", "words"]])
+            text += told + draw.choices(prose, k=draw.randint(0, 90))
+        rows.append(" ".join(text))
+    found = by_id(licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")), "labels", "score")
+    want = plain_labels(rows)
+    assert [(found[i][0][0], round(found[i][0][1], 6)) for i in range(len(rows))] == want
+    assert len({tuple(x) for x, _ in want}) > 20
+
+
 def plain_spans(text):
     """The base kinds as their definition says, with every match made first and dropped after."""
     assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
