@@ -63,7 +63,7 @@ def t03(spark, sf):
 
 # Matching blocks as in the sequence matcher: the longest common run of a segment (the earliest in the label, then in the alias), then the
 # segments on both of its sides. Only pairs whose bound reaches the threshold are walked.
-_BLOCKS_SQL = f"""WITH RECURSIVE l AS (SELECT label, trim(regexp_replace(regexp_replace(replace(lower(label),'_',' '),'[()]',' ','g'),'\s+',' ','g')) AS n FROM ({LABELS_SQL})),
+_BLOCKS_SQL = f"""WITH RECURSIVE l AS (SELECT label, trim(regexp_replace(regexp_replace(replace(lower(label),'_',' '),'[()]',' ','g'),'\\s+',' ','g')) AS n FROM ({LABELS_SQL})),
 p AS (SELECT row_number() OVER () AS id, label, n, i, metric, alias, CASE WHEN n=alias THEN 1.0::DOUBLE WHEN contains(n,alias) OR contains(alias,n) THEN least(0.97::DOUBLE, least(len(alias),len(n))::DOUBLE/greatest(len(alias),len(n))*0.22::DOUBLE+0.72::DOUBLE) END AS native
  FROM l, (VALUES {LEX}) x(i,metric,alias) WHERE len(n)>=2),
 s AS MATERIALIZED (SELECT * FROM (SELECT *, 2.0::DOUBLE*list_sum(list_transform(list_distinct(string_split(alias,'')), lambda c: least(len(n)-len(replace(n,c,'')), len(alias)-len(replace(alias,c,'')))))/(len(n)+len(alias)) AS bound FROM p)
