@@ -314,6 +314,70 @@ def test_a_long_run_is_one_secret():
     assert [r[1:3] for r in secrets.candidates(mixed, secrets.base_spans(mixed))] == [(32, 1633)]
 
 
+def test_a_token_glued_into_an_address_is_a_part_of_its_run():
+    draw = random.Random(12)
+    token = "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=36))
+    assert secrets.tested(token, 0, 36)
+    for text in (f"/api_v1/hooks/{token}", f"see /api_v1/hooks/{token}/edit now", f"key_name/of_{token}", f"some-long-lower-case-words-and-more/{token}"):
+        assert any(token in text[start:end] and end - start <= len(token) + 3 for _, start, end, _, _ in secrets.candidates(text, [])), text
+    words = "/some_long/path-of_lower/case_words" * 30_000  # 1 MB in one run
+    assert secrets.candidates(words, []) == []
+    many = f"password={token[:12]} {token} " * 20_000
+    assert len(secrets.candidates(many, secrets.base_spans(many))) == 20_000
+
+
+def plain_share(p, near):
+    """The likeliest share by trying all: each p between two edges is even in itself or in its logarithm."""
+    edges = [*secrets.EDGES, 1.0]
+    cells = Counter(next(i for i in range(len(edges) - 2, -1, -1) if x >= edges[i]) for x in p)
+
+    def likelihood(s):
+        chance = [s * (b - a) / 0.999 + (1 - s) * math.log(b / a) / math.log(1000) for a, b in zip(edges, edges[1:])]
+        return sum(n * math.log(chance[i]) for i, n in cells.items()) + 2 * (near * math.log(s) + (1 - near) * math.log(1 - s))
+
+    return max((i / 4000 for i in range(1, 4000)), key=likelihood)
+
+
+def counted(p):
+    return [sum(lo <= x < hi for x in p) for lo, hi in zip(secrets.EDGES, [*secrets.EDGES[1:], 1.1])]
+
+
+def test_limits_of_small_and_large_strata():
+    one = lambda p: secrets.limits_of({"hex:0": counted(p)}).get("hex:0", 2.0)
+    assert one([0.3]) <= 0.3 and one([0.2, 0.3, 0.4]) <= 0.2  # a few random runs are found
+    assert 0.0012 < one([0.7, 0.0012]) <= 0.7 and 0.002 < one([0.9, 0.8, 0.0012, 0.002])  # what lies near 0 is not
+    draw = random.Random(13)
+    false = accepted = kept = there = 0
+    for turn in range(400):
+        strata = {f"{kind}:{band}": ([draw.random() for _ in range(draw.choice([0, 1, 5, 40, 400]))], [draw.random() ** 12 for _ in range(draw.choice([0, 1, 5, 40, 400]))])
+                  for kind in ("hex", "base64") for band in range(3)}
+        plain = {k: [x for x in a + b if x >= secrets.LEAST] for k, (a, b) in strata.items()}
+        found = secrets.limits_of({k: counted(p) for k, p in plain.items()})
+        for k, (a, b) in strata.items():
+            low = found.get(k, 2.0)
+            false, accepted = false + sum(x >= low for x in b), accepted + sum(x >= low for x in a + b)
+            kept, there = kept + sum(x >= low for x in a), there + len(a)
+            if turn < 8:
+                near, other = ([x for j, p in plain.items() if j != k and (j[:3] == k[:3]) == same for x in p] for same in (True, False))
+                prior = secrets.random_share(counted(near), secrets.random_share(counted(other), 0.9))
+                share = secrets.random_share(counted(plain[k]), prior)
+                assert abs(plain_share(near, plain_share(other, 0.9)) - prior) < 0.01 and abs(plain_share(plain[k], prior) - share) < 0.002
+                rate = lambda t: (1 - share) * math.log(1 / t) / math.log(1000) / ((1 - share) * math.log(1 / t) / math.log(1000) + share * (1 - t) / 0.999)
+                fits = [t for t in secrets.EDGES if rate(t) <= 0.1 and (1 - share) / math.log(1000) / t <= share / 0.999]
+                assert found.get(k) == (fits[0] if fits else None)
+    assert false / accepted < secrets.RATE and kept / there > 0.75, (false, accepted, kept, there)
+
+
+def test_p_values_of_random_draws_are_even():
+    draw = random.Random(14)
+    for _, alphabet in secrets.ENCODINGS:
+        for n in (24, 64, 400):
+            p = [secrets.randomness("".join(draw.choices(alphabet, k=n)), alphabet) for _ in range(1500)]
+            assert all(abs(sum(x >= t for x in p) / len(p) - (1 - t)) < 0.07 for t in (0.05, 0.25, 0.5, 0.75)), (alphabet, n)
+        assert secrets.randomness(alphabet[:2] * 20, alphabet) < 1e-3
+
+
+
 def test_redaction_keeps_rows_and_other_text(spark):
     df = spark.createDataFrame([(1, "a token=abcdefghij b", "x"), (2, None, None), (3, "clean", "y"), (3, "clean", "y")], "doc_id long, text string, spans string")
     found = sorted((tuple(r) for r in secrets.redact(df).collect()), key=str)
