@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import as_number, clean_text, norm_header, ratio, slug
 from ledgerloom.functions.text import ERROR_TOKENS
 from ledgerloom.operators import banding
-from ledgerloom.session import cut
+from ledgerloom.session import written
 
 C = F.col
 SHEET = ["file", "sheet", "sheet_idx"]
@@ -141,16 +141,10 @@ def table_regions(cells: DataFrame) -> DataFrame:
     """Table-like blocks: rows with two or more cells, a jump of more than two rows starts a block."""
     long_text = C("value_str").isNotNull() & (F.length(clean_text("value_str")) >= 2)
     rows = cells.groupBy(*SHEET, "row").agg(F.count("*").alias("n"), F.count_if(long_text).alias("n_text")).filter("n >= 2")
-    # The row table is read by every step below: it is written once instead of recounting the cells.
-    rows = cut(rows)
-    prev = banding.lag(rows, SHEET, band_of(), ["row"], "row", "prev")
-    starts = C("prev").isNull() | (C("row") - C("prev") > 2)
-    marked = banding.running_count(prev, SHEET, band_of(), ["row"], starts, "block").withColumn(
-        "prev", F.when(~starts, C("prev")))
-    marked = cut(marked)
+    # The numbered rows are read by every step below: they are written once instead of recounting the cells.
+    marked = written(banding.islands(rows, SHEET, band_of(), "row", 2, "block", "prev"), "table-rows")
     key = [*SHEET, "block"]
-    blocks = marked.groupBy(*key).agg(
-        F.count("*").alias("n_rows"), F.max("row").alias("end_row"), F.max_by("prev", "row").alias("second_last")).filter("n_rows >= 3")
+    blocks = marked.groupBy(*key).agg(F.count("*").alias("n_rows"), F.max("row").alias("end_row"), F.max_by("prev", "row").alias("second_last")).filter("n_rows >= 3")
     heads = marked.join(blocks, key).filter((C("n_text") >= 2) & (C("row") < C("second_last"))).groupBy(*key).agg(
         F.min("row").alias("header_row"), F.first("end_row").alias("end_row"))
     body = marked.select(*key, "row").join(heads, key).filter("row >= header_row")

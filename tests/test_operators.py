@@ -53,6 +53,25 @@ def test_banded_windows_equal_plain_ones(series):
             prev = v
 
 
+def test_islands_equal_a_plain_scan(spark):
+    draw = random.Random(21)
+    rows, want = [], {}
+    for k in range(6):
+        at, n, before = 0, 0, None
+        for _ in range(draw.choice([1, 2, 60])):
+            step = draw.choice([1, 1, 2, 3, 9, 40])
+            at += step
+            starts = before is None or at - before > 2
+            n += starts
+            rows.append((k, at))
+            want[(k, at)] = (n, None if starts else before)
+            before = at
+    df = spark.createDataFrame(rows, "k int, i int").repartition(5)
+    for size in (1, 4, 1000):
+        found = banding.islands(df, ["k"], F.floor(F.col("i") / size), "i", 2, "n", "p").collect()
+        assert {(r.k, r.i): (r.n, r.p) for r in found} == want, size
+
+
 def test_line_sum_is_exact_in_any_order(spark):
     values = [0.1, 0.2, 0.3, 1e9 + 0.000001, -5.25] * 1000
     df = spark.createDataFrame([(v,) for v in values], "v double")
