@@ -65,3 +65,25 @@ def test_reallocated_amounts_stand_on_the_first_row_of_a_code(spark):
     grid = {(2, 3): "Other Costs", (3, 1): "B.1", (3, 5): 10, (4, 1): "B.9", (4, 5): 11}
     rows = ex.reallocated_allocation(cells(spark, {"Breakdown": breakdown, "Realloc": grid})).collect()
     assert {(r.main_code, r.resource, r.other_cost_realloc, r.equipment_realloc) for r in rows} == {("B.1", "Steel", 10.0, 0.0), ("B.1", "Sand", 0.0, 0.0), ("B.2", "Steel", 0.0, 0.0)}
+
+
+def test_headers_of_several_schemas_come_from_one_pass(spark):
+    from ledgerloom.operators.cells import header_rows, headers_by_schema
+
+    a, c = {"code": ["main code"], "cost": ["actual cost"]}, {"cost": ["actual cost"], "unit": ["unit"]}
+    grid = {(2, 1): "Main Code", (2, 2): "Actual Cost", (3, 1): "unit", (4, 1): "Actual Cost", (4, 2): "Unit", (9, 1): "Main Code", (9, 2): "Actual Cost"} | {(r, 1): "unit" for r in range(10, 40)}
+    sheet = cells(spark, {"One": grid, "Two": {(1, 1): "Main Code"}, "None": {(1, 1): "zzz"}})
+    found = {(r.sheet, r.schema): (r.header_row, dict(zip(r.fields, r.cols)), r.score) for r in headers_by_schema(sheet, {"a": a, "c": c}).collect()}
+    assert found == {("One", "a"): (2, {"code": 1, "cost": 2}, 24.0), ("One", "c"): (4, {"cost": 1, "unit": 2}, 24.0), ("Two", "a"): (1, {"code": 1}, 12.0)}
+    assert {r.sheet: r.header_row for r in header_rows(sheet, a).collect()} == {"One": 2, "Two": 1}
+
+
+def test_workbook_cells_and_ledger_rows_are_columnar_tables(spark):
+    from conftest import SF
+    from ledgerloom.plans import workbook as wb
+
+    sheets = wb.workbook_cells(spark, SF, "ledger")
+    assert any("workbook-cells" in f for f in sheets.inputFiles())
+    rows = ex.ledger(sheets)
+    assert any("ledger-rows" in f for f in rows.inputFiles())  # numbering does not read the cells twice
+    assert rows.count() == rows.select("file", "row").distinct().count() > 0
