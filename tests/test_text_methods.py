@@ -54,3 +54,30 @@ def test_the_bound_loses_no_match(spark):
     assert got == want
     pairs = text.similarity_pairs(df).filter(F.col("native").isNull()).count()
     assert pairs < 0.1 * len(labels) * len(text.ALIASES)
+
+
+def test_terms_of_single_rows_are_counted_without_a_shuffle(spark):
+    from ledgerloom.operators.text import term_frequencies, term_statistics, tfidf
+
+    rows = [(1, "aa bb aa bb"), (2, "aa"), (3, None), (4, ""), (5, "xx yy"), (5, "xx yy zz"), (None, "qq qq"), (None, "qq")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.term): r.tf for r in term_frequencies(docs, "doc_id", "text").collect()}
+    assert found == {(1, "aa"): 2, (1, "bb"): 2, (1, "aa bb"): 2, (1, "bb aa"): 1, (2, "aa"): 1, (5, "xx"): 2, (5, "yy"): 2, (5, "zz"): 1, (5, "xx yy"): 2, (5, "yy zz"): 1,
+                     (None, "qq"): 3, (None, "qq qq"): 1}
+    assert {r.term: (r.df, r.total) for r in term_statistics(docs, "doc_id", "text").collect()}["aa"] == (2, 3)
+    named, numbered = tfidf(docs, "doc_id", "text").collect(), tfidf(docs, "doc_id", "text", numbered=True).collect()
+    assert sorted((r.doc_id, round(r.weight, 9)) for r in named) == sorted((r.doc_id, round(r.weight, 9)) for r in numbered)
+    assert {r.doc_id for r in named} == {1, 2, 5} and len({r.term for r in numbered}) == len({r.term for r in named})
+    assert abs(sum(r.weight ** 2 for r in named if r.doc_id == 1) - 1) < 1e-9
+
+
+def test_slug_of_texts_beyond_ascii():
+    import re
+    import unicodedata
+
+    from ledgerloom.functions.text import _slugged
+
+    for v in ("Ärger & ﬁne ①½ — ß x", "", "--abc DEF--9 ", "é̀ñ", "日本 Kﬀ…", "a\x00b\tc"):
+        plain = unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode()
+        assert _slugged(v) == re.sub("^-+|-+$", "", re.sub("[^A-Za-z0-9]+", "-", plain)).lower()
+    assert _slugged(None) is None
