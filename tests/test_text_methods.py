@@ -75,9 +75,11 @@ def test_slug_of_texts_beyond_ascii():
     import re
     import unicodedata
 
-    from ledgerloom.functions.text import _slugged
+    import pandas as pd
 
-    for v in ("Ärger & ﬁne ①½ — ß x", "", "--abc DEF--9 ", "é̀ñ", "日本 Kﬀ…", "a\x00b\tc"):
-        plain = unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode()
-        assert _slugged(v) == re.sub("^-+|-+$", "", re.sub("[^A-Za-z0-9]+", "-", plain)).lower()
-    assert _slugged(None) is None
+    from ledgerloom.functions.text import _slug_nfkd
+
+    texts = ["Ärger & ﬁne ①½ — ß x", "", "--abc DEF--9 ", "é̀ñ", "日本 Kﬀ…", "a\x00b\tc"]
+    plain = [unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode() for v in texts]
+    want = [re.sub("^-+|-+$", "", re.sub("[^A-Za-z0-9]+", "-", p)).lower() for p in plain]
+    assert list(_slug_nfkd.func(pd.Series([*texts, None], dtype=object))) == [*want, None]
