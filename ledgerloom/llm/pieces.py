@@ -19,6 +19,7 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,7 @@ class Pieces(dict):
         self.unknown = least - 10
         self.bytes = {i: b for b, i in enumerate(self.byte_ids)}
         self.first_plain = max(self.bytes) + 1
+        self.spelled = pa.array([bytes([self.bytes[i]]) if i in self.bytes else x.encode() for i, x in enumerate(self.text)], pa.binary())
 
     def solve(self, text: str) -> list[int]:
         if not self.single.issuperset(text):
@@ -112,6 +114,21 @@ class Pieces(dict):
         text = text.replace(BLANK, " ")
         return text[1:] if text[:1] == " " else text
 
+    def decoded(self, ids: pa.Array) -> pa.Array:
+        """``decode`` of each list of a column, null for null; column-wise, save where byte pieces spell no UTF-8."""
+        flat = pc.list_flatten(ids)
+        if not flat.null_count and (pc.min(flat).as_py() or 0) >= 0:
+            ends = np.cumsum(np.r_[0, pc.fill_null(pc.list_value_length(ids), 0).to_numpy()])
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.spelled.take(flat)), b"")
+            try:
+                text = pc.replace_substring(joined.cast(pa.string()), BLANK, " ")
+            except pa.ArrowInvalid:
+                pass
+            else:
+                text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+                return pc.if_else(ids.is_valid(), text, None) if ids.null_count else text
+        return pa.array([None if x is None else self.decode(x) for x in ids.to_pylist()], pa.string())
+
     def _with_bytes(self, ids: list[int]) -> str:
         """Runs of byte pieces become the characters that they spell."""
         out: list[str] = []
@@ -159,8 +176,8 @@ def decode(encoded: DataFrame, ids_col: str = "piece_ids", text_col: str = "deco
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
         for batch in slices(batches):
-            found = [None if x is None else pieces.decode(x) for x in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, text_col])
+            found = pieces.decoded(batch.column(batch.schema.get_field_index(ids_col)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, text_col])
 
     return rest.mapInArrow(run, schema)
 

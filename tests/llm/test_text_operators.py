@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -179,6 +180,18 @@ def test_round_trip_restores_every_text(spark, docs):
     assert pieces.round_trip(empty(spark)).collect() == []
 
 
+def test_columns_of_pieces_decode_as_lists_do():
+    """Nulls, empty lists, byte pieces that spell a character, a blank mark or nothing valid, and slices of a column."""
+    own = pieces.load(MODEL)
+    rows = [[], None, own.encode("a b\n世🙂 c"), own.encode(" x"), [own.byte_ids[b] for b in "▁é".encode()], [own.byte_ids[0xE2], own.byte_ids[65]], own.encode("the end")]
+    wrong = rows[:5] + rows[6:]
+    for lists in (rows, wrong, [None], [], [[]]):
+        column = pa.array(lists, pa.list_(pa.int32()))
+        for part in (column, column.slice(1), column.slice(1, 3)):
+            assert own.decoded(part).to_pylist() == [None if x is None else own.decode(x) for x in part.to_pylist()]
+    assert own.decoded(pa.array(wrong, pa.list_(pa.int32()))).to_pylist()[2:5] == ["a b\n世🙂 c", " x", "é"]
+
+
 def words_of(text):
     return WORD.findall((text or "").translate(UPPER))
 
