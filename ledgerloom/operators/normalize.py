@@ -213,18 +213,26 @@ def pack_ledger(ledger: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def unpack_ledger(packed: DataFrame, names: DataFrame) -> DataFrame:
-    """Dense month list per transaction: months without an entry get total 0."""
-    entries = F.map_from_entries(F.transform("packed", lambda x: F.struct(x["idx"], x)))
-    dense = F.transform(
-        "names",
-        lambda m, i: F.struct(
-            m.alias("month"), F.try_element_at("_m", i)["qty"].alias("qty"),
-            F.try_element_at("_m", i)["unit_price"].alias("unit_price"),
-            F.coalesce(F.try_element_at("_m", i)["total"], F.lit(0.0)).alias("total"),
-        ),
+    """Dense month list per transaction: months without an entry get total 0.
+
+    Entries replace their months in a blank list, so the work follows the entries; a missing or repeated index is refused.
+    """
+    def entry(month, x, total):
+        return F.struct(month.alias("month"), x["qty"].alias("qty"), x["unit_price"].alias("unit_price"), total.alias("total"))
+
+    none = F.struct(F.lit(None).cast("double").alias("qty"), F.lit(None).cast("double").alias("unit_price"))
+    blank = names.withColumn("_blank", F.transform("names", lambda m: entry(m, none, F.lit(0.0))))
+    dense = F.aggregate(
+        "packed", F.col("_blank"),
+        lambda acc, x: F.concat(
+            F.slice(acc, 1, x["idx"]),
+            F.array(entry(F.element_at("names", x["idx"] + 1), x, F.coalesce(x["total"], F.lit(0.0)))),
+            F.slice(acc, x["idx"] + 2, F.size("names"))),
     )
-    out = packed.join(names, how="cross").withColumn("_m", entries)
-    return out.withColumn("months", dense).drop("_m", "packed", "names")
+    placed = F.size(F.array_distinct(F.filter("packed.idx", lambda i: i.isNotNull()))) == F.size("packed")
+    out = packed.join(blank, how="cross")
+    months = F.when(placed, dense).otherwise(F.raise_error(F.lit("a ledger entry has no month or repeats one")))
+    return out.withColumn("months", months).drop("_blank", "packed", "names")
 
 
 def flatten_records(df: DataFrame, key: str, json: str) -> DataFrame:
