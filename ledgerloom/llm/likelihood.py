@@ -4,11 +4,13 @@ Counts. Every token of every training document is counted in Spark. The most fre
 entries at most; the others of a document meet the counts in a shuffle join, so no vocabulary needs to fit anywhere.
 
 Model. Two preceding tokens predict a vector, the sum of their vectors weighted by place; its products with the vectors of the ``CLASSES``
-most frequent tokens, the end, and one class for all other tokens, plus a bias, are the scores. Training passes once over all
-training documents in ``ROUNDS`` parts: each task descends on its own documents from the common start, and the mean of the
-tasks, weighted by tokens and merged in a tree, is the next start. Scoring normalises over all classes, by matrix products over the
-distinct contexts of a batch; within the other class a token has its smoothed share of the counts. So the probabilities of all tokens,
-one unseen type included, sum to 1.
+most frequent tokens, the end, and the class of the other tokens, plus a bias, are the scores. Every other token has a cell, named by three
+digits: the group and part of its ending and a place in the part. A token of the table has a cell of its own; all further tokens, unseen ones too,
+are dealt by their ending and hash to further cells. Digits have vectors as contexts and as targets: after the class the vector predicts digit by digit,
+each weighed by the counts below it, and within a hashed cell a token has its smoothed share. So every token is predicted from its
+context and predicts, whatever the vocabulary. Training passes once over all training documents in ``ROUNDS`` parts: each task descends on its own
+documents from the common start, and the mean of the tasks, weighted by tokens and merged in a tree, is the next start. Scoring normalises
+over all classes and over all digits of a level; the probabilities of all tokens, one unseen type in each hashed cell included, sum to 1.
 
 Null counts as empty: the end alone. Null ids never train. Repeated rows count and are scored each. Without training rows the counts are 0.
 """
@@ -16,9 +18,12 @@ Null counts as empty: the end alone. Null ids never train. Repeated rows count a
 from __future__ import annotations
 
 import math
+import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ END = " "  # no word holds a blank
 FREQUENT, CLASSES, WIDTH = 131_072, 512, 16
 NOISE, FLATTEN, BATCH, RATE, SPREAD, ROUNDS, FAN = 48, 0.6, 4096, 0.1, 0.5, 2, 16
 FLUSH = 300_000
+SIDE, HASHED, NOISE_DIGITS = 64, 32, 12  # groups, parts of a group; hashed cells of a part; noise digits of a level
 
 
 def token_totals(docs: DataFrame) -> DataFrame:
@@ -76,8 +82,7 @@ class Vocabulary:
         return math.log10(max(self.n - int(own.sum()), 0) + max(self.v - int((own > 0).sum()), 0) + 1)
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
-        get = self.rank.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
 
 
 def vocabulary(totals: DataFrame) -> Vocabulary:
@@ -97,68 +102,222 @@ def vocabulary(totals: DataFrame) -> Vocabulary:
     return Vocabulary({w.encode(): i for i, (w, _) in enumerate(top)}, np.array([c for _, c in top], np.int64), min(CLASSES + 1, len(top)), int(n), int(v))
 
 
+class Cells:
+    """A cell (group, part, place) for every token outside the classes, and the counts by cell.
+
+    Tokens of the table are ordered by their endings and cut into parts of even size; each is alone in its cell. Other tokens stand in the
+    part of their ending, in one of ``hashed`` more cells.
+    """
+
+    def __init__(self, voc: Vocabulary):
+        own = sorted(w[::-1] for w, i in voc.rank.items() if i >= voc.classes)
+        self.side = min(SIDE, max(1, round(len(own) ** (1 / 3))))
+        parts = self.side * self.side
+        starts = [-(-b * len(own) // parts) for b in range(parts + 1)]
+        self.bounds = [own[i] for i in starts[1:-1]]
+        self.own = max((b - a for a, b in zip(starts, starts[1:])), default=0)
+        self.hashed = min(HASHED, max(1, -(-(voc.v - len(voc.rank)) // parts)))
+        self.places = self.own + self.hashed
+        self.of_rank = np.full(len(voc.count) + 1, -1, np.int64)  # the last for tokens outside the table
+        self.mass = np.zeros(parts * self.places)
+        for part, (a, b) in enumerate(zip(starts, starts[1:])):
+            for place, w in enumerate(sorted(x[::-1] for x in own[a:b])):
+                self.of_rank[voc.rank[w]] = part * self.places + place
+        self.mass[self.of_rank[self.of_rank >= 0]] = voc.count[self.of_rank[:-1] >= 0] + 1
+
+    @property
+    def sizes(self) -> tuple[int, int, int]:
+        return self.side, self.side, self.places
+
+    def hashed_cell(self, word: bytes) -> int:
+        return bisect_right(self.bounds, word[::-1]) * self.places + self.own + zlib.crc32(word) % self.hashed
+
+    def of(self, words: list[bytes], ranks: np.ndarray) -> np.ndarray:
+        """The cells of tokens, -1 for tokens with a class."""
+        cells = self.of_rank[ranks]
+        for i in np.flatnonzero(ranks < 0).tolist():
+            cells[i] = self.hashed_cell(words[i])
+        return cells
+
+    def digits(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        part = cells // self.places
+        return part // self.side, part % self.side, cells % self.places
+
+    def weigh(self, mass: dict[int, int]) -> Cells:
+        """Add the counts of the tokens outside the table, and one unseen type to each hashed cell; then the shares of digits."""
+        for cell, m in mass.items():
+            self.mass[cell] += m
+        cube = self.mass.reshape(self.sizes)
+        cube[:, :, self.own :] += 1
+        self.mass_log = np.log10(np.maximum(self.mass, 1))
+        part = cube.sum(axis=2)
+        with np.errstate(divide="ignore"):
+            self.log_shares = [np.log(x).astype(np.float32) for x in (
+                (part.sum(axis=1) / part.sum())[None], part / part.sum(axis=1, keepdims=True), (cube / part[:, :, None]).reshape(-1, self.places))]
+        self.flat = []
+        for axes in ((1, 2), (0, 2), (0, 1)):
+            x = (cube.sum(axis=axes) + 1) ** FLATTEN
+            self.flat.append(x / x.sum())
+        return self
+
+    def above(self, digits: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each level the rows of ``log_shares`` that hold its digits."""
+        return np.zeros_like(digits[0]), digits[0], digits[0] * self.side + digits[1]
+
+
+def cells(totals: DataFrame, voc: Vocabulary) -> Cells:
+    """The cells with the counts of all tokens; what the tasks gather has at most one row for each hashed cell."""
+    found = Cells(voc)
+    shared = totals.sparkSession.sparkContext.broadcast((voc.rank, found))
+    schema = pa.schema([("cell", pa.int64()), ("m", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, layout = shared.value
+        mass: Counter = Counter()
+        for batch in slices(batches, 4096):
+            for token, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                word = token.encode()
+                if word not in rank:
+                    mass[layout.hashed_cell(word)] += c + 1
+        yield batch_of(schema, list(mass), list(mass.values()))
+
+    rows = totals.select("token", "c").mapInArrow(run, "cell long, m long").groupBy("cell").agg(F.sum("m").alias("m")).collect()
+    return found.weigh({r["cell"]: r["m"] for r in rows})
+
+
 class Net:
-    """Vectors of targets r and contexts q, place weights, bias. Context class ``start`` stands before a text."""
+    """Vectors of targets r and contexts q, place weights, bias. Context class ``start`` stands before a text.
+
+    With ``sizes``, the numbers of digits of each level, also vectors and biases of digits as targets, and vectors of groups, parts and places as contexts.
+    """
 
-    def __init__(self, classes: int):
+    def __init__(self, classes: int, sizes: tuple[int, int, int] | None = None):
         draw = np.random.default_rng(0)
         self.start = classes + 1
         self.r = draw.normal(0, SPREAD, (classes + 1, WIDTH)).astype(np.float32)
         self.q = draw.normal(0, SPREAD, (classes + 2, WIDTH)).astype(np.float32)
         self.place = np.ones((2, WIDTH), np.float32)
         self.bias = np.zeros(classes + 1, np.float32)
+        self.names = ["r", "q", "place", "bias"]
+        if sizes:
+            for k, n in enumerate(sizes):
+                setattr(self, f"r{k}", np.zeros((n, WIDTH), np.float32))
+                setattr(self, f"bias{k}", np.zeros(n, np.float32))
+            for k, n in enumerate((sizes[0], sizes[0] * sizes[1], sizes[2])):
+                setattr(self, f"q{k}", np.zeros((n, WIDTH), np.float32))
+            self.names += [f"{x}{k}" for x in ("r", "bias", "q") for k in range(3)]
+
+    def arrays(self) -> list[np.ndarray]:
+        return [getattr(self, name) for name in self.names]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.r.ravel(), self.q.ravel(), self.place.ravel(), self.bias]).astype(np.float64)
+        return np.concatenate([x.ravel() for x in self.arrays()]).astype(np.float64)
 
     def load(self, x: np.ndarray) -> Net:
         at = 0
-        for name in ("r", "q", "place", "bias"):
+        for name in self.names:
             old = getattr(self, name)
             setattr(self, name, x[at : at + old.size].astype(np.float32).reshape(old.shape))
             at += old.size
         return self
 
-    def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.q[one] * self.place[0] + self.q[two] * self.place[1]
+    def context(self, before: np.ndarray, inner: Inner | None) -> np.ndarray:
+        """Vectors of context classes, with those of their digits."""
+        v = self.q[before]
+        if inner is not None:
+            group, part, place = inner.rows
+            v[inner.at] += self.q0[group] + self.q1[part] + self.q2[place]
+        return v
 
+    def predicted(self, one: np.ndarray, two: np.ndarray, inner_one: Inner | None = None, inner_two: Inner | None = None) -> np.ndarray:
+        return self.context(one, inner_one) * self.place[0] + self.context(two, inner_two) * self.place[1]
 
-def _gathered(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Row sums by index, a column at a time."""
-    return np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], axis=1)
 
+class Inner:
+    """The places of a batch whose token has a cell, its digits, and its rows of the context vectors."""
 
-def descend(net: Net, squares: list[np.ndarray], noise_log: np.ndarray, drawn: np.ndarray, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-    """One step on a batch: each example against its token and the drawn noise tokens; steps shrink with the sum of squares."""
-    p = net.predicted(one, two)
-    shift = net.bias - math.log(len(drawn)) - noise_log
-    told, wrong = net.r[word], net.r[drawn]
-    data = np.einsum("ij,ij->i", p, told) + shift[word]
-    false = p @ wrong.T + shift[drawn]
+    def __init__(self, cell: np.ndarray, layout: Cells):
+        self.at = np.flatnonzero(cell >= 0)
+        self.cell = cell[self.at]
+        self.digits = layout.digits(self.cell)
+        self.above = layout.above(self.digits)
+        self.rows = self.digits[0], self.above[2], self.digits[2]
+
+
+def _gathered(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indices that occur, in order, and the sums of their rows."""
+    if not len(at):
+        return at, values
+    order = np.argsort(at.astype(np.int16) if at.max() < 1 << 15 else at, kind="stable")
+    sorted_at = at[order]
+    first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
+    return sorted_at[first], np.add.reduceat(values[order], first, axis=0)
+
+
+def _contrast(p: np.ndarray, r: np.ndarray, shift_told: np.ndarray, shift_drawn: np.ndarray, word: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of p, r and the bias: each example against its target and the drawn noise targets."""
+    told, wrong = r[word], r[drawn]
+    data = np.einsum("ij,ij->i", p, told) + shift_told
+    false = p @ wrong.T + shift_drawn
     up = -1 / (1 + np.exp(np.clip(data, -30, 30)))
     np.negative(np.clip(false, -30, 30, out=false), out=false)
     down = 1 / (1 + np.exp(false, out=false))
     g_p = up[:, None] * told + down @ wrong
-    g_r = _gathered(len(net.r), word, up[:, None] * p)
+    g_r = np.zeros(r.shape)
+    rows, sums = _gathered(word, up[:, None] * p)
+    g_r[rows] = sums
     np.add.at(g_r, drawn, down.T @ p)
-    g_b = np.bincount(word, up, len(net.bias)) + np.bincount(drawn, down.sum(axis=0), len(net.bias))
-    g_q = _gathered(len(net.q), one, g_p * net.place[0]) + _gathered(len(net.q), two, g_p * net.place[1])
-    g_c = np.stack([(g_p * net.q[one]).sum(axis=0), (g_p * net.q[two]).sum(axis=0)])
-    for x, g, s in zip((net.r, net.q, net.place, net.bias), (g_r, g_q, g_c, g_b), squares, strict=True):
-        s += g * g
-        x -= (RATE * g / np.sqrt(s + 1e-8)).astype(np.float32)
+    return g_p, g_r, np.bincount(word, up, len(r)) + np.bincount(drawn, down.sum(axis=0), len(r))
+
+
+def descend(net: Net, squares: list[np.ndarray], noise_log: np.ndarray, drawn: np.ndarray, word: np.ndarray, one: np.ndarray, two: np.ndarray,
+            layout: Cells | None = None, drawn_digits: list[np.ndarray] | None = None, cells_of: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
+    """One step on a batch: each example against its token and the drawn noise tokens; steps shrink with the sum of squares."""
+    inner, inner_one, inner_two = (Inner(c, layout) for c in cells_of) if layout else (None, None, None)
+    before, earlier = net.context(one, inner_one), net.context(two, inner_two)
+    p = before * net.place[0] + earlier * net.place[1]
+    shift = net.bias - math.log(len(drawn)) - noise_log
+    g_p, g_r, g_b = _contrast(p, net.r, shift[word], shift[drawn], word, drawn)
+    g_digits, g_biases = [], []
+    if layout:
+        p_in, g_in = p[inner.at], np.zeros((len(inner.at), WIDTH), np.float32)
+        for k in range(3):
+            digit, noise = inner.digits[k], drawn_digits[k]
+            shift = getattr(net, f"bias{k}") - math.log(len(noise)) - np.log(layout.flat[k]).astype(np.float32)
+            known, above = layout.log_shares[k], inner.above[k]
+            known_noise = known[:, noise] if len(known) == 1 else known[above[:, None], noise]
+            back, g_digit, g_bias = _contrast(p_in, getattr(net, f"r{k}"), shift[digit] + known[above, digit], shift[noise] + known_noise, digit, noise)
+            g_in += back
+            g_digits.append(g_digit)
+            g_biases.append(g_bias)
+        g_p[inner.at] += g_in
+    g_one, g_two = g_p * net.place[0], g_p * net.place[1]
+    g_c = np.stack([(g_p * before).sum(axis=0), (g_p * earlier).sum(axis=0)])
+    every = slice(None)
+    steps = [(every, g_r), _gathered(np.r_[one, two], np.r_[g_one, g_two]), (every, g_c), (every, g_b), *((every, g) for g in g_digits + g_biases)]
+    if layout:
+        inner_g = np.r_[g_one[inner_one.at], g_two[inner_two.at]]
+        steps += [_gathered(np.r_[a, b], inner_g) for a, b in zip(inner_one.rows, inner_two.rows, strict=True)]
+    for x, s, (rows, g) in zip(net.arrays(), squares, steps, strict=True):  # rows without a gradient stay
+        s[rows] += g * g
+        x[rows] -= (RATE * g / np.sqrt(s[rows] + 1e-8)).astype(np.float32)
 
 
 def contexts(ranks: np.ndarray, ends: np.ndarray, voc: Vocabulary, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class, class before, class before that, of the tokens of several texts; ``ends`` are the places after each text."""
     word = np.where((ranks >= 0) & (ranks < voc.classes), ranks, voc.other)
-    one, two = np.r_[start, word[:-1]], np.r_[start, start, word[:-2]][: len(word)]
+    return word, *_before(word, ends, start)
+
+
+def _before(x: np.ndarray, ends: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values one and two places before in the same text, ``start`` where there are none."""
+    one, two = np.r_[start, x[:-1]], np.r_[start, start, x[:-2]][: len(x)]
     first = np.r_[0, ends[:-1]]
     one[first] = start
     two[first] = start
     second = first + 1
-    two[second[second < len(word)]] = start
-    return word, one, two
+    two[second[second < len(x)]] = start
+    return one, two
 
 
 def _merged(parts: Iterable[tuple[float, np.ndarray]]) -> tuple[float, np.ndarray] | None:
@@ -169,34 +328,40 @@ def _merged(parts: Iterable[tuple[float, np.ndarray]]) -> tuple[float, np.ndarra
     return (total, mean / total) if total else None
 
 
-def train(docs: DataFrame, voc: Vocabulary) -> Net:
+def train(docs: DataFrame, voc: Vocabulary, layout: Cells) -> Net:
     """The model after one pass over the training documents."""
-    net = Net(voc.classes)
+    net = Net(voc.classes, layout.sizes)
     shares = voc.shares()
     net.bias = np.log(shares).astype(np.float32)
     flat = shares**FLATTEN / (shares**FLATTEN).sum()  # noise tokens: rarer classes come up more often than in texts
     noise_log = np.log(flat).astype(np.float32)
     kind = pa.schema([("weight", pa.float64()), ("x", pa.binary())])
-    shared = docs.sparkSession.sparkContext.broadcast(voc)
+    shared = docs.sparkSession.sparkContext.broadcast((voc, layout))
 
     def fit_from(start: np.ndarray):
         def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            voc = shared.value
-            own = Net(voc.classes).load(start)
-            squares = [np.full(a.shape, 1.0) for a in (own.r, own.q, own.place, own.bias)]
+            voc, layout = shared.value
+            own = Net(voc.classes, layout.sizes).load(start)
+            squares = [np.full(a.shape, 1.0, np.float32) for a in own.arrays()]
             draw, seen, waiting, held = np.random.default_rng(1), 0, [], 0
-            cumulated = np.cumsum(flat)
+            cumulated = [np.cumsum(x) for x in (flat, *layout.flat)]
+
+            def drawn(level: int, n: int) -> np.ndarray:  # one from each equal part
+                return np.minimum(np.searchsorted(cumulated[level], (draw.random() + np.arange(n)) / n), len(cumulated[level]) - 1)
 
             def step() -> None:
-                word, one, two = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                for i in range(0, len(word), BATCH):
-                    drawn = np.minimum(np.searchsorted(cumulated, (draw.random() + np.arange(NOISE)) / NOISE), voc.classes)  # one from each equal part
-                    descend(own, squares, noise_log, drawn, word[i : i + BATCH], one[i : i + BATCH], two[i : i + BATCH])
+                columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+                for i in range(0, len(columns[0]), BATCH):
+                    word, one, two, *cells_of = (x[i : i + BATCH] for x in columns)
+                    descend(own, squares, noise_log, drawn(0, NOISE), word, one, two, layout, [drawn(k, NOISE_DIGITS) for k in (1, 2, 3)], cells_of)
                 waiting.clear()
 
             for batch in slices(batches, 64):
                 rows = [(x or "").encode().lower().split() + [END.encode()] for x in batch.column(0).to_pylist()]
-                waiting.append(contexts(voc.ranks([w for row in rows for w in row]), np.cumsum([len(row) for row in rows]), voc, own.start))
+                words, ends = [w for row in rows for w in row], np.cumsum([len(row) for row in rows])
+                ranks = voc.ranks(words)
+                cell = layout.of(words, ranks)
+                waiting.append((*contexts(ranks, ends, voc, own.start), cell, *_before(cell, ends, -1)))
                 held += len(waiting[-1][0])
                 if held >= BATCH:
                     seen, held = seen + held, 0
@@ -224,23 +389,65 @@ def train(docs: DataFrame, voc: Vocabulary) -> Net:
 
 
 class Scorer:
-    """log10 probabilities of classes after contexts; the normaliser of a context is computed once."""
+    """log10 probabilities of tokens after contexts; the normaliser of a context of two classes is computed once."""
 
-    def __init__(self, net: Net, voc: Vocabulary):
-        self.net, self.voc, self.side = net, voc, voc.classes + 2
+    def __init__(self, net: Net, voc: Vocabulary, layout: Cells | None = None):
+        self.net, self.voc, self.layout, self.side = net, voc, layout, voc.classes + 2
         self.norm = np.full(self.side * self.side, np.nan)
+        levels = [(net.r, net.bias), *((getattr(net, f"r{k}"), getattr(net, f"bias{k}")) for k in range(3 if layout else 0))]
+        self.targets = [np.c_[r, bias].T.copy() for r, bias in levels]
+        self.reach = [float(np.linalg.norm(x, axis=0).max()) for x in self.targets]
+        self.shares = [None, *(np.exp(x) for x in layout.log_shares)] if layout else []
+
+    def _norm(self, p: np.ndarray, level: int = 0, above: np.ndarray | None = None) -> np.ndarray:
+        """Log of the sum over the targets of a level, each weighed by its share where there are shares."""
+        p = np.c_[p, np.ones(len(p), np.float32)]
+        scores = p @ self.targets[level]
+        top = 0.0
+        if len(p) and float(np.sqrt((p * p).sum(axis=1).max())) * self.reach[level] > 60:  # else no power overflows or vanishes
+            possible = scores if above is None else np.where(self.shares[level][above] > 0, scores, -np.inf)
+            top = possible.max(axis=1)
+            scores = np.minimum(scores - top[:, None], 0)
+        np.exp(scores, out=scores)
+        if above is None:
+            return top + np.log(scores @ np.ones(scores.shape[1], np.float32))
+        shares = self.shares[level]
+        return top + np.log(scores @ shares[0] if len(shares) == 1 else np.einsum("ij,ij->i", scores, shares[above]))
 
     def logs(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Of classes after classes."""
         code = one * self.side + two
         new = np.unique(code[np.isnan(self.norm[code])])
         for i in range(0, len(new), 2048):
             part = new[i : i + 2048]
-            scores = self.net.predicted(part // self.side, part % self.side) @ self.net.r.T + self.net.bias
-            top = scores.max(axis=1)
-            self.norm[part] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+            self.norm[part] = self._norm(self.net.predicted(part // self.side, part % self.side))
         own = (self.net.predicted(one, two) * self.net.r[word]).sum(axis=1) + self.net.bias[word]
         return (own - self.norm[code]) / math.log(10)
 
+    def token_logs(self, word: np.ndarray, one: np.ndarray, two: np.ndarray, cell: np.ndarray, cell_one: np.ndarray, cell_two: np.ndarray) -> np.ndarray:
+        """Of tokens after tokens; one outside the table as if unseen, which has a share of one in its cell."""
+        found = np.empty(len(word))
+        plain = (cell_one < 0) & (cell_two < 0)
+        found[plain] = self.logs(word[plain], one[plain], two[plain])
+        for plainly, at in ((True, np.flatnonzero(plain & (cell >= 0))), (False, np.flatnonzero(~plain))):
+            for i in range(0, len(at), 1024):
+                x = at[i : i + 1024]
+                p = self.net.predicted(one[x], two[x], Inner(cell_one[x], self.layout), Inner(cell_two[x], self.layout))
+                if not plainly:
+                    own = np.einsum("ij,ij->i", p, self.net.r[word[x]]) + self.net.bias[word[x]]
+                    found[x] = (own - self._norm(p)) / math.log(10)
+                inner = Inner(cell[x], self.layout)
+                found[x[inner.at]] += self._cell_logs(p[inner.at], inner)
+        return found
+
+    def _cell_logs(self, p: np.ndarray, inner: Inner) -> np.ndarray:
+        total = np.zeros(len(p))
+        for k in range(3):
+            digit, above = inner.digits[k], inner.above[k]
+            told = np.einsum("ij,ij->i", p, getattr(self.net, f"r{k}")[digit]) + getattr(self.net, f"bias{k}")[digit] + self.layout.log_shares[k][above, digit]
+            total += told - self._norm(p, k + 1, above)
+        return total / math.log(10) - np.where(inner.digits[2] >= self.layout.own, self.layout.mass_log[inner.cell], 0.0)
+
 
 _ROW = "key long, doc_id long, n_tokens long, known long, base double, model double, rare array<string>, times array<int>"
 _ROW_ARROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
@@ -250,25 +457,27 @@ def _score_by(shared, flat: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        voc = shared.value
-        scorer = Scorer(Net(voc.classes).load(flat), voc)
+        voc, layout = shared.value
+        scorer = Scorer(Net(voc.classes, layout.sizes).load(flat), voc, layout)
         logs = np.log10(voc.count + 1.0)
         key = TaskContext.get().partitionId() << 36
         for batch in slices(batches, 128):
             rows = [(x or "").encode().lower().split() + [END.encode()] for x in batch.column(1).to_pylist()]
             sizes = np.array([len(r) for r in rows])
-            ranks = voc.ranks([w for row in rows for w in row])
+            words = [w for row in rows for w in row]
+            ranks = voc.ranks(words)
             ends = np.cumsum(sizes)
             starts = np.r_[0, ends[:-1]]
             word, one, two = contexts(ranks, ends, voc, scorer.net.start)
             frequent = ranks >= 0
             base = np.where(frequent, logs[ranks], 0.0)
-            model = scorer.logs(word, one, two) + np.where(word == voc.other, base, 0.0)
+            cell = layout.of(words, ranks)
+            # a token outside the table adds log10(c + 1) where it meets its count
+            model = scorer.token_logs(word, one, two, cell, *_before(cell, ends, -1))
             known = frequent & (voc.count[ranks] > 0)
             rare = [Counter(w for w, f in zip(row, frequent[a:b].tolist(), strict=True) if not f) for row, a, b in zip(rows, starts.tolist(), ends.tolist(), strict=True)]
-            others = np.add.reduceat((word == voc.other).astype(float), starts)
             yield batch_of(_ROW_ARROW, np.arange(key, key + len(rows)), batch.column(0), sizes, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts),
-                           np.add.reduceat(model, starts) - others * voc.other_log(), [[w.decode() for w in c] for c in rare], [list(c.values()) for c in rare])
+                           np.add.reduceat(model, starts), [[w.decode() for w in c] for c in rare], [list(c.values()) for c in rare])
             key += len(rows)
 
     return run
@@ -280,8 +489,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     training = docs.filter(fold(folds) != held)
     totals = written(token_totals(training), "token-totals")
     voc = vocabulary(totals)
-    net = train(training, voc)
-    shared = docs.sparkSession.sparkContext.broadcast(voc)
+    layout = cells(totals, voc)
+    net = train(training, voc, layout)
+    shared = docs.sparkSession.sparkContext.broadcast((voc, layout))
     rows = written(docs.mapInArrow(_score_by(shared, net.flat()), _ROW), "scored")
     # tokens outside the table meet their counts by a shuffle
     rare = rows.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))

@@ -574,6 +574,84 @@ def test_likelihood_is_normalised():
     assert abs(sum((c + 1) / 10 ** voc.other_log() for c in others) - 1) < 1e-9
 
 
+def _token_model(monkeypatch, beyond=6):
+    """A vocabulary of two classes, ten tokens with cells of their own and some outside the table, with a drawn model."""
+    monkeypatch.setattr(likelihood, "CLASSES", 2)
+    words = [b" ", b"the", b"of", *(f"{x}{y}".encode() for x in ("ba", "co", "di", "fu", "gy") for y in ("ment", "tion"))]
+    count = np.arange(40, 40 - len(words), -1)
+    outside = {f"rare{i}".encode(): i + 1 for i in range(beyond)}
+    voc = likelihood.Vocabulary({w: i for i, w in enumerate(words)}, count, 3, int(count.sum()) + sum(outside.values()), len(words) + beyond)
+    layout = likelihood.Cells(voc)
+    mass = Counter()
+    for w, c in outside.items():
+        mass[layout.hashed_cell(w)] += c + 1
+    layout.weigh(mass)
+    net, draw = likelihood.Net(3, layout.sizes), np.random.default_rng(2)
+    for x in net.arrays():
+        x += draw.normal(0, 0.5, x.shape).astype(np.float32)
+    return voc, layout, net, words, outside
+
+
+def _log_of_last(scorer, voc, layout, text):
+    ranks, ends = voc.ranks(text), np.array([len(text)])
+    cell = layout.of(text, ranks)
+    return scorer.token_logs(*likelihood.contexts(ranks, ends, voc, scorer.net.start), cell, *likelihood._before(cell, ends, -1))[-1], cell[-1]
+
+
+@pytest.mark.parametrize("scale", [1, 60])
+def test_likelihood_of_all_tokens_is_normalised(monkeypatch, scale):
+    """Classes, tokens of the table, tokens outside it and one unseen type in each hashed cell sum to 1 after any context, also with large scores."""
+    voc, layout, net, words, outside = _token_model(monkeypatch)
+    for x in (net.r, net.q, net.r0, net.r1, net.r2):
+        x *= scale**0.5
+    scorer = likelihood.Scorer(net, voc, layout)
+    for before in ([], [b"the"], [b"bament", b"of"], [b"rare1", b"dition"], [b"unseen", b"rare5"]):
+        total, hashed = 0.0, set()
+        for w in words:
+            log, _ = _log_of_last(scorer, voc, layout, [*before, w])
+            total += 10**log
+        for w, c in outside.items():
+            log, _ = _log_of_last(scorer, voc, layout, [*before, w])
+            total += 10**log * (c + 1)
+        for i, end in itertools.product(range(40), words[3:]):  # an unseen word for each hashed cell
+            w = f"{i}".encode() + end
+            cell = layout.hashed_cell(w)
+            if cell not in hashed:
+                hashed.add(cell)
+                log, _ = _log_of_last(scorer, voc, layout, [*before, w])
+                total += 10**log
+        assert len(hashed) == layout.side**2 * layout.hashed
+        assert abs(total - 1) < 1e-4, (before, total)
+
+
+def test_likelihood_tells_rare_tokens_apart(monkeypatch):
+    """No token shares its vectors with all others: outside the classes too, a target is weighed by its context and a context weighs its targets."""
+    voc, layout, net, words, _ = _token_model(monkeypatch)
+    scorer = likelihood.Scorer(net, voc, layout)
+    log = lambda *text: _log_of_last(scorer, voc, layout, list(text))[0]
+    rare = words[3:]
+    assert len({layout.of([w], voc.ranks([w]))[0] for w in rare}) == len(rare)
+    assert len({round(float(log(w, b"the")), 4) for w in rare}) == len(rare)
+    gains = {round(float(log(b"of", w) - log(b"the", w)), 4) for w in rare}
+    assert len(gains) == len(rare)
+
+
+def test_training_learns_rare_tokens(monkeypatch):
+    """Two tokens without a class that always stand together become likely together."""
+    voc, layout, _, words, _ = _token_model(monkeypatch)
+    text = [b"bament", b"cotion", b"the", b"dition", b"fument", b"of"] * 3000
+    ranks, ends = voc.ranks(text), np.array([len(text)])
+    net = likelihood.Net(3, layout.sizes)
+    cell = layout.of(text, ranks)
+    columns = (*likelihood.contexts(ranks, ends, voc, net.start), cell, *likelihood._before(cell, ends, -1))
+    start = likelihood.Scorer(net, voc, layout).token_logs(*(x[300:600] for x in columns)).mean()
+    squares, draw, noise = [np.full(a.shape, 1.0) for a in net.arrays()], np.random.default_rng(0), np.full(4, np.log(0.25), np.float32)
+    for i in range(0, len(text), 300):
+        word, one, two, *inner = (x[i : i + 300] for x in columns)
+        likelihood.descend(net, squares, noise, draw.integers(0, 4, 16), word, one, two, layout, [draw.integers(0, n, 8) for n in layout.sizes], inner)
+    assert likelihood.Scorer(net, voc, layout).token_logs(*(x[300:600] for x in columns)).mean() > start / 3
+
+
 def test_training_beats_the_shares():
     draw = np.random.default_rng(0)
     voc = likelihood.Vocabulary({b" ": 0, b"a": 1, b"b": 2, b"c": 3}, np.array([10, 1000, 1000, 1000]), 4, 3010, 4)
