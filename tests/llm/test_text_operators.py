@@ -636,6 +636,52 @@ def test_likelihood_tells_rare_tokens_apart(monkeypatch):
     assert len(gains) == len(rare)
 
 
+def test_powers_grow_with_the_tables_and_not_with_the_texts(monkeypatch):
+    """Normalisers of contexts with cells are sums of products of table rows: no scores are raised for each token, and the sums are those of the scores."""
+    voc, layout, net, words, _ = _token_model(monkeypatch)
+    scorer = likelihood.Scorer(net, voc, layout)
+    raised, norm = [], likelihood.Scorer._norm
+    monkeypatch.setattr(likelihood.Scorer, "_norm", lambda self, p, *more: raised.append(len(p)) or norm(self, p, *more))
+    draw = np.random.default_rng(4)
+    text = [words[i] for i in draw.integers(1, len(words), 3000)]
+    ranks, ends = voc.ranks(text), np.array([len(text)])
+    cell, (word, one, two) = layout.of(text, ranks), likelihood.contexts(ranks, ends, voc, net.start)
+    cell_one, cell_two = likelihood._before(cell, ends, -1)
+    found = scorer.token_logs(word, one, two, cell, cell_one, cell_two)
+    assert sum(raised) <= scorer.side**2
+    vector = lambda c, d: net.q[c] + (net.q0[d // layout.places // layout.side] + net.q1[d // layout.places] + net.q2[d % layout.places] if d >= 0 else 0)
+    for i in range(0, 3000, 50):
+        p = (vector(one[i], cell_one[i]) * net.place[0] + vector(two[i], cell_two[i]) * net.place[1]).astype(float)
+        scores = net.r @ p + net.bias
+        want = scores[word[i]] - np.log(np.exp(scores).sum())
+        if cell[i] >= 0:
+            part, place = divmod(int(cell[i]), layout.places)
+            group = part // layout.side
+            for k, (digit, above) in enumerate(((group, 0), (part % layout.side, group), (place, part))):
+                scores = getattr(net, f"r{k}") @ p + getattr(net, f"bias{k}") + layout.log_shares[k][above]
+                want += scores[digit] - np.log(np.exp(scores).sum())
+        assert math.isclose(found[i], want / math.log(10), rel_tol=1e-4), i
+
+
+def test_tokens_are_looked_up_by_distinct_token(monkeypatch):
+    """Words, ranks, cells and rare tokens of texts as Python splits them, whatever the blanks; parts by the last bytes as by the whole word."""
+    voc, layout, _, words, _ = _token_model(monkeypatch)
+    rows = ["", None, " \t\n", "THE of\x0bbament\x0cquux\r\n", "caf\u00e9\u00a0ÄB\u2003x \x1cquux quux \x00", "ment xment bament\x00 \x00bament longbament é", "the"]
+    split = [(x or "").encode().lower().split() + [b" "] for x in rows]
+    flat = [w for row in split for w in row]
+    for column in (pa.array(rows), pa.array(["zz", *rows])[1:]):
+        found = likelihood.tokens(column, voc, layout)
+        assert found.ends.tolist() == list(itertools.accumulate(map(len, split)))
+        assert (found.ranks == voc.ranks(flat)).all() and (found.cell == layout.of(flat, voc.ranks(flat))).all()
+        assert [found.rare[int(i)].as_py().encode() for i in found.rare_code] == [w for w in flat if w not in voc.rank]
+        assert found.rare_at.tolist() == [i for i, w in enumerate(flat) if w not in voc.rank]
+    draw = np.random.default_rng(5)
+    odd = [bytes(draw.choice(list(b"nt\0aim"), draw.integers(1, 12))).decode() for _ in range(500)] + [f"x{b[::-1].decode()}" for b in layout.bounds] + [b[::-1].decode() for b in layout.bounds]
+    assert layout.hashed_cells(pa.array(odd)).tolist() == [layout.hashed_cell(w.encode()) for w in odd]
+    empty = likelihood.tokens(pa.array([None, ""], pa.string()), voc, layout)
+    assert empty.ranks.tolist() == [0, 0] and len(empty.rare_at) == 0
+
+
 def test_training_learns_rare_tokens(monkeypatch):
     """Two tokens without a class that always stand together become likely together."""
     voc, layout, _, words, _ = _token_model(monkeypatch)
