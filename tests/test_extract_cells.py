@@ -33,6 +33,15 @@ def test_the_earliest_verified_code_names_the_sheet(spark):
     assert {(r.resource, r.main_code, r.description, r.actual_rate) for r in rows} == {("Labor", "B.2", "Sheet", 10.0), ("No quantity", "B.2", "Sheet", None)}
 
 
+def test_a_code_far_down_or_right_names_the_sheet(spark):
+    """Cells beyond the eighth row or the tenth column count where none before them holds a code."""
+    low = {(r + 20, c): v for (r, c), v in RESOURCES.items() if r > 1} | {(15, 3): "B.2"}
+    wide = {(r, c): v for (r, c), v in RESOURCES.items() if r > 1} | {(1, 30): "B.3"}
+    known = direct(spark, ("B.2", "two", None, 1), ("B.3", "three", None, 2))
+    rows = ex.boq_resources(cells(spark, {"Low": low, "Wide": wide}), known).collect()
+    assert {(r.sheet, r.main_code, r.description) for r in rows} == {("Low", "B.2", "two"), ("Wide", "B.3", "three")}
+
+
 WASTE = {(3, 2): "Material A", (3, 3): "Material B", (5, 1): "إجمالي الاستهلاك الفعلي", (5, 2): 10, (5, 3): 20, (6, 1): "إجمالي الاستهلاك الهندسي", (6, 2): 9, (6, 3): 18,
          (7, 1): "وحدة البند", (7, 2): "t", (7, 3): "m3", (8, 1): "تشوين", (8, 2): 0, (8, 3): 0, (9, 1): "الكميه المدرجه", (9, 2): 9, (9, 3): 18}
 
