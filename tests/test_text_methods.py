@@ -29,6 +29,25 @@ def test_sparse_kmeans_takes_lloyds_steps(spark):
     assert all(abs(got[i][1] - best[i][0]) < 1e-8 for i in got)
 
 
+def test_kmeans_query_ends_when_no_document_moves(spark, tmp_path):
+    """Documents along a line of words need more steps than four; a document without an id or without terms ends it too."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    draw = np.random.default_rng(10)
+    rows = [(i, " ".join(f"w{int(j):03d}" for j in np.clip(draw.normal(i / 2, 9, 25), 0, 120))) for i in range(200)] + [(900, ""), (None, "w001 w002")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.cluster, r.distance) for r in entry.queries()["t05_kmeans_clusters"](spark, str(tmp_path)).collect()}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    weights = text.tfidf(docs, "doc_id", "text")
+    few, many = ({r.doc_id: r.cluster for r in text.sparse_kmeans(docs, weights, "doc_id", 8, n).collect()} for n in (4, 40))
+    assert len(got) == len(rows) and {i: k for i, (k, _) in got.items()} == many != few
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet' WHERE doc_id IS NOT NULL")
+    assert len(con.execute(entry.oracle_sql()["t05_kmeans_clusters"]).fetchall()) == len(rows) - 1
+
+
 def test_isolation_scores_do_not_depend_on_the_dealing(spark):
     draw = np.random.default_rng(1)
     rows = [(i, float(draw.normal()), float(draw.normal())) for i in range(300)] + [(1000, 40.0, -40.0), (1001, None, 0.0)]
