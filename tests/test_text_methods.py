@@ -90,6 +90,34 @@ def test_terms_of_single_rows_are_counted_without_a_shuffle(spark):
     assert abs(sum(r.weight ** 2 for r in named if r.doc_id == 1) - 1) < 1e-9
 
 
+def test_weights_shuffle_texts_and_answers_only(spark):
+    """No exchange carries rows of a key and a term: only the blocks of texts and answers, and the one-row count of documents."""
+    rows = [(1, "aa bb aa bb"), (2, "aa cc"), (3, None), (4, ""), (5, "xx yy"), (5, "xx yy zz"), (None, "qq qq aa"), (None, "qq"), (6, "one"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        weights = text.tfidf(docs, "doc_id", "text")
+        plan = weights._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 1
+    grams = {}
+    for i, t in rows:
+        words = (t or "").split()
+        for g in words + [" ".join(p) for p in zip(words, words[1:])]:
+            grams.setdefault(i, {}).setdefault(g, 0)
+            grams[i][g] += 1
+    df = {g: sum(g in own for own in grams.values()) for own in grams.values() for g in own}
+
+    def weighed(terms):
+        w = {(i, g): (np.log(n) + 1) * (np.log((len(rows) + 1) / (df[g] + 1)) + 1) for i, own in grams.items() for g, n in own.items() if i is not None and g in terms}
+        return {(i, g): round(float(v / np.sqrt(sum(x * x for (j, _), x in w.items() if j == i))), 9) for (i, g), v in w.items()}
+
+    assert {(r.doc_id, r.term): round(r.weight, 9) for r in weights.collect()} == weighed(df)
+    few = text.tfidf(docs, "doc_id", "text", max_features=3).collect()
+    assert {(r.doc_id, r.term): round(r.weight, 9) for r in few} == weighed({"aa", "qq", "aa bb"})
+
+
 def test_slug_of_texts_beyond_ascii():
     import re
     import unicodedata
